@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+import decimal
 import sys
 import time
 
 import duckdb
-import pandas as pd
 
 from siftline.plans import catalog
 from siftline.session import local_session
 from siftline.sources.tables import SCHEMAS
 
 
-def canonical(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)]
-    rows = []
-    for row in frame.itertuples(index=False, name=None):
-        out = []
-        for value in row:
-            if hasattr(value, "tolist"):
-                value = value.tolist()
-            if value is None or (isinstance(value, float) and value != value) or value is pd.NaT:
-                out.append("∅")
-            elif isinstance(value, float):
-                out.append(repr(round(value, 6) + 0.0))
-            else:
-                out.append(str(value))
-        rows.append(tuple(out))
-    return sorted(rows)
+TYPES = {
+    "BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double", "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz", "DATE": "date", "VARCHAR[]": "array<string>", "BIGINT[]": "array<bigint>",
+}
+
+
+def canonical(columns: list[str], rows: list[tuple]) -> list[tuple]:
+    """Rows as text, columns by name, floats to 6 places."""
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+
+    def show(value):
+        if value is None:
+            return "∅"
+        if isinstance(value, decimal.Decimal):
+            value = float(value)
+        if isinstance(value, float):
+            return repr(round(value, 6) + 0.0)
+        if isinstance(value, (list, tuple)):
+            return "[" + ", ".join(show(v) for v in value) + "]"
+        if isinstance(value, dict):
+            return "{" + ", ".join(f"{k}: {show(v)}" for k, v in value.items()) + "}"
+        return str(value)
+
+    return sorted(tuple(show(row[i]) for i in order) for row in rows)
 
 
 def main() -> None:
@@ -46,7 +54,7 @@ def main() -> None:
         started = time.time()
         try:
             df = queries[name](spark, directory)
-            got = df.toPandas()
+            got = [tuple(r) for r in df.collect()]
         except Exception as error:  # report and go on
             bad.append(name)
             print(f"FAIL  {name}: {str(error)[:1500]}", flush=True)
@@ -59,21 +67,23 @@ def main() -> None:
         try:
             cursor = db.execute(sql[name])
             kinds = {d[0]: str(d[1]) for d in cursor.description}
-            want = cursor.df()
+            want = cursor.fetchall()
         except Exception as error:
             bad.append(name)
             print(f"SQL!  {name}: {str(error)[:800]}", flush=True)
             continue
         sql_took = time.time() - started
-        a, b = canonical(got), canonical(want) if sorted(want.columns) == sorted(got.columns) else None
+        names_match = sorted(kinds) == sorted(df.columns)
+        a, b = canonical(df.columns, got), canonical(list(kinds), want) if names_match else None
         huge = [c for c, k in kinds.items() if "HUGEINT" in k]
-        dtypes = {c: (str(got[c].dtype), str(want[c].dtype)) for c in got.columns if c in want and str(got[c].dtype) != str(want[c].dtype)}
-        note = f" dtypes {dtypes}" if dtypes else ""
+        pairs = {c: (t, TYPES.get(kinds.get(c), kinds.get(c))) for c, t in df.dtypes}
+        odd = {c: p for c, p in pairs.items() if p[0] != p[1]}
+        note = f" types {odd}" if odd else ""
         if a == b and not huge:
             print(f"ok    {name}: {len(got)} rows {took:.1f}s sql {sql_took:.1f}s{note}", flush=True)
         else:
             bad.append(name)
-            print(f"DIFF  {name}: {len(got)} vs {len(want)} rows; cols {list(got.columns)} vs {list(want.columns)}; huge {huge}{note}", flush=True)
+            print(f"DIFF  {name}: {len(got)} vs {len(want)} rows; cols {df.columns} vs {list(kinds)}; huge {huge}{note}", flush=True)
             if b is not None:
                 left, right = set(a), set(b)
                 print("   only spark:", sorted(left - right)[:3], "\n   only sql:  ", sorted(right - left)[:3], flush=True)
