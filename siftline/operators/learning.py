@@ -24,3 +24,25 @@ def committee(scores: Column) -> Column:
         _mean(F.transform(scores, _entropy)).alias("entropy"),
         (_mean(F.transform(scores, lambda p: p * p)) - mean * mean).alias("variance"),
     )
+
+
+def informativeness(df: DataFrame, ident: str, keep: list[str] = (), scores: str = "scores") -> DataFrame:
+    """How much a label would teach: uncertainty, margin, entropy and disagreement, weighted."""
+    c = committee(F.col(scores))
+    value = (
+        0.25 * (1 - F.col("_c.top"))
+        + 0.35 * (1 - 2 * F.col("_c.margin"))
+        + 0.20 * F.col("_c.entropy")
+        + 0.20 * F.col("_c.variance")
+    )
+    return df.withColumn("_c", c).select(ident, *keep, F.round(value, 6).alias("informativeness"))
+
+
+def select_batch(
+    scored: DataFrame, preferred: Column, newest: str, pool: int = 200, batch: int = 50, enough: int = 10
+) -> DataFrame:
+    """The ``batch`` most informative of the ``pool`` newest candidates; the preferred kind only, if there
+    are ``enough`` of it."""
+    plenty = scored.agg((F.count_if(preferred) >= enough).alias("p")).scalar()
+    candidates = scored.filter(preferred | ~plenty).orderBy(F.desc(newest)).limit(pool)
+    return candidates.orderBy(F.desc("informativeness"), newest).limit(batch)
