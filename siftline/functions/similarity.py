@@ -27,10 +27,14 @@ def cosine(a: Column, b: Column) -> Column:
 def shingles(text: Column, size: int = 3) -> Column:
     """Distinct ``size``-character shingles of the lower-cased letters, digits and white space."""
     clean = F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{T.SPACE}]", "")
-    starts = F.when(F.length(clean) >= size, F.sequence(F.lit(1), F.length(clean) - (size - 1))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(clean, i, F.lit(size))))
+
+    def cut(s):
+        starts = F.when(F.length(s) >= size, F.sequence(F.lit(1), F.length(s) - (size - 1))).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(s, i, F.lit(size))))
+
+    return T.let(clean, cut)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -57,18 +57,42 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
 
+# Characters that canonical composition leaves alone when no other ones are around.
+COMPOSED = r"\x00-\x{2FF}\x{400}-\x{481}\x{48A}-\x{52F}\x{2002}-\x{206F}\x{20A0}-\x{20BF}\x{2190}-\x{21FF}\x{1F000}-\x{1FAFF}"
+
+
+def compose(text: Column) -> Column:
+    """NFC.  Only texts that may change are sent to Python; the others pass as nulls."""
+    return F.coalesce(nfc(F.when(text.rlike(f"[^{COMPOSED}]"), text)), text)
+
+
 def fold_lookalikes(text: Column) -> Column:
-    return F.translate(text, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+    folded = F.translate(text, "".join(LOOKALIKES), "".join(LOOKALIKES.values()))
+    return F.when(text.rlike("[" + "".join(LOOKALIKES) + "]"), folded).otherwise(text)
 
 
 def normalize_unicode(text: Column) -> Column:
-    return fold_lookalikes(nfc(text))
+    return fold_lookalikes(compose(text))
 
 
 def fold_homoglyphs(text: Column) -> Column:
     return F.translate(text, FOLD_FROM, FOLD_TO)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside array lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def computed_once(df, keep: list[str], columns: list[Column]):
+    """Select ``keep`` and ``columns`` so that the columns are computed once per row.
+
+    A filter on a computed column is otherwise moved below the projections it came from, and long chains
+    of them are then substituted into each other.  A one-row generator holds it above.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
+
+
 def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -82,7 +106,8 @@ def domains(url_list: Column) -> Column:
 
 
 def emoji_runs(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[{EMOJI_BLOCKS}]+"))
+    runs = F.regexp_count(text, F.lit(f"[{EMOJI_BLOCKS}]+"))
+    return F.when(text.rlike(r"[\x{24C2}-\x{10FFFF}]"), runs).otherwise(F.when(text.isNotNull(), 0))
 
 
 def hashtags(lowered: Column) -> Column:
@@ -102,7 +127,8 @@ def words(lowered: Column) -> Column:
 
 
 def word_count(lowered: Column) -> Column:
-    return F.regexp_count(strip_punctuation(lowered), F.lit(f"[^{SPACE}]+"))
+    """Words after punctuation is removed: runs of non-space from their first word character on."""
+    return F.regexp_count(lowered, F.lit(f"[{WORD}][^{SPACE}]*"))
 
 
 def density(count: Column, total: Column) -> Column:
@@ -149,13 +175,16 @@ def keywords(text: Column, stop_words: list[str] = STOP_WORDS) -> Column:
     return F.filter(tokens, lambda w: (F.length(w) > 2) & ~w.isin(*stop_words))
 
 
-def features(df, text: str = "text", compose: bool = True):
-    """Add the structural features a cascade reads.  ``compose=False`` skips the one Python step (NFC)."""
-    base = normalize_unicode(F.col(text)) if compose else fold_lookalikes(F.col(text))
-    df = df.withColumn("norm", base).withColumn("lowered", F.lower("norm"))
+def features(df, text: str = "text"):
+    """Add the structural features a cascade reads."""
+    df = df.withColumn("_composed", compose(F.col(text)))
+    df = df.withColumn("norm", fold_lookalikes(F.col("_composed"))).drop("_composed")
+    df = df.withColumn("lowered", F.lower("norm"))
     lowered = F.col("lowered")
     return (
-        df.withColumn("word_count", word_count(lowered))
+        df.withColumn("folded", fold_homoglyphs(lowered))
+        .withColumn("refolded", fold_lookalikes(lowered))
+        .withColumn("word_count", word_count(lowered))
         .withColumn("emoji_density", density(emoji_runs(F.col("norm")), F.col("word_count")))
         .withColumn("hashtags", hashtags(lowered))
         .withColumn("mentions", mentions(F.col("norm")))

@@ -129,8 +129,8 @@ def best_case(
     Equal leads are collapsed before the join, so the join grows with distinct niches, not with rows.
     """
     wanted = leads.select(speciality, niche, niche_words).distinct()
-    name, words = F.lower(niche), F.transform(F.col(niche_words), F.lower)
-    case_words = F.transform(F.col("case_words"), F.lower)
+    name, words = F.lower(niche), F.transform(F.col(niche_words), lambda w: F.lower(w))
+    case_words = F.transform(F.col("case_words"), lambda w: F.lower(w))
     score = (
         F.when((name != "") & (F.col("case_niche") != "") & F.lower("case_niche").contains(name), 1.0).otherwise(0.0)
         + F.when(

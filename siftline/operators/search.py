@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import let
 from siftline.operators.filters import query_tokens
 
 
 def keyword_hits(text: Column, tokens: list[str]) -> Column:
-    lowered = F.lower(text)
-    return F.size(F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(lowered, t)))
+    wanted = F.array(*map(F.lit, tokens))
+    return let(F.lower(text), lambda low: F.size(F.filter(wanted, lambda t: F.contains(low, t))))
 
 
 def snippet(text: Column, token: str, before: int = 200, after: int = 800) -> Column:

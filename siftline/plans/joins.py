@@ -203,8 +203,8 @@ RULE_WORDS = ["license", "threat", "token", "worthless", "pathetic", "disgusting
 )
 def join_rules_theta(t):
     """Texts against rule literals: the bounded rule list travels inside the expression, no pair join."""
-    lowered = F.lower("text")
-    hits = F.filter(F.array(*map(F.lit, RULE_WORDS)), lambda r: F.contains(lowered, r))
+    rules = F.array(*map(F.lit, RULE_WORDS))
+    hits = T.let(F.lower("text"), lambda low: F.filter(rules, lambda r: F.contains(low, r)))
     return (
         t.documents.select("doc_id", F.explode(hits).alias("rule"))
         .groupBy("rule")

@@ -38,6 +38,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row, when the input has fewer splits than cores.
+
+    Large inputs have more splits than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that loops neither grow their plan nor lose work with an executor."""
     ensure_checkpoint_dir(df.sparkSession)

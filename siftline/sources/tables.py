@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.session import spread
+
 SCHEMAS = {
     "region": "r_regionkey INT, r_name STRING",
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
@@ -32,6 +34,11 @@ class Tables:
         self.spark = spark
         self.directory = directory.rstrip("/")
 
+    @property
+    def texts(self) -> DataFrame:
+        """``documents`` for work that is heavy per row."""
+        return spread(self.documents)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise AttributeError(name)
