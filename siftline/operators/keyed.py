@@ -172,7 +172,7 @@ def sessionize(
 ) -> DataFrame:
     """Label rows with the start of their gap-based session.  ``gap_seconds`` is read on the earlier row."""
     ends = previous_value(
-        df.withColumn("_end", F.unix_micros(F.col(ts).cast("timestamp")) + gap_seconds * 1_000_000),
+        df.withColumn("_end", F.unix_micros(F.col(ts).cast("timestamp")) + gap_seconds.cast("long") * 1_000_000),
         keys,
         [ts, tie],
         F.col("_end"),

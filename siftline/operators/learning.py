@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def _mean(values: Column) -> Column:
@@ -46,3 +49,188 @@ def select_batch(
     plenty = scored.agg((F.count_if(preferred) >= enough).alias("p")).scalar()
     candidates = scored.filter(preferred | ~plenty).orderBy(F.desc(newest)).limit(pool)
     return candidates.orderBy(F.desc("informativeness"), newest).limit(batch)
+
+
+def text_features(df: DataFrame, text: str):
+    """1- to 3-gram counts weighted by inverse document frequency: pipeline stages and output column."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+
+    return Pipeline(
+        stages=[
+            RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+", minTokenLength=2),
+            NGram(n=2, inputCol="_words", outputCol="_pairs"),
+            NGram(n=3, inputCol="_words", outputCol="_triples"),
+            SQLTransformer(statement="SELECT *, concat(_words, _pairs, _triples) AS _grams FROM __THIS__"),
+            CountVectorizer(inputCol="_grams", outputCol="_counts", vocabSize=1000, minDF=2.0),
+            IDF(inputCol="_counts", outputCol="features"),
+        ]
+    )
+
+
+def balanced(df: DataFrame, label: str) -> DataFrame:
+    """Weight each class by the inverse of its share."""
+    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    total = sizes.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("k"))
+    per_row = sizes.select(
+        label, (total.select("t").scalar() / (total.select("k").scalar() * F.col("_n"))).alias("weight")
+    )
+    return df.join(per_row, label)
+
+
+def stratified_split(df: DataFrame, ident: str, label: str, share: float = 0.8, seed: int = 42):
+    """Deterministic split by a hash of the id within each class: the ``share`` point of the hash per class.
+
+    The point is read from a 1024-bin histogram of each class, so no class is collected or sorted.
+    """
+    from pyspark.sql import Window
+
+    bins = 1024
+    hashed = df.withColumn("_bin", F.pmod(F.xxhash64(F.lit(seed), F.col(ident)), F.lit(bins)))
+    histogram = hashed.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(label)
+    marked = histogram.select(
+        label, "_bin", (F.sum("_n").over(upto) <= share * F.sum("_n").over(whole)).alias("_train")
+    )
+    split = hashed.join(marked, [label, "_bin"])
+    return split.filter("_train").drop("_bin", "_train"), split.filter("NOT _train").drop("_bin", "_train")
+
+
+def train(df: DataFrame, ident: str, text: str, label: str, kind: str = "logistic", minimum: int = 50):
+    """Fit a classifier of texts; returns (model, metrics) or (None, reason) with too few rows.
+
+    ``kind``: ``logistic`` (balanced logistic regression) or ``bayes`` (the second committee member).
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression, NaiveBayes
+
+    rows = df.count()
+    if rows < minimum:
+        return None, {"rows": rows, "reason": f"needs {minimum} labelled rows"}
+    train_rows, test_rows = stratified_split(df, ident, label)
+    weighted = balanced(train_rows.withColumn(label, F.col(label).cast("double")), label).cache()
+    if kind == "logistic":
+        final = LogisticRegression(labelCol=label, weightCol="weight", maxIter=1000, regParam=0.01)
+    else:
+        final = NaiveBayes(labelCol=label, weightCol="weight")
+    model = Pipeline(stages=[text_features(df, text), final]).fit(weighted)
+    scores = {}
+    for name, part in (("train_accuracy", weighted), ("test_accuracy", test_rows)):
+        judged = model.transform(part).agg(
+            F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double")).alias("a")
+        )
+        scores[name] = judged.first()["a"]
+    weighted.unpersist()
+    return model, {"rows": rows, **scores}
+
+
+def predict(model, df: DataFrame, method: str = "ml") -> DataFrame:
+    """Add probability, is_lead and method; an untrained model says no with probability 0."""
+    if model is None:
+        return df.withColumns(
+            {"probability": F.lit(0.0), "is_lead": F.lit(False), "method": F.lit(f"{method}_not_trained")}
+        )
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(df)
+    p = vector_to_array("probability")[1]
+    return scored.select(
+        *df.columns, p.alias("probability"), (p > 0.5).alias("is_lead"), F.lit(method).alias("method")
+    )
+
+
+def metrics(df: DataFrame, label: Column, predicted: Column) -> DataFrame:
+    """Binary accuracy, precision, recall and F1 from one pass of confusion counts."""
+    both = df.agg(
+        F.count_if(label & predicted).alias("tp"),
+        F.count_if(~label & predicted).alias("fp"),
+        F.count_if(label & ~predicted).alias("fn"),
+        F.count_if(~label & ~predicted).alias("tn"),
+    )
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+
+    def ratio(a, b):
+        return F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
+
+    return both.select(
+        "tp", "fp", "fn", "tn",
+        ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"),
+        ratio(tp, tp + fp).alias("precision"),
+        ratio(tp, tp + fn).alias("recall"),
+        ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+    )
+
+
+def retrain_due(labelled: DataFrame, enough: int = 50) -> DataFrame:
+    counted = labelled.agg(F.count(F.lit(1)).alias("labelled"))
+    return counted.select("labelled", (F.col("labelled") >= enough).alias("retrain"))
+
+
+def reward(replied: Column, reply_seconds: Column, length: Column, closed: Column, amount: Column) -> Column:
+    """Reward of an outcome: reply, speed, length of the talk, deal and its size."""
+    deal = F.when(amount > 50000, 0.5).when(amount > 20000, 0.2).otherwise(0.0)
+    value = (
+        F.lit(0.3)
+        + F.when((reply_seconds > 0) & (reply_seconds < 3600), 0.1).otherwise(0.0)
+        + F.when(length >= 5, 0.2).when(length >= 3, 0.1).otherwise(0.0)
+        + F.when(closed, 1.0 + deal).otherwise(0.0)
+    )
+    return F.when(replied, value).otherwise(F.lit(0.0))
+
+
+def posterior(strategies: DataFrame, outcomes: DataFrame, key: str, reward_col: str = "reward") -> DataFrame:
+    """Priors plus the outcomes: Beta parameters, attempts, successes and running mean reward."""
+    won = F.col(reward_col) > 0
+    seen = outcomes.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(won).alias("_won"), F.sum(reward_col).alias("_sum")
+    )
+    none = F.lit(0)
+    joined = strategies.join(seen, key, "left")
+    n, won_n = F.coalesce("_n", none), F.coalesce("_won", none)
+    attempts = F.col("total_attempts") + n
+    mean = F.when(
+        attempts > 0, (F.col("avg_reward") * F.col("total_attempts") + F.coalesce("_sum", F.lit(0.0))) / attempts
+    ).otherwise(F.lit(0.0))
+    return joined.select(
+        key,
+        (F.col("alpha") + won_n).alias("alpha"),
+        (F.col("beta") + n - won_n).alias("beta"),
+        attempts.alias("total_attempts"),
+        (F.col("successful_attempts") + won_n).alias("successful_attempts"),
+        mean.alias("avg_reward"),
+    )
+
+
+def select_strategy(df: DataFrame, ident: str, strategies: list[tuple], boosts: dict[str, Column], epsilon=0.2, seed=42):
+    """Thompson sampling per row: ``epsilon`` of rows take any strategy, the others the best Beta draw times
+    the boost of their context.  Draws are seeded by the row id, so a retried task repeats them.
+
+    ``strategies``: (strategy_id, alpha, beta), the arms of one bandit.
+    """
+    names = [s[0] for s in strategies]
+    shape = [(float(s[1]), float(s[2])) for s in strategies]
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def draws(ids: pd.Series) -> pd.Series:
+        def one(i):
+            rng = np.random.default_rng([seed, int(i) & 0xFFFFFFFFFFFF])
+            return [rng.random(), rng.random(), *(rng.beta(a, b) for a, b in shape)]
+
+        return ids.map(one)
+
+    df = df.withColumn("_draws", draws(ident))
+    explored = F.element_at(F.array(*map(F.lit, names)), F.floor(F.col("_draws")[1] * len(names)).cast("int") + 1)
+    sampled = F.array_max(
+        F.array(
+            *[
+                F.struct((F.col("_draws")[i + 2] * boosts.get(n, F.lit(1.0))).alias("v"), F.lit(-i).alias("o"),
+                         F.lit(n).alias("n"))
+                for i, n in enumerate(names)
+            ]
+        )
+    )["n"]
+    explore = F.col("_draws")[0] < epsilon
+    return df.withColumn("explored", explore).withColumn("strategy", F.when(explore, explored).otherwise(sampled)).drop(
+        "_draws"
+    )

@@ -1 +1,186 @@
-"""Placeholder."""
+"""Learning loops over the driver tables: labels for documents, events as outcomes of strategies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siftline.operators import learning, tables as jobs
+from siftline.plans.ordering import _INFORMATIVENESS, event_scores
+from siftline.plans.registry import query
+
+
+def labelled(t):
+    return t.texts.select("doc_id", "text").join(
+        t.labels.select("doc_id", (F.col("quality") == 1).cast("int").alias("label")), "doc_id"
+    )
+
+
+def _metric_row(t, kind):
+    model, scores = learning.train(labelled(t), "doc_id", "text", "label", kind)
+    rows = [(kind, name, float(value)) for name, value in scores.items() if not isinstance(value, str)]
+    return t.spark.createDataFrame(rows, "model STRING, metric STRING, value DOUBLE"), model
+
+
+@query("ml_tfidf_lr_train")
+def ml_tfidf_lr_train(t):
+    return _metric_row(t, "logistic")[0]
+
+
+@query("ml_predict")
+def ml_predict(t):
+    model, _ = learning.train(labelled(t), "doc_id", "text", "label")
+    scored = learning.predict(model, t.texts.select("doc_id", "text"))
+    return scored.select("doc_id", F.round("probability", 6).alias("probability"), "is_lead", "method")
+
+
+@query("ml_second_committee_member")
+def ml_second_committee_member(t):
+    return _metric_row(t, "bayes")[0]
+
+
+@query(
+    "ml_metrics",
+    """WITH c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp,
+                         count(*) FILTER (quality = 1 AND toxic = 1) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn
+                  FROM labels)
+       SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6)::DOUBLE AS accuracy,
+              round(tp / (tp + fp), 6)::DOUBLE AS precision, round(tp / (tp + fn), 6)::DOUBLE AS recall,
+              round(2 * tp / (2 * tp + fp + fn), 6)::DOUBLE AS f1 FROM c""",
+)
+def ml_metrics(t):
+    """Quality is the truth, absence of toxicity the prediction."""
+    return learning.metrics(t.labels, F.col("quality") == 1, F.col("toxic") == 0)
+
+
+@query("al_informativeness", f"WITH {_INFORMATIVENESS} SELECT event_id, informativeness FROM i")
+def al_informativeness(t):
+    return learning.informativeness(event_scores(t), "event_id")
+
+
+@query(
+    "al_unlabelled_pool",
+    """SELECT d.doc_id, d.source FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality IS NULL""",
+)
+def al_unlabelled_pool(t):
+    done = t.labels.filter(F.col("quality").isNotNull())
+    return t.documents.select("doc_id", "source").join(done, "doc_id", "left_anti")
+
+
+@query(
+    "al_select_batch",
+    f"""WITH {_INFORMATIVENESS}, pick AS (SELECT event_id FROM (
+          SELECT * FROM i WHERE event_type = 'click' OR (SELECT count(*) FROM i WHERE event_type = 'click') < 10
+          ORDER BY event_id DESC LIMIT 200) ORDER BY informativeness DESC, event_id LIMIT 50)
+        SELECT event_id, event_id IN (SELECT event_id FROM pick) AS needs_review FROM events""",
+)
+def al_select_batch(t):
+    """The event table with the selected rows marked for review."""
+    scored = learning.informativeness(event_scores(t), "event_id", ["event_type"])
+    batch = learning.select_batch(scored, F.col("event_type") == "click", "event_id").select(
+        "event_id", F.lit(True).alias("picked")
+    )
+    return t.events.select("event_id").join(batch, "event_id", "left").select(
+        "event_id", F.coalesce("picked", F.lit(False)).alias("needs_review")
+    )
+
+
+@query(
+    "al_apply_labels",
+    """SELECT d.doc_id, CASE l.quality WHEN 1 THEN true WHEN 0 THEN false END AS manual_label,
+              CASE WHEN l.doc_id IS NOT NULL THEN 'reviewer' END AS labeled_by, l.doc_id IS NULL AS needs_review,
+              CASE WHEN l.doc_id IS NULL THEN 'new' WHEN l.quality = 1 THEN 'accepted' ELSE 'rejected' END AS status
+       FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
+def al_apply_labels(t):
+    rows = t.documents.select(
+        "doc_id", F.lit(None).cast("boolean").alias("manual_label"), F.lit(None).cast("string").alias("labeled_by"),
+        F.lit(True).alias("needs_review"), F.lit("new").alias("status"),
+    )
+    good = F.col("quality") == 1
+    verdicts = t.labels.select(
+        "doc_id", good.alias("manual_label"), F.lit("reviewer").alias("labeled_by"),
+        F.lit(False).alias("needs_review"), F.when(good, "accepted").otherwise("rejected").alias("status"),
+    )
+    return jobs.patch(rows, verdicts, "doc_id", ["manual_label", "labeled_by", "needs_review", "status"])
+
+
+@query(
+    "al_labelled_set",
+    "SELECT md5(text) AS text_key, quality = 1 AS is_lead FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
+)
+def al_labelled_set(t):
+    truth = t.labels.filter(F.col("quality").isNotNull()).select("doc_id", (F.col("quality") == 1).alias("is_lead"))
+    return t.documents.join(truth, "doc_id").select(F.md5("text").alias("text_key"), "is_lead")
+
+
+@query("al_retrain_gate", "SELECT count(*) AS labelled, count(*) >= 50 AS retrain FROM labels WHERE quality IS NOT NULL")
+def al_retrain_gate(t):
+    return learning.retrain_due(t.labels.filter(F.col("quality").isNotNull()))
+
+
+_REWARD = """CASE WHEN event_type = 'error' THEN 0.0 ELSE 0.3 + CASE WHEN value > 0 AND value * 60 < 3600 THEN 0.1 ELSE 0 END
+  + CASE WHEN user_id >= 100 THEN 0.2 WHEN user_id >= 50 THEN 0.1 ELSE 0 END
+  + CASE WHEN event_type = 'purchase' THEN 1.0 + CASE WHEN value * 1000 > 50000 THEN 0.5
+      WHEN value * 1000 > 20000 THEN 0.2 ELSE 0 END ELSE 0 END END"""
+
+
+def outcomes(t):
+    value = F.col("value")
+    length = F.when(F.col("user_id") >= 100, 5).when(F.col("user_id") >= 50, 3).otherwise(1)
+    gain = learning.reward(
+        F.col("event_type") != "error", value * 60, length, F.col("event_type") == "purchase", value * 1000
+    )
+    return t.events.select("event_id", F.col("event_type").alias("strategy_id"), gain.alias("reward"))
+
+
+@query("bandit_reward", f"SELECT event_id, event_type AS strategy_id, round(({_REWARD})::DOUBLE, 6) AS reward FROM events")
+def bandit_reward(t):
+    return outcomes(t).select("event_id", "strategy_id", F.round("reward", 6).alias("reward"))
+
+
+@query(
+    "bandit_posterior",
+    f"""WITH r AS (SELECT event_type AS strategy_id, ({_REWARD})::DOUBLE AS reward FROM events)
+        SELECT strategy_id, 1.0::DOUBLE + count(*) FILTER (reward > 0) AS alpha,
+               1.0::DOUBLE + count(*) FILTER (reward <= 0) AS beta, count(*) AS total_attempts,
+               count(*) FILTER (reward > 0) AS successful_attempts, round(avg(reward), 6) AS avg_reward
+        FROM r GROUP BY 1""",
+)
+def bandit_posterior(t):
+    priors = t.events.select(F.col("event_type").alias("strategy_id")).distinct().select(
+        "strategy_id", F.lit(1.0).alias("alpha"), F.lit(1.0).alias("beta"),
+        F.lit(0).cast("long").alias("total_attempts"), F.lit(0).cast("long").alias("successful_attempts"),
+        F.lit(0.0).alias("avg_reward"),
+    )
+    return learning.posterior(priors, outcomes(t), "strategy_id").withColumn("avg_reward", F.round("avg_reward", 6))
+
+
+ARMS = [("direct", 12.0, 8.0), ("technical", 9.0, 9.0), ("friendly", 5.0, 7.0)]
+
+
+@query("bandit_select")
+def bandit_select(t):
+    """A strategy per order; large orders favour ``direct``, building customers ``technical``."""
+    boosts = {
+        "technical": F.when(F.col("o_orderpriority") == "1-URGENT", 1.2).otherwise(1.0),
+        "direct": F.when(F.col("o_totalprice") > 400000, 1.1).otherwise(1.0),
+    }
+    chosen = learning.select_strategy(t.orders, "o_orderkey", ARMS, boosts)
+    return chosen.select("o_orderkey", "explored", "strategy")
+
+
+@query(
+    "bandit_context_log",
+    """SELECT o_orderkey, o_orderpriority AS priority, o_totalprice AS budget, coalesce(o_orderstatus, 'unknown') AS category,
+              CAST(hour(o_orderdate) AS INTEGER) AS time_of_day, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_of_week
+       FROM orders""",
+)
+def bandit_context_log(t):
+    return t.orders.select(
+        "o_orderkey",
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_totalprice").alias("budget"),
+        F.coalesce("o_orderstatus", F.lit("unknown")).alias("category"),
+        F.hour("o_orderdate").alias("time_of_day"),
+        F.weekday("o_orderdate").alias("day_of_week"),
+    )
