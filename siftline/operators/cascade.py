@@ -95,6 +95,10 @@ def _renormalised_block(lex: Lexicon) -> Column:
     )
 
 
+def _prefixed(found: Column, prefix: str) -> Column:
+    return F.transform(found, lambda w: F.concat(F.lit(prefix), w))
+
+
 def weighted_score(lex: Lexicon) -> Column:
     """struct(score, hits): weights of all cues found, and a readable list of them."""
     low, budget = F.col("lowered"), F.col("avg_budget")
@@ -109,7 +113,7 @@ def weighted_score(lex: Lexicon) -> Column:
         else:
             found = _contained(group.entries, low)
             total = total + F.size(found) * group.weight
-            hits.append(F.transform(found, lambda w, s=sign: F.concat(F.lit(s), w)))
+            hits.append(_prefixed(found, sign))
     total = total + F.when(budget > 5000, 1).when((budget > 0) & (budget < 1000), -2).otherwise(0)
     hits.append(F.when(budget > 5000, F.array(F.concat(F.lit("+1: BUDGET > 5000₽ ("), budget, F.lit(")")))))
     hits.append(
