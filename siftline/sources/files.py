@@ -39,8 +39,8 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
 def read_corpus(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Whole text files with their name."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
-        .text(path)
+        spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
     )
 
@@ -51,7 +51,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def file_stats(spark: SparkSession, path: str) -> DataFrame:
     """Files, lines, bytes and last change per file extension."""
-    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(path).select(
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(
         F.regexp_extract("_metadata.file_name", r"\.([^.]+)$", 1).alias("extension"),
         F.size(F.split("value", "\n")).cast("long").alias("lines"),
         F.col("_metadata.file_size").alias("bytes"),
