@@ -68,21 +68,25 @@ RE = "(?iU)"
 
 
 def contact_spans(text: Column) -> Column:
-    emails, phones, handles = (extract_all(text, EMAIL), extract_all(text, PHONE), extract_all(text, HANDLE, 1))
+    at_sign = F.contains(text, F.lit("@"))  # both address patterns need one, and most texts have none
+    empty = F.array().cast("array<string>")
+    emails = F.when(at_sign, extract_all(text, EMAIL)).otherwise(empty)
+    handles = F.when(at_sign, extract_all(text, HANDLE, 1)).otherwise(empty)
+    phones = extract_all(text, PHONE)
     return F.struct(
         emails.alias("emails"),
         phones.alias("phones"),
         handles.alias("handles"),
         extract_all(text, URL).alias("urls"),
-        (text.rlike(EMAIL) | text.rlike(PHONE) | text.rlike(HANDLE)).alias("has_contact"),
+        ((at_sign & (text.rlike(EMAIL) | text.rlike(HANDLE))) | text.rlike(PHONE)).alias("has_contact"),
     )
 
 
 def mask_contacts(text: Column) -> Column:
     """Replace personal-data spans by their kind; the first kind wins where spans overlap."""
-    masked = F.regexp_replace(text, EMAIL, "<email>")
-    masked = F.regexp_replace(masked, PHONE, "<phone>")
-    return F.regexp_replace(masked, HANDLE, "<handle>")
+    at_sign = F.contains(text, F.lit("@"))
+    masked = F.regexp_replace(F.when(at_sign, F.regexp_replace(text, EMAIL, "<email>")).otherwise(text), PHONE, "<phone>")
+    return F.when(at_sign, F.regexp_replace(masked, HANDLE, "<handle>")).otherwise(masked)
 
 
 def company_names(text: Column) -> Column:

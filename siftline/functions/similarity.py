@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from siftline.functions import text as T
 
@@ -58,58 +59,75 @@ def sequence_ratio(left, right) -> Column:
     return _sequence_ratio(left, right)
 
 
+def _encode(text, size: int) -> np.ndarray:
+    """Sorted distinct 64-bit codes of the shingles of a text, in linear time."""
+    clean = "".join(c for c in (text or "").lower() if c.isalnum() or c.isspace())
+    points = np.frombuffer(clean.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    n = len(points) - size + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[j : j + n] + np.uint64(1)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h.view(np.int64))
+
+
+def _hash_family(n: int):
+    rng = np.random.default_rng(42)
+    odd = rng.integers(1, 2**63, size=n, dtype=np.uint64) | np.uint64(1)
+    return odd, rng.integers(0, 2**63, size=n, dtype=np.uint64)
+
+
+def _band_keys(codes: np.ndarray, bands: int, rows: int, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """One 64-bit key per band of the MinHash signature."""
+    if len(codes) == 0:
+        return np.empty(0, dtype=np.int64)
+    lows = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for start in range(0, len(codes), 512):  # blocks that fit the processor cache, also for long texts
+        block = codes.view(np.uint64)[start : start + 512, None] * odd[None, :] + add[None, :]
+        block ^= block >> np.uint64(32)
+        lows = np.minimum(lows, block.min(axis=0))
+    key = np.zeros(bands, dtype=np.uint64)
+    for r in range(rows):
+        key = key * np.uint64(0x100000001B3) + lows.reshape(bands, rows)[:, r]
+    return (key * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)).view(np.int64)
+
+
 def shingle_codes(size: int):
-    """Arrow function text -> sorted distinct 64-bit codes of its shingles (linear in the text)."""
+    """Arrow function text -> shingle codes."""
 
     @F.pandas_udf(ArrayType(LongType()))
     def codes(texts: pd.Series) -> pd.Series:
-        step, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-        def encode(s):
-            s = "".join(c for c in (s or "").lower() if c.isalnum() or c.isspace())
-            points = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-            n = len(points) - size + 1
-            if n <= 0:
-                return np.empty(0, dtype=np.int64)
-            h = np.zeros(n, dtype=np.uint64)
-            for j in range(size):
-                h = h * step + points[j : j + n] + np.uint64(1)
-            h ^= h >> np.uint64(29)
-            h *= mix
-            return np.unique(h.view(np.int64))
-
-        return texts.map(encode)
+        return texts.map(lambda s: _encode(s, size))
 
     return codes
 
 
-def band_keys(bands: int, rows: int):
-    """Arrow function shingle codes -> one 64-bit key per band of a MinHash signature."""
+def sketch(size: int, bands: int, rows: int):
+    """Arrow function text -> struct(same, bands): a 128-bit digest of its shingle set (of the text itself
+    where that is empty) and its band keys.  Small, whatever the length of the text."""
+    result = StructType([StructField("same", BinaryType()), StructField("bands", ArrayType(LongType()))])
 
-    @F.pandas_udf(ArrayType(LongType()))
-    def keys(code_lists: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(42)
-        odd = rng.integers(1, 2**63, size=bands * rows, dtype=np.uint64) | np.uint64(1)
-        add = rng.integers(0, 2**63, size=bands * rows, dtype=np.uint64)
-
-        def sign(codes):
-            if codes is None or len(codes) == 0:
-                return np.empty(0, dtype=np.int64)
-            codes = np.asarray(codes, dtype=np.int64).view(np.uint64)
-            lows = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
-            for start in range(0, len(codes), 4096):  # bounded memory for long texts
-                block = codes[start : start + 4096, None] * odd[None, :] + add[None, :]
-                block ^= block >> np.uint64(32)
-                lows = np.minimum(lows, block.min(axis=0))
-            key = np.zeros(bands, dtype=np.uint64)
-            for r in range(rows):
-                key = key * np.uint64(0x100000001B3) + lows.reshape(bands, rows)[:, r]
-            key = key * np.uint64(0x9E3779B97F4A7C15) + np.arange(bands, dtype=np.uint64)
-            return key.view(np.int64)
-
-        return code_lists.map(sign)
-
-    return keys
+    odd, add = _hash_family(bands * rows)
+
+    @F.pandas_udf(result)
+    def both(texts: pd.Series) -> pd.DataFrame:
+        codes = [_encode(s, size) for s in texts]
+        return pd.DataFrame(
+            {
+                "same": [
+                    hashlib.blake2b(
+                        c.tobytes() if len(c) else b"text:" + (s or "").lower().encode("utf-8"), digest_size=16
+                    ).digest()
+                    for s, c in zip(texts, codes)
+                ],
+                "bands": [_band_keys(c, bands, rows, odd, add) for c in codes],
+            }
+        )
+
+    return both
 
 
 def best_recent_match(

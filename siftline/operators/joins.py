@@ -48,6 +48,8 @@ def hash_then_prefix(
     one text cannot multiply.  Left texts shorter than the prefix are compared at their own length.
     """
     first_by_hash = right.groupBy(digest(F.col(text)).alias("_hash")).agg(F.min(right_id).alias("_hit"))
+    # at most `prefix` different sizes exist
+    sizes = left.agg(F.sort_array(F.collect_set(F.least(F.length(text), F.lit(prefix))))).scalar()
     probe = left.select(
         left_id,
         digest(F.col(text)).alias("_hash"),
@@ -55,24 +57,19 @@ def hash_then_prefix(
         F.least(F.length(text), F.lit(prefix)).alias("_size"),
     )
     matched = probe.join(first_by_hash, "_hash", "left")
-    exact = matched.filter(F.col("_hit").isNotNull()).select(
-        left_id, F.col("_hit").alias("match_id"), F.lit("hash").alias("match_by")
-    )
-    rest = matched.filter(F.col("_hit").isNull()).drop("_hit", "_hash")
-    # at most `prefix` different sizes exist
-    sizes = rest.agg(F.sort_array(F.collect_set("_size"))).scalar()
     first_by_prefix = (
         right.select(right_id, F.substring(text, 1, prefix).alias("_head"), sizes.alias("_sizes"))
         .withColumn("_size", F.explode(F.filter("_sizes", lambda n: n <= F.length("_head"))))
         .groupBy(F.expr("substring(_head, 1, _size)").alias("_prefix"), "_size")
-        .agg(F.min(right_id).alias("match_id"))
+        .agg(F.min(right_id).alias("_retry"))
     )
-    retried = rest.join(first_by_prefix, ["_prefix", "_size"], "left").select(
+    open_prefix = F.when(F.col("_hit").isNull(), F.col("_prefix"))  # a null key matches nothing
+    retried = matched.withColumn("_prefix", open_prefix).join(first_by_prefix, ["_prefix", "_size"], "left")
+    return retried.select(
         left_id,
-        "match_id",
-        F.when(F.col("match_id").isNotNull(), "prefix").alias("match_by"),
+        F.coalesce("_hit", "_retry").alias("match_id"),
+        F.when(F.col("_hit").isNotNull(), "hash").when(F.col("_retry").isNotNull(), "prefix").alias("match_by"),
     )
-    return exact.unionByName(retried)
 
 
 def containing(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -14,6 +15,11 @@ from siftline.lexicons import ru_scorer as ru
 
 RE = "(?iU)"
 
+
+def _flags(pattern: str) -> str:
+    """Flags for lower-cased text: ignoring case costs time on every character, so only where it matters."""
+    return RE if re.search(r"[A-ZА-ЯЁІЇЄҐ]", re.sub(r"\\.|\(\?[a-zA-Z]+\)", "", pattern)) else "(?U)"
+
 # Patterns that live outside the lexicon lists.
 BLOCKED_ROLE = (
     r"помощник|ассистент|(?<!seo[- ])автор|(?<!seo[- ])редактор|(?<!seo[- ])копирайтер|бизнесассистент|сценарист"
@@ -64,19 +70,20 @@ def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
     """One alternation per list: the text is scanned once and the pattern is compiled once."""
     if not patterns:
         return F.lit(False)
-    return F.coalesce(text.rlike(RE + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    joined = "|".join(f"(?:{p})" for p in patterns)
+    return F.coalesce(text.rlike(_flags(joined) + joined), F.lit(False))
 
 
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
     """Text matched by the first pattern of the list that matches, or null."""
     result = F.when(F.lit(False), F.lit(None).cast("string"))
     for p in patterns:
-        result = result.when(text.rlike(RE + p), F.regexp_extract(text, RE + p, 0))
+        result = result.when(text.rlike(_flags(p) + p), F.regexp_extract(text, _flags(p) + p, 0))
     return result
 
 
 def matched(text: Column, patterns: Sequence[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.rlike(RE + p), F.lit(p)) for p in patterns]))
+    return F.array_compact(F.array(*[F.when(text.rlike(_flags(p) + p), F.lit(p)) for p in patterns]))
 
 
 def is_spam(low: Column, lex: ScorerLexicon) -> Column:
@@ -136,9 +143,9 @@ def agency(low: Column, lex: ScorerLexicon) -> Column:
 def target_keyword(low: Column, lex: ScorerLexicon) -> Column:
     result = F.when(F.lit(False), F.lit(None).cast("string"))
     for word in lex.targets:
-        result = result.when(low.rlike(rf"{RE}\b\Q{word}\E\b"), word)
+        result = result.when(low.rlike(rf"(?U)\b\Q{word.lower()}\E\b"), word)
     for pattern in lex.positive:
-        result = result.when(low.rlike(RE + pattern), pattern)
+        result = result.when(low.rlike(_flags(pattern) + pattern), pattern)
     return result
 
 
@@ -167,7 +174,7 @@ def score_message(
     df = df.withColumn("_demand", F.when(going, F.struct(demand(low, lex).alias("d"), context(low, lex).alias("c"),
                                                          order_format(low, lex).alias("o"))))
     unknown = F.col("_name").isNull()
-    role = F.regexp_extract(low, RE + lex.blocked_role, 0)
+    role = F.regexp_extract(low, _flags(lex.blocked_role) + lex.blocked_role, 0)
     place = first_match(low, lex.locations)
     asks = F.greatest("_demand.d", "_demand.c", "_demand.o")
     reason = F.coalesce(

@@ -59,8 +59,8 @@ def join_lead_messages(t):
 )
 def join_hash_then_prefix(t):
     labels = t.labels.select("doc_id")
-    lost = t.documents.join(labels, "doc_id", "left_semi").select("doc_id", "text")
-    known = t.documents.join(labels, "doc_id", "left_anti").select(F.col("doc_id").alias("known_id"), "text")
+    lost = t.texts.join(labels, "doc_id", "left_semi").select("doc_id", "text")
+    known = t.texts.join(labels, "doc_id", "left_anti").select(F.col("doc_id").alias("known_id"), "text")
     return joins.hash_then_prefix(lost, known, "doc_id", "known_id", "text", T.text_hash)
 
 

@@ -30,7 +30,7 @@ _LOOKALIKE_SQL = f"translate(nfc_normalize(text), '{''.join(T.LOOKALIKES)}', '{'
 
 @query("fn_normalize_unicode", f"SELECT doc_id, md5({_LOOKALIKE_SQL}) AS norm_key FROM documents")
 def fn_normalize_unicode(t):
-    return t.documents.select("doc_id", F.md5(T.normalize_unicode(F.col("text"))).alias("norm_key"))
+    return t.texts.select("doc_id", F.md5(T.normalize_unicode(F.col("text"))).alias("norm_key"))
 
 
 @query(
@@ -83,7 +83,7 @@ def fn_mentions(t):
     f"SELECT doc_id, CAST(len(regexp_extract_all({SQL_CLEAN}, '[^{SQL_SPACE}]+')) AS INTEGER) AS word_count FROM documents",
 )
 def fn_word_count(t):
-    return t.documents.select("doc_id", T.word_count(F.lower("text")).alias("word_count"))
+    return t.texts.select("doc_id", T.word_count(F.lower("text")).alias("word_count"))
 
 
 @query(
@@ -234,7 +234,7 @@ def fn_entity_deadline(t):
 )
 def fn_contact_spans(t):
     """Personal data found in the documents, and the documents with it masked."""
-    return t.documents.select(
+    return t.texts.select(
         "doc_id",
         entities.contact_spans(F.col("text")).alias("c"),
         F.md5(entities.mask_contacts(F.col("text"))).alias("masked_key"),
@@ -451,7 +451,7 @@ def _leak_sql() -> str:
 
 @query("fn_tech_leak_check", _leak_sql())
 def fn_tech_leak_check(t):
-    return t.documents.select("doc_id", classify.leak_check(F.col("text")).alias("v")).select(
+    return t.texts.select("doc_id", classify.leak_check(F.col("text")).alias("v")).select(
         "doc_id", "v.verdict", "v.reason"
     )
 

@@ -52,7 +52,9 @@ def greedy(rows, threshold=0.7, size=3):
     return leader
 
 
-def test_near_duplicates_equal_greedy_brute_force(spark, messages):
+@pytest.mark.parametrize("few", [0, 2000])
+def test_near_duplicates_equal_greedy_brute_force(spark, messages, few, monkeypatch):
+    monkeypatch.setattr(dedup, "FEW", few)
     df = spark.createDataFrame(messages, "id LONG, text STRING")
     got = {r["id"]: r["leader_id"] for r in dedup.near_duplicates(df, "id", "text", bands=64, rows=3).collect()}
     want = greedy(messages)
