@@ -9,6 +9,7 @@ from siftline.lexicons.builtin import LATIN
 from siftline.operators import cascade, dedup, sessions, tables as jobs
 from siftline.plans.joins import by_day
 from siftline.plans.registry import query
+from siftline.plans.rules import _BOOSTED
 from siftline.plans.scans import EVENTS_NOW
 from siftline.plans.text_functions import SQL_SPACE
 
@@ -133,7 +134,12 @@ def hourly_tier_stream(t):
     ).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("hour_start"), "tier", "n")
 
 
-@query("stream_triage")
+@query(
+    "stream_triage",
+    f"""WITH {_BOOSTED}, h AS (SELECT *, md5(regexp_replace(lower(text), '[{SQL_SPACE}]+', '', 'g')) AS hash FROM t)
+        SELECT hash, min(doc_id) AS doc_id, arg_min(stage, doc_id) AS stage, arg_min(tier, doc_id) AS tier,
+               max(doc_id) AS last_seen FROM h GROUP BY hash""",
+)
 def stream_triage(t):
     """Batch twin of the continuous triage: deduplicate, decide, upsert by hash."""
     decided = cascade.triage(t.texts, LATIN)

@@ -8,6 +8,7 @@ from siftline.functions import text as T
 from siftline.lexicons.builtin import LATIN
 from siftline.operators import cascade, filters, joins, keyed, reports, tables as jobs
 from siftline.plans.registry import query
+from siftline.plans.rules import _BOOSTED, _CONTACT, _REASON
 from siftline.plans.text_functions import SQL_SPACE
 
 
@@ -168,7 +169,21 @@ def tbl_revalidate(t):
     return updated.drop("_hit")
 
 
-@query("tbl_recover_contacts")
+@query(
+    "tbl_recover_contacts",
+    f"""WITH l AS (SELECT doc_id, text, {_CONTACT} AS in_text,
+                          md5(regexp_replace(lower(text), '[{SQL_SPACE}]+', '', 'g')) AS hash
+                   FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)),
+             r AS (SELECT doc_id, text, md5(regexp_replace(lower(text), '[{SQL_SPACE}]+', '', 'g')) AS hash
+                   FROM documents ANTI JOIN labels USING (doc_id)),
+             h AS (SELECT hash, min(doc_id) AS hit FROM r GROUP BY hash),
+             e AS (SELECT l.*, h.hit FROM l LEFT JOIN h ON l.hash = h.hash),
+             p AS (SELECT e.doc_id, min(r.doc_id) AS hit FROM e JOIN r ON starts_with(r.text, substr(e.text, 1, 100))
+                   WHERE e.hit IS NULL GROUP BY 1)
+        SELECT e.doc_id, in_text, coalesce(e.hit, p.hit) AS match_id,
+               CASE WHEN in_text THEN 'text' WHEN coalesce(e.hit, p.hit) IS NOT NULL THEN 'stored' ELSE 'none' END AS found_in
+        FROM e LEFT JOIN p ON e.doc_id = p.doc_id""",
+)
 def tbl_recover_contacts(t):
     """Accepted rows without a contact: contact read from the text, else from the same text stored elsewhere."""
     from siftline.functions import entities
@@ -189,7 +204,13 @@ def tbl_recover_contacts(t):
     )
 
 
-@query("tbl_reprocess_rejected")
+@query(
+    "tbl_reprocess_rejected",
+    f"""WITH {_BOOSTED} SELECT doc_id, CASE WHEN is_lead THEN 'accepted' ELSE 'rejected' END AS status, {_REASON} AS reason,
+               tier FROM t SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id)
+        WHERE contains(lower(text), 'threat') OR contains(lower(text), 'tion') OR contains(lower(text), 'und')
+           OR contains(lower(text), 'les')""",
+)
 def tbl_reprocess_rejected(t):
     """Rejected rows that mention a wanted word go through the cascade again; leads are promoted."""
     rejected = t.texts.join(t.labels.filter(F.col("quality") == 0), "doc_id", "left_semi")

@@ -160,7 +160,11 @@ def fn_keywords(t):
     return t.conversations.select("conv_id", "turn", T.keywords(F.col("text"), stop).alias("keywords"))
 
 
-@query("fn_text_to_number")
+@query(
+    "fn_text_to_number",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN CAST(floor(o_totalprice / 1000) AS BIGINT) * 1000
+              ELSE 25000 END AS number FROM orders""",
+)
 def fn_text_to_number(t):
     """Order keys written as Russian amounts and read back."""
     amount = F.floor(F.col("o_totalprice") / 1000)
