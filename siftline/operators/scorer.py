@@ -66,12 +66,37 @@ class ScorerLexicon:
     negative: Sequence[str] = ()
 
 
+def _lead(pattern: str) -> str:
+    """Literal a match of the pattern must begin with (after word boundaries), or '' where there is none."""
+    if re.search(r"\|", re.sub(r"\((?:[^()]|\([^()]*\))*\)", "", pattern)):
+        return ""  # alternatives on the outermost level
+    literal = re.match(r"(?:\\b)*([^\\^$.|?*+()\[\]{}]*)", pattern)
+    lead, rest = literal.group(1), pattern[literal.end():]
+    if rest[:1] in ("?", "*", "{"):
+        lead = lead[:-1]
+    return lead.lower() if len(lead) >= 2 else ""
+
+
 def any_pattern(text: Column, patterns: Sequence[str]) -> Column:
-    """One alternation per list: the text is scanned once and the pattern is compiled once."""
+    """Whether any pattern of the list matches a lower-cased text: one alternation, and before it a cheap
+    search for the literals its patterns begin with."""
     if not patterns:
         return F.lit(False)
-    joined = "|".join(f"(?:{p})" for p in patterns)
-    return F.coalesce(text.rlike(_flags(joined) + joined), F.lit(False))
+    guarded = {p: lead for p in patterns if (lead := _lead(p))}
+    free = [p for p in patterns if p not in guarded]
+
+    def joined(some):
+        pattern = "|".join(f"(?:{p})" for p in some)
+        return _flags(pattern) + pattern
+
+    def test(s):
+        result = s.rlike(joined(free)) if free else F.lit(False)
+        if guarded:
+            leads = F.array(*map(F.lit, dict.fromkeys(guarded.values())))
+            result = result | (F.exists(leads, lambda lead: F.contains(s, lead)) & s.rlike(joined(guarded)))
+        return result
+
+    return F.coalesce(T.let(text, test), F.lit(False))
 
 
 def first_match(text: Column, patterns: Sequence[str]) -> Column:
@@ -165,9 +190,9 @@ def score_message(
         .when(emoji > 25, F.format_string("Избыток эмодзи (%d)", emoji))
         .when(is_offer(low, lex), "Предложение услуг (Sellers)")
     )
-    df = df.withColumn("_early", early)
+    df = T.computed_once(df, df.columns, [early.alias("_early")])
     going = F.col("_early").isNull()
-    df = df.withColumn("_spec", F.when(going, specialisation(low, lex)))
+    df = T.computed_once(df, df.columns, [F.when(going, specialisation(low, lex)).alias("_spec")])
     df = df.withColumn("_target", F.when(going & F.col("_spec.name").isNull(), target_keyword(low, lex)))
     by_keyword = F.col("_target").isNotNull()
     df = df.withColumn("_name", F.when(by_keyword, "Keyword Match").otherwise(F.col("_spec.name")))

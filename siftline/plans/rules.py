@@ -12,7 +12,7 @@ from siftline.functions import text as T
 from siftline.lexicons.builtin import LATIN, RUSSIAN
 from siftline.operators import cascade, dedup, scorer
 from siftline.plans.registry import query
-from siftline.session import spread
+from siftline.session import cut_lineage, spread
 from siftline.plans.text_functions import SQL_SPACE, SQL_WORD
 
 
@@ -263,9 +263,10 @@ def rule_decision_trail(t):
 )
 def triage_overview(t):
     """Flagship: exact deduplication, full cascade, tiers, and counts per source."""
-    kept = dedup.first_per_key(t.documents, T.text_hash(F.col("text")), "doc_id").select("doc_id")
-    fresh = t.texts.join(kept, "doc_id", "left_semi")
+    repeats = dedup.repeated_ids(t.texts, T.text_hash(F.col("text")), "doc_id")
+    fresh = t.texts.join(repeats, "doc_id", "left_anti")
     counts = cascade.triage(fresh, LATIN).groupBy("source", "stage", "tier").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)  # the total is taken from the counts, not from a second pass over the texts
     total = counts.agg(F.sum("n").alias("total")).scalar()
     return counts.withColumn("share_percent", F.round(F.col("n") * 100.0 / total, 2)).orderBy(F.desc("n"), "source")
 
