@@ -69,7 +69,7 @@ def win_audit_last_n(t):
 @query(
     "win_first_outreach",
     """SELECT conv_id, min(turn) FILTER (role = 'assistant') AS first_turn,
-              arg_min(substr(text, 1, 100), turn) FILTER (role = 'assistant') AS first_text,
+              arg_min(md5(text), turn) FILTER (role = 'assistant') AS first_text_key,
               coalesce(bool_or(role = 'system'), false) AS is_outreach
        FROM conversations GROUP BY conv_id""",
 )
@@ -78,7 +78,7 @@ def win_first_outreach(t):
     turn = F.when(outgoing, F.col("turn"))
     return t.conversations.groupBy("conv_id").agg(
         F.min(turn).alias("first_turn"),
-        F.min_by(F.substring("text", 1, 100), turn).alias("first_text"),
+        F.min_by(F.md5("text"), turn).alias("first_text_key"),
         F.bool_or(F.col("role") == "system").alias("is_outreach"),
     )
 

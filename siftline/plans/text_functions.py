@@ -490,10 +490,10 @@ def fn_emotion_state(t):
 @query(
     "fn_tag_extract",
     """SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'turn ' || turn END AS question,
-              md5(trim(substr(text, 1, 40))) AS clean_key FROM conversations""",
+              md5(trim(text)) AS clean_key FROM conversations""",
 )
 def fn_tag_extract(t):
-    body = F.substring("text", 1, 40)
+    body = F.col("text")
     marked = F.when(
         F.col("role") == "assistant", F.concat(body, F.lit(" [ASK_ADMIN: turn "), "turn", F.lit("]"))
     ).otherwise(body)
