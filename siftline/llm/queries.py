@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie
+from siftline.llm import bpe_trie, decontamination, simhash
 from siftline.llm.blocks import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,45 @@ def query(name: str, sql: str | None = None):
 @query("op6_bpe_trie")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode(read(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(len(w), 13) n, array_to_string(w[p : p + least(len(w), 13) - 1], ' ') win
+  FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) p FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT rid, p, n, array_to_string(w[p : p + n - 1], ' ') win
+  FROM (SELECT rid, w, n, unnest(range(1, greatest(1, len(w) - n + 2))) p
+        FROM d, (SELECT DISTINCT n FROM bw) s WHERE len(w) >= n)),
+hits AS (SELECT rid, p, dw.n, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+n_hit AS (
+  SELECT rid, count(DISTINCT q) c
+  FROM (SELECT rid, unnest(range(p, p + n)) q FROM (SELECT DISTINCT rid, p, n FROM hits)) GROUP BY rid),
+n_item AS (
+  SELECT rid, count(*) c, string_agg(item, ',' ORDER BY item) ids FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(coalesce(h.c, 0) AS BIGINT) n_hit,
+       CAST(coalesce(i.c, 0) AS BIGINT) n_items, sha256(coalesce(ids, '')) items_sha256,
+       coalesce(h.c, 0) > 0 AND 20 * coalesce(h.c, 0) >= len(w) contaminated
+FROM d LEFT JOIN n_hit h USING (rid) LEFT JOIN n_item i USING (rid)
+"""
+
+
+@query("op3_decontamination", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.clusters(read(spark, sf_dir, "documents"))
