@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie, decontamination, simhash
+from siftline.llm import bpe_trie, decontamination, oph_minhash, simhash
 from siftline.llm.blocks import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op7_one_permutation_minhash")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oph_minhash.neighbours(read(spark, sf_dir, "documents"))
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(read(spark, sf_dir, "documents"))
