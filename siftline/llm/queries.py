@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie, decontamination, oph_minhash, simhash
+from siftline.llm import bpe_trie, decontamination, oph_minhash, simhash, url_aliases
 from siftline.llm.blocks import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,59 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+OP5_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 2), '') path,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 3), '') query
+  FROM pages),
+l AS (
+  SELECT url, host, path, host || path || query a, unnest([
+    regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>', 0),
+                   '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
+    regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>', 0),
+                   '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) link
+  FROM p WHERE host <> ''),
+t AS (
+  SELECT a, CASE
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN 'x:' || link
+    WHEN starts_with(link, '/') THEN 'x://' || host || link
+    ELSE 'x://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END target
+  FROM l WHERE link <> ''),
+e AS (
+  SELECT a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+            || regexp_extract(target, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 2)
+            || regexp_extract(target, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 3) b
+  FROM t WHERE regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1) <> ''),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, w.b FROM reach r JOIN both_ways w ON r.other = w.a),
+r(decision, h, q) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+nodes AS (SELECT DISTINCT other n, regexp_extract(other, '^[^/?#]*') host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) path FROM reach),
+node_rule AS (
+  SELECT n, arg_max(decision, length(h || q)) decision FROM nodes
+  JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY n),
+passed AS (
+  SELECT node, bool_or(decision = 'block') AND NOT bool_or(decision = 'allow') blocked
+  FROM reach JOIN node_rule ON other = n GROUP BY node),
+page_rule AS (
+  SELECT host, path, arg_max(h || q, length(h || q)) rule, arg_max(decision, length(h || q)) decision
+  FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY ALL)
+SELECT page_id, p.host, p.path, g.rule,
+       coalesce(g.decision, CASE WHEN blocked THEN 'block' END, 'allow') verdict
+FROM p LEFT JOIN page_rule g ON g.host = p.host AND g.path = p.path
+LEFT JOIN passed ON node = p.host || p.path || query AND p.host <> ''
+"""
+
+
+@query("op5_url_aliases", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_aliases.judge(read(spark, sf_dir, "pages"))
+
+
 @query("op6_bpe_trie")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode(read(spark, sf_dir, "documents"))
