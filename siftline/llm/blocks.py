@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a task handles at a time; a single longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

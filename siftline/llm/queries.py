@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie, decontamination, oph_minhash, simhash, url_aliases
+from siftline.llm import bpe_trie, decontamination, oph_minhash, simhash, toxicity, url_aliases
 from siftline.llm.blocks import read
+from siftline.llm.labelled import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -82,6 +83,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.encode(read(spark, sf_dir, "documents"))
 
 
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () rid, doc_id,
