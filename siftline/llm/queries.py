@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie, decontamination, oph_minhash, simhash, toxicity, url_aliases
+from siftline.llm import bpe_trie, decontamination, oph_minhash, quality, simhash, toxicity, url_aliases
 from siftline.llm.blocks import read
 from siftline.llm.labelled import remainder
 
@@ -133,6 +133,14 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph_minhash.neighbours(read(spark, sf_dir, "documents"))
 
 
+@query("op8_nb_svm_quality")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(read(spark, sf_dir, "documents"))
