@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie, decontamination, oph_minhash, quality, simhash, toxicity, url_aliases
+from siftline.llm import bpe_trie, decontamination, oph_minhash, pii, quality, secret_scan, simhash, token_spans, toxicity, url_aliases
 from siftline.llm.blocks import read
 from siftline.llm.labelled import remainder
 
@@ -25,6 +25,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find(read(spark, sf_dir, "documents"))
+
+
 OP5_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, html,
@@ -91,6 +96,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query("op2_token_spans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_spans.by_section(read(spark, sf_dir, "documents"))
+    tokens = F.sha2(F.array_join(F.col("section_tokens").cast("array<string>"), ","), 256).alias("sections_sha256")
+    return found.select("doc_id", "n_tokens", "n_sections", "n_crossing", "most_tokens", tokens, "ids_sha256")
+
+
 OP3_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () rid, doc_id,
@@ -144,3 +156,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.clusters(read(spark, sf_dir, "documents"))
+
+
+@query("op10_pii_crf")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
