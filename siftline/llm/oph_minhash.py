@@ -10,12 +10,12 @@ for which the estimate is corrected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import let
 from siftline.llm.blocks import id_and_text
+from siftline.session import cut_lineage
 
 SHINGLE = 5
 BIN_BITS, KEPT_BITS = 8, 4
@@ -113,20 +113,36 @@ def _following(ids: DataFrame) -> DataFrame:
     )
 
 
+#: Up to so many (group, id) pairs are broadcast to fetch first rows that ids of multiples of STRIDE do not announce.
+FEW_JUMPS = 100_000
+
+
 def with_next(rows: DataFrame, id_col: str, ties: list[str], carried: list[str]) -> DataFrame:
-    """Adds ``_next``, a struct of the ``carried`` columns of the following row by id (then ``ties``); after the last, the first.
+    """Adds ``next_<column>``: the ``carried`` columns of the following row by id (then ``ties``); after the last, the first.
 
-    Rows are grouped by a stride of ids, so no task orders more than a stride of them (and rows of equal id).  The last
-    row of a group takes the first row of the next group that has any.  Null ids come first.
+    Rows are grouped by a stride of ids, so no task orders more than a stride of them (and rows of equal id).  A row
+    whose id starts a stride is also sent to the group before it, whose last row needs it; this moves each row once.
+    Groups that no such row follows (gaps, the very last group) fetch the first row of the next group by its id, which
+    a pass over the ids alone has found.  Null ids come first.
     """
-    grouped = rows.withColumn("_group", F.floor(F.coalesce(F.col(id_col), F.lit(-(1 << 62))) / STRIDE).cast("long"))
+    group = F.floor(F.coalesce(F.col(id_col), F.lit(-(1 << 62))) / STRIDE).cast("long")
+    bounds = rows.select(group.alias("group"), F.col(id_col).alias("low")).groupBy("group").agg(F.min("low").alias("low"))
+    after = _following(bounds.select(F.col("group").alias("id")))
+    jumps = cut_lineage(
+        after.join(bounds.withColumnRenamed("group", "next"), "next")
+        .where(F.col("low").isNull() | (F.col("next") != F.col("id") + 1) | (F.col("low") != F.col("next") * STRIDE))
+        .select(F.col("id").alias("_from"), F.col("low").alias("_low"))
+    )
+    few = jumps.limit(FEW_JUMPS + 1).count() <= FEW_JUMPS
+    fetched = rows.join(F.broadcast(jumps) if few else jumps, F.col(id_col).eqNullSafe(F.col("_low")))
+    first = fetched.groupBy("_from").agg(F.min_by(F.struct(*carried), F.struct(*ties)).alias("_first"))
+    homes = F.when(F.col(id_col) % STRIDE == 0, F.array(group, group - 1)).otherwise(F.array(group))
+    sent = rows.select("*", F.explode(homes).alias("_group"))
     order = Window.partitionBy("_group").orderBy(id_col, *ties)
-    led = grouped.withColumn("_next", F.lead(F.struct(*carried)).over(order)).withColumn("_head", F.lag(F.lit(1)).over(order).isNull())
-    after = _following(grouped.select(F.col("_group").alias("id")).distinct())
-    heads = led.where("_head").select(F.col("_group").alias("next"), F.struct(*carried).alias("_first"))
-    jump = heads.join(after, "next").select(F.col("id").alias("_from"), "_first")
-    joined = led.join(jump, (F.col("_group") == F.col("_from")) & F.col("_next").isNull(), "left")
-    return joined.select(*rows.columns, F.coalesce("_next", "_first").alias("_next"))
+    led = sent.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in carried], F.lead(F.lit(1)).over(order).alias("_more"))
+    own = led.where(F.col("_group") == group)
+    joined = own.join(first, (F.col("_group") == F.col("_from")) & F.col("_more").isNull(), "left")
+    return joined.select(*rows.columns, *[F.when(F.col("_more").isNull(), F.col(f"_first.{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carried])
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,9 +156,9 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     led = with_next(base, "doc_id", ["text"], ["text", "fingerprint"])
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.left("text", n - quarter), F.left("_next.text", quarter))
+    edited = F.concat(F.left("text", n - quarter), F.left("next_text", quarter))
     made = led.select(
-        "doc_id", n.cast("long").alias("n_chars"), "fingerprint", F.col("_next.fingerprint").alias("next_fingerprint"),
+        "doc_id", n.cast("long").alias("n_chars"), "fingerprint", "next_fingerprint",
         let(edited, lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp"))).alias("edited"),
     )
     made = made.select("doc_id", "n_chars", F.col("edited.sha").alias("edited_sha256"), "fingerprint", F.col("edited.fp").alias("edited_fingerprint"), "next_fingerprint")
