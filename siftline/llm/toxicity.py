@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.blocks import Words, finish, id_and_text, map_blocks
+from siftline.llm.blocks import Words, finish, id_and_text, keep_blocks, map_blocks
 from siftline.llm.labelled import best_threshold, remainder, sample, sigmoid
 
 WINDOW, STRIDE = 32, 16
@@ -205,8 +205,8 @@ def _sum_rows(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _telling(inputs: Inputs, toxic: np.ndarray, at_once: int = 2000) -> np.ndarray:
-    """For each window, the largest log-ratio (toxic to other documents) of an input of its words: the first choice of windows."""
+def _telling(inputs: Inputs, toxic: np.ndarray, at_once: int = 2000) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Log-ratios (toxic to other documents) of the input rows, and for each window the largest one of its words."""
     n_words = len(inputs.word)
     kinds = [(inputs.word, np.ones(n_words, np.int64), WORD_ROWS), *((*inputs.grams[n], GRAM_ROWS[n]) for n in GRAM_ROWS if n > 3)]
     counts = [np.zeros((2, size)) for _, _, size in kinds]
@@ -223,12 +223,14 @@ def _telling(inputs: Inputs, toxic: np.ndarray, at_once: int = 2000) -> np.ndarr
             seen = np.unique(np.repeat(doc, own) * size + rows[at])
             for y in (0, 1):
                 count[y] += np.bincount(seen[toxic[seen // size] == y] % size, minlength=size)
-    word_best = np.full(n_words + 1, -9.0)
+    word_best, ratios = np.full(n_words + 1, -9.0), []
     for (rows, number, _), count in zip(kinds, counts):
-        ratio = np.log((count[1] + 0.2) / (toxic.sum() + 1)) - np.log((count[0] + 0.2) / ((1 - toxic).sum() + 1))
+        ratio = np.log((count[1] + 0.2) / ((toxic == 1).sum() + 1)) - np.log((count[0] + 0.2) / ((toxic == 0).sum() + 1))
         ratio[count[1] < 2] = -9
         word_best[:-1] = np.maximum(word_best[:-1], np.maximum.reduceat(ratio[rows], np.cumsum(number) - number))
-    return np.concatenate([word_best[inputs.ids(np.arange(a, min(a + 4096, len(inputs.doc))))].max(axis=1) for a in range(0, len(inputs.doc), 4096)])
+        ratios.append(np.where(count[1] < 3, 0, np.maximum(ratio, 0)))
+    value = np.concatenate([word_best[inputs.ids(np.arange(a, min(a + 4096, len(inputs.doc))))].max(axis=1) for a in range(0, len(inputs.doc), 4096)])
+    return value, ratios
 
 
 def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7) -> dict:
@@ -241,7 +243,9 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, seed: int = 7) ->
     if not len(inputs.doc):
         return {"p": model.p, "scale": (0.0, 0.0, -3.0)}
     fit = ~check[inputs.doc]
-    value = _telling(inputs, np.where(check, 0, y))
+    value, ratios = _telling(inputs, np.where(check, -1, y))
+    for table, ratio in zip(("word", *(f"gram{n}" for n in GRAM_ROWS if n > 3)), ratios):
+        model.p[table][:, 0] = ratio / 4  # the first place of these embeddings starts from how telling the input is
     positive, negative = np.flatnonzero(fit & (y[inputs.doc] == 1)), np.flatnonzero(fit & (y[inputs.doc] == 0))
     rank_of = lambda value: _rank_in_doc(inputs.doc, value)
     batches = 1 + 2 * len(positive) // BATCH
@@ -318,3 +322,8 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         return {"doc_id": block.column("doc_id"), "score": pa.array(found, pa.float64()), "predicted": pa.array((found >= CUT).astype(np.int32))}
 
     return map_blocks(id_and_text(docs, id_col, text_col), work, "doc_id long, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without those whose text scores CUT or more."""
+    return keep_blocks(docs, text_col, lambda texts: score_texts(model, texts) < CUT)
