@@ -1,25 +1,58 @@
-"""A corpus pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A corpus pipeline over ``documents``: each stage takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All stages but the last return the columns of ``docs``; each works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie
+from siftline.llm import bpe_trie, decontamination, pii, simhash, toxicity
 from siftline.llm.blocks import read
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go; it is trained on the labelled rows of the whole ``documents`` table."""
+    model = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component stays, the one with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated with benchmark passages go."""
+    return decontamination.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; ``n_chars`` follows the text."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document that is left."""
     return bpe_trie.encode(docs)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", mask_personal_data),
+    ("bpe", encode),
+]
 
-#: The stages hold models and a tokenizer, which SQL cannot express; tests compare with a brute-force version.
+#: Two stages hold trained models, which SQL cannot express; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over ``documents``."""
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

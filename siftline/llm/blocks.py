@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most, so that a batch of very long texts fits a worker; a smaller setting of the session stays.
+BATCH_ROWS = 1000
 #: Text bytes that a task handles at a time; a single longer text is a block of its own.
 BLOCK_BYTES = 3_000_000
 
@@ -24,10 +27,12 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about BLOCK_BYTES of text."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        if not batch.num_rows:
+            continue
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         group = (np.cumsum(sizes) - 1) // BLOCK_BYTES
         cuts = np.flatnonzero(np.diff(group)) + 1
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
@@ -35,9 +40,43 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
                 yield batch.slice(a, b - a)
 
 
+def _bound_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def keep_blocks(docs: DataFrame, column: str, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text ``keep`` admits; a null text is passed as the empty one."""
+    place = docs.columns.index(column)
+    _bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for block in blocks(batches, place):
+            texts = [t or "" for t in block.column(place).to_pylist()]
+            yield block.filter(pa.array(np.asarray(keep(texts), dtype=bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def rewrite_blocks(docs: DataFrame, place: int, rewrite: Callable[[list[str]], list[str]]) -> DataFrame:
+    """``docs`` with the texts of the column at ``place`` rewritten; nulls stay, all other columns pass as they are."""
+    _bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for block in blocks(batches, place):
+            texts = block.column(place).to_pylist()
+            made = [None if t is None else m for t, m in zip(texts, rewrite([t or "" for t in texts]))]
+            columns = [pa.array(made, pa.string()) if i == place else c for i, c in enumerate(block.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=block.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def map_blocks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``work`` (a block -> columns by name) to every block of ``df``, in Arrow batches."""
     names = [part.split()[0] for part in schema.split(", ")]
+    _bound_batches(df.sparkSession)
 
     def run(batches):
         for block in blocks(batches):

@@ -15,9 +15,8 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from siftline.llm.blocks import id_and_text, map_blocks
+from siftline.llm.blocks import id_and_text, map_blocks, rewrite_blocks
 from siftline.llm.pii_examples import ROWS
 
 KINDS = ("email", "ip", "card", "phone")
@@ -325,12 +324,9 @@ def masked(text: str, found: list[Span]) -> str:
 
 def mask(docs: DataFrame, model: dict | None = None, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced; a null text stays null, all other columns as they are."""
-    model = model or train()
+    model, place = model or train(), docs.columns.index(text_col)
 
-    @F.pandas_udf("string")
-    def replace(texts):
-        values = ["" if t is None else t for t in texts]
-        made = [masked(t, every) for t, (_, every) in zip(values, spans(model, values))]
-        return type(texts)([None if t is None else m for t, m in zip(texts, made)])
+    def replace(texts: list[str]) -> list[str]:
+        return [masked(t, every) for t, (_, every) in zip(texts, spans(model, texts))]
 
-    return docs.withColumn(text_col, replace(F.col(text_col)))
+    return rewrite_blocks(docs, place, replace)

@@ -45,13 +45,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: the fingerprint of every whole text as a signed 64-bit number; 0 for texts without words."""
+    """``(doc_id, text_key, fp)``: the fingerprint of every whole text as a signed 64-bit number, 0 for texts without
+    words, and a hash of the text that tells rows of equal id apart."""
 
     def work(block: pa.RecordBatch) -> dict:
         found = np.array([fingerprint(t) for t in block.column("text").to_pylist()], np.uint64)
-        return {"doc_id": block.column("doc_id"), "fp": pa.array(found.view(np.int64))}
+        return {"doc_id": block.column("doc_id"), "text_key": block.column("text_key"), "fp": pa.array(found.view(np.int64))}
 
-    return map_blocks(id_and_text(docs, id_col, text_col), work, "doc_id long, fp long")
+    keyed = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
+    return map_blocks(keyed, work, "doc_id long, text_key long, fp long")
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -89,6 +91,16 @@ def links(fps: DataFrame) -> DataFrame:
     return compared.union(tied.select(F.col("low").alias("a"), F.explode("all").alias("b")).where("a <> b"))
 
 
+def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_key, fp, component_id`` of every row."""
+    marked = cut_lineage(fingerprints(docs, id_col, text_col))
+    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(distinct.select("fp")))
+    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp")
+
+
 def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits), ``component_id``: the smallest id reachable over links of TAU bits.
 
@@ -96,9 +108,22 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty or all white space have fingerprint zero.  Rows with a null id take part; a component of only such rows has a
     null id.  Repeated rows stay; an empty table gives no rows; other columns are not read.
     """
-    marked = cut_lineage(fingerprints(docs, id_col, text_col))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp")))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _members(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of the smallest id (null ids last), then the
+    smallest hash of the text; of rows equal in both, one."""
+    members = cut_lineage(_members(docs, id_col, text_col))
+    rank = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_key")
+    heads = members.groupBy("root").agg(F.min(rank).alias("rank")).select("rank")
+    keys = members.withColumn("rank", rank).groupBy("rank", "doc_id", "text_key").agg(F.count("*").alias("n"))
+    gone = keys.join(heads, "rank", "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    same = lambda: F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    kept = docs.join(gone, same(), "left_anti")
+    repeated = cut_lineage(keys.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, same(), "left_semi").withColumn("_key", key).dropDuplicates([id_col, "_key"]).drop("_key")
+    return kept.join(repeated, same(), "left_anti").unionByName(once)
