@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.lexicons import ru
+from siftline.lexicons import ru, topics
 from siftline.lexicons.model import Lexicon, ScoreGroup
 
 # Urgency and quality cues of the priority.
@@ -36,7 +36,7 @@ RUSSIAN = Lexicon(
     topics_irrelevant=ru.TOPICS_IRRELEVANT,
     urgent=URGENT,
     quality=QUALITY,
-    directions=ru.DIRECTION_KEYWORDS,
+    directions=topics.DIRECTION_KEYWORDS,
     negations=ru.NEGATION_TEMPLATES,
     request_cues=ru.REQUEST_CUES,
 )

@@ -393,25 +393,3 @@ REQUEST_CUES = [
     "нанимаем",
     "нанять",
 ]
-
-# Base vocabulary of each topic, in order of precedence.  The full vocabulary is a parameter:
-# pass a table (topic, keyword, ordinal) or a mapping to `rules.direction_score`.
-DIRECTION_KEYWORDS = {
-    "SEO": [
-        "seo", "сео", "поисковое продвижение", "позиции в поиске", "ссылочная масса", "семантическое ядро",
-        "продвижение сайта", "органический трафик", "поисковая оптимизация", "топ выдачи", "индексация",
-    ],
-    "контекстная реклама": [
-        "яндекс директ", "yandex direct", "google ads", "контекстная реклама", "директ", "контекст", "рся", "кмс",
-        "ретаргетинг", "ремаркетинг",
-    ],
-    "таргет вк": ["таргет вк", "реклама вк", "vk ads", "mytarget", "таргетолог вк", "реклама вконтакте"],
-    "авито": ["авито", "avito"],
-    "разработка сайтов": [
-        "tilda", "тильда", "wordpress", "битрикс", "opencart", "сайт", "лендинг", "landing page",
-        "интернет-магазин", "создание сайта", "разработка сайта",
-    ],
-    "маркетинг": ["маркетинг", "digital", "маркетолог", "маркетинговая стратегия", "комплексное продвижение"],
-    "интернет-маркетинг": ["интернет маркетинг", "онлайн маркетинг", "интернет продвижение", "трафик на сайт"],
-    "веб-дизайн": ["веб дизайн", "ui/ux", "figma", "дизайн сайта", "прототип", "логотип", "брендинг"],
-}

@@ -155,21 +155,43 @@ def direction_score(text: Column, lex: Lexicon, directions=None) -> Column:
     return T.let(F.lower(text), lambda low: _best_topic(low, lex, dict(directions or lex.directions)))
 
 
+BEFORE, AFTER = r"\s+{kw}", r"{kw}\s+"
+
+
+def _negation_context(low: Column, lex: Lexicon, longest: int) -> Column:
+    """struct(follows, precedes): what follows each negation, up to ``longest`` characters, and what precedes each one.
+
+    Both patterns are fixed for the lexicon; no pattern is built from a keyword.
+    """
+    odd = [n for n in lex.negations if not (n.endswith(BEFORE) or n.startswith(AFTER))]
+    if odd:
+        raise ValueError(f"a negation has to start or end with the keyword: {odd}")
+    before = "|".join(f"(?:{n.removesuffix(BEFORE)})" for n in lex.negations if n.endswith(BEFORE))
+    after = "|".join(f"(?:{n.removeprefix(AFTER)})" for n in lex.negations if n.startswith(AFTER))
+    none = F.array().cast("array<string>")
+    follows = F.regexp_extract_all(low, F.lit(rf"(?U)(?s)(?=(?:{before})\s+(\S.{{0,{longest}}}))"), F.lit(1)) if before else none
+    pieces = F.split(low, rf"(?U)\s+(?:{after})") if after else F.array(low)
+    return F.struct(follows.alias("follows"), F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("precedes"))
+
+
 def _best_topic(low: Column, lex: Lexicon, topics: dict) -> Column:
     cues = F.lit("(?:" + "|".join(f"\\Q{c}\\E" for c in lex.request_cues) + ")")
-    template = F.lit(U + "|".join(f"(?:{n})" for n in lex.negations))
+    longest = max((len(w) for words in topics.values() for w in words), default=1)
+
+    def best(context):
+        candidates = []
+        for order, (topic, words) in enumerate(topics.items()):
+            found = _contained(words, low)
+            total = F.aggregate(found, F.lit(0.0), lambda acc, w: acc + _keyword_weight(low, w, cues, context))
+            candidates.append(F.struct(total.alias("total"), F.lit(-order).alias("order"), F.lit(topic).alias("topic")))
+        top = F.array_max(F.array(*candidates))
+        return F.when(top["total"] > 0, top["topic"]).otherwise(F.lit("Unknown"))
 
-    candidates = []
-    for order, (topic, words) in enumerate(topics.items()):
-        found = _contained(words, low)
-        total = F.aggregate(found, F.lit(0.0), lambda acc, w: acc + _keyword_weight(low, w, cues, template))
-        candidates.append(F.struct(total.alias("total"), F.lit(-order).alias("order"), F.lit(topic).alias("topic")))
-    best = F.array_max(F.array(*candidates))
-    return F.when(best["total"] > 0, best["topic"]).otherwise(F.lit("Unknown"))
+    return T.let(_negation_context(low, lex, longest), best)
 
 
-def _keyword_weight(low: Column, keyword: Column, cues: Column, template: Column) -> Column:
-    negated = F.regexp(low, F.replace(template, F.lit("{kw}"), F.concat(F.lit("\\Q"), keyword, F.lit("\\E"))))
+def _keyword_weight(low: Column, keyword: Column, cues: Column, context: Column) -> Column:
+    negated = F.exists(context["follows"], lambda s: F.startswith(s, keyword)) | F.exists(context["precedes"], lambda s: F.endswith(s, keyword))
     at = F.position(keyword, low)
     start = F.greatest(at - 80, F.lit(1))
     window = F.substring(low, start, at + F.length(keyword) + 80 - start)

@@ -1,3 +1,4 @@
+import re
 from dataclasses import replace
 
 import pytest
@@ -113,6 +114,33 @@ def test_direction(spark, text, topic):
     assert spark.range(1).select(cascade.direction_score(F.lit(text), RUSSIAN).alias("d")).first()["d"] == topic
 
 
+def brute_topic(text):
+    """The rule in plain Python: keywords add 1, 2.5 near a request, -10 if negated; the first best topic with a positive sum."""
+    low, sums = text.lower(), {}
+    for topic, words in RUSSIAN.directions.items():
+        total = 0.0
+        for w in words:
+            if w in low:
+                at = low.find(w)
+                near = low[max(0, at - 80) : at + len(w) + 80]
+                negated = any(re.search(n.replace("{kw}", re.escape(w)), low) for n in RUSSIAN.negations)
+                total += -10 if negated else 2.5 if any(c in near for c in RUSSIAN.request_cues) else 1
+        if total > 0:
+            sums[topic] = total
+    return max(sums, key=sums.get) if sums else "Unknown"
+
+
+def test_every_keyword_gives_its_topic(spark):
+    """All keywords, plain, requested, negated before and after, and two at a time."""
+    words = [w for topic in RUSSIAN.directions.values() for w in topic]
+    assert len(words) == 792
+    forms = ["{a}", "Ищем: {a}, срочно", "не нужен {a}", "{a} не требуется", "у нас есть {a}, нужен {b}", "без  {b} и {a}", "сам веду {a} свой {b}"]
+    texts = [form.format(a=w, b=words[(7 * i + 3) % len(words)]) for i, w in enumerate(words) for form in forms]
+    df = spark.createDataFrame([(t,) for t in texts], "text STRING").repartition(8)
+    got = {r["text"]: r["d"] for r in df.select("text", cascade.direction_score(F.col("text"), RUSSIAN).alias("d")).collect()}
+    assert got == {t: brute_topic(t) for t in texts}
+
+
 def test_direction_vocabulary_is_a_parameter(spark):
     got = cascade.direction_score(F.lit("нужен ландшафт"), RUSSIAN, {"сад": ["ландшафт"]})
     assert spark.range(1).select(got.alias("d")).first()["d"] == "сад"
