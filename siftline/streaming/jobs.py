@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -150,7 +151,7 @@ def upsert_batch(path: str, buckets: int = 64):
     """foreachBatch sink: upsert by hash into a Parquet table partitioned by hash bucket.
 
     Only the buckets a batch touches are read and replaced.  Repeating a batch changes nothing, because an
-    upsert of the same rows gives the same table.
+    upsert of the same rows gives the same table.  Where batches touch most buckets, ``append_batch`` writes less.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -163,8 +164,10 @@ def upsert_batch(path: str, buckets: int = 64):
         schema = incoming.schema
         try:
             stored = spark.read.schema(schema).parquet(path).filter(F.col("bucket").isin(touched))
-        except Exception:  # the first batch finds no table
-            stored = incoming.limit(0)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # a table that cannot be read is not an empty one
+                raise
+            stored = incoming.limit(0)  # the first batch finds no table
         keep = [c for c in columns if c not in ("hash", "last_seen")] + ["bucket"]
         merged = tables.upsert_first_wins(stored.select(*incoming.columns), incoming, "hash", [keep[0]], "last_seen", keep)
         (
@@ -179,17 +182,44 @@ def upsert_batch(path: str, buckets: int = 64):
     return write
 
 
+def append_batch(path: str):
+    """foreachBatch sink: each batch is one partition of a Parquet table, upserted within itself; nothing is rewritten.
+
+    A repeated batch replaces its own partition.  ``folded`` reads the table, ``compact`` writes it as one batch.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        keep = [c for c in batch.columns if c not in ("hash", "last_seen")]
+        once = tables.upsert_first_wins(batch.limit(0), batch, "hash", [keep[0]], "last_seen", keep)
+        once.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def folded(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each hash: the first write, and the last time it was seen."""
+    rows = spark.read.parquet(path)
+    keep = [c for c in rows.columns if c not in ("hash", "last_seen", "batch")]
+    return tables.upsert_first_wins(rows.limit(0), rows, "hash", ["batch", keep[0]], "last_seen", keep)
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """The folded table as batch -1 of a new table, for later batches to be appended to."""
+    folded(spark, path).write.mode("overwrite").parquet(f"{target}/batch=-1")
+
+
 def triage(
     messages: DataFrame, lexicon: Lexicon, path: str, checkpoint: str, ident: str = "doc_id", text: str = "text",
-    seconds: int | None = None,
+    seconds: int | None = None, sink=upsert_batch,
 ) -> StreamingQuery:
     """Continuous triage: features, decision and priority of each new message, upserted by text hash.
 
-    ``seconds`` sets the rest between micro-batches; without it all available input is processed once.
+    ``seconds`` sets the rest between micro-batches; without it all available input is processed once.  ``sink``:
+    ``upsert_batch`` keeps one row for each hash on disk, ``append_batch`` one for each hash and batch.
     """
     decided = cascade.triage(messages, lexicon, text).select(
         T.text_hash(F.col(text)).alias("hash"), ident, "stage", "tier", "priority", F.col(ident).alias("last_seen")
     )
-    writer = decided.writeStream.foreachBatch(upsert_batch(path)).option("checkpointLocation", checkpoint)
+    writer = decided.writeStream.foreachBatch(sink(path)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)
     return writer.start()

@@ -112,3 +112,34 @@ def test_triage_stream_upserts(spark, tmp_path):
     batch = spark.read.parquet(str(tmp_path / "out")).drop("bucket")
     jobs.upsert_batch(str(tmp_path / "out"))(batch, 9)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def upserts():
+    first = [("a", 1, "x", 10), ("b", 2, "y", 11), ("a", 3, "z", 12)]
+    return first, [("c", 4, "x", 20), ("a", 5, "w", 21)]
+
+
+def test_upsert_does_not_take_a_broken_table_for_an_empty_one(spark, tmp_path):
+    first, second = (spark.createDataFrame(rows, "hash STRING, doc_id LONG, stage STRING, last_seen LONG") for rows in upserts())
+    path = tmp_path / "out"
+    jobs.upsert_batch(str(path))(first, 0)
+    for file in path.rglob("*.parquet"):
+        file.chmod(0o644)
+        file.write_bytes(b"not parquet")
+    before = {f: f.read_bytes() for f in path.rglob("*.parquet")}
+    with pytest.raises(Exception):
+        jobs.upsert_batch(str(path))(second, 1)
+    assert {f: f.read_bytes() for f in path.rglob("*.parquet") if f in before} == before
+
+
+def test_appended_batches_fold_to_the_upserted_table(spark, tmp_path):
+    batches = [spark.createDataFrame(rows, "hash STRING, doc_id LONG, stage STRING, last_seen LONG") for rows in upserts()]
+    for name, sink in (("upserted", jobs.upsert_batch), ("appended", jobs.append_batch)):
+        for i in (0, 1, 1):  # the last batch is repeated
+            sink(str(tmp_path / name))(batches[i], i)
+    columns = ["hash", "doc_id", "stage", "last_seen"]
+    want = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "upserted")).select(columns).collect())
+    assert want == [("a", 1, "x", 21), ("b", 2, "y", 11), ("c", 4, "x", 20)]
+    assert sorted(tuple(r) for r in jobs.folded(spark, str(tmp_path / "appended")).select(columns).collect()) == want
+    jobs.compact(spark, str(tmp_path / "appended"), str(tmp_path / "compacted"))
+    assert sorted(tuple(r) for r in jobs.folded(spark, str(tmp_path / "compacted")).select(columns).collect()) == want
