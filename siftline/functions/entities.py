@@ -241,9 +241,7 @@ def niche(text: Column) -> Column:
         pattern_kind = pattern_kind.when(hit, kind)
         raw = raw.when(hit, F.regexp_extract(low, RE + pattern, 1))
     strip = f"^[{SPACE}]+|[{SPACE}]+$"
-    extracted = F.substring(
-        F.regexp_replace(F.regexp_replace(raw, strip, ""), r"(?U)\s+(и|или|,)\s+.*$", ""), 1, 50
-    )
+    extracted = F.regexp_replace(F.regexp_replace(raw, strip, ""), r"(?U)\s+(и|или|,)\s+.*$", "")
 
     def known(source: Column) -> Column:
         hits = [

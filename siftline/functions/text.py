@@ -157,14 +157,16 @@ def text_hash(text: Column) -> Column:
     return F.md5(F.regexp_replace(F.lower(text), f"[{SPACE}]+", ""))
 
 
-def dedup_fingerprint(text: Column) -> Column:
+def dedup_fingerprint(text: Column, strict: bool = False) -> Column:
+    """Hash of the text without emoji and with single spaces; ``strict`` reads its first 200 characters only."""
     flat = F.regexp_replace(F.lower(text), r"[\x{10000}-\x{10FFFF}]", "")
     flat = F.trim(F.regexp_replace(flat, f"[{SPACE}]+", " "))
-    return F.md5(F.substring(flat, 1, 200))
+    return F.md5(F.substring(flat, 1, 200) if strict else flat)
 
 
-def cache_key(prompt: Column, text: Column) -> Column:
-    return F.md5(F.concat_ws("||", F.substring(prompt, 1, 200), F.substring(text, 1, 500)))
+def cache_key(prompt: Column, text: Column, strict: bool = False) -> Column:
+    """Hash of prompt and text; ``strict`` reads their first 200 and 500 characters only."""
+    return F.md5(F.concat_ws("||", F.substring(prompt, 1, 200), F.substring(text, 1, 500)) if strict else F.concat_ws("||", prompt, text))
 
 
 def clean_text(text: Column) -> Column:

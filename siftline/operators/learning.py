@@ -42,12 +42,18 @@ def informativeness(df: DataFrame, ident: str, keep: list[str] = (), scores: str
 
 
 def select_batch(
-    scored: DataFrame, preferred: Column, newest: str, pool: int = 200, batch: int = 50, enough: int = 10
+    scored: DataFrame, preferred: Column, newest: str, pool: int | None = None, batch: int = 50, enough: int | None = None
 ) -> DataFrame:
-    """The ``batch`` most informative of the ``pool`` newest candidates; the preferred kind only, if there
-    are ``enough`` of it."""
-    plenty = scored.agg((F.count_if(preferred) >= enough).alias("p")).scalar()
-    candidates = scored.filter(preferred | ~plenty).orderBy(F.desc(newest)).limit(pool)
+    """The ``batch`` most informative candidates of the preferred kind.
+
+    ``enough``: all kinds are candidates if there are fewer of the preferred one.  ``pool``: only so many newest
+    candidates count.  Neither limits anything by default.
+    """
+    if enough is not None:
+        preferred = preferred | ~scored.agg((F.count_if(preferred) >= enough).alias("p")).scalar()
+    candidates = scored.filter(preferred)
+    if pool is not None:
+        candidates = candidates.orderBy(F.desc(newest)).limit(pool)
     return candidates.orderBy(F.desc("informativeness"), newest).limit(batch)
 
 

@@ -391,13 +391,11 @@ def agg_wait_stats(t):
 @query(
     "agg_array_mean",
     r"""SELECT doc_id, round(coalesce(list_avg(list_transform(
-                 list_filter(regexp_extract_all(lower(text), '(\d+)', 1), lambda s: length(s) <= 6),
-                 lambda s: CAST(s AS BIGINT))), 0.0), 6) AS mean_number
+                 regexp_extract_all(lower(text), '(\d+)', 1), lambda s: CAST(s AS DOUBLE))), 0.0), 6) AS mean_number
         FROM documents""",
 )
 def agg_array_mean(t):
-    numbers = F.filter(T.extract_all(F.lower("text"), r"(\d+)", 1), lambda s: F.length(s) <= 6)
-    values = F.transform(numbers, lambda s: s.cast("long"))
+    values = F.transform(T.extract_all(F.lower("text"), r"(\d+)", 1), lambda s: s.cast("double"))
     return t.documents.select("doc_id", F.round(T.array_mean(values), 6).alias("mean_number"))
 
 

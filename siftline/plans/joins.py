@@ -295,14 +295,14 @@ def join_allow_list(t):
 
 @query(
     "join_takeover_detect",
-    """WITH automated AS (SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000)
+    """WITH automated AS (SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH'))
        SELECT o_custkey, min(o_orderdate) AS managed_since, count(*) AS manual_messages
        FROM orders WHERE o_orderstatus = 'F' AND o_orderkey NOT IN (SELECT o_orderkey FROM automated)
        GROUP BY o_custkey""",
 )
 def join_takeover_detect(t):
-    """Outgoing messages that are not among the 1000 newest automated ids mark a person as human-managed."""
-    automated = t.orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(1000).select("o_orderkey")
+    """Outgoing messages that are not among the automated ids (here, urgent orders) mark a person as human-managed."""
+    automated = t.orders.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
     manual = t.orders.filter(F.col("o_orderstatus") == "F").join(automated, "o_orderkey", "left_anti")
     return manual.groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("managed_since"), F.count(F.lit(1)).alias("manual_messages")

@@ -69,8 +69,7 @@ def al_unlabelled_pool(t):
 @query(
     "al_select_batch",
     f"""WITH {_INFORMATIVENESS}, pick AS (SELECT event_id FROM (
-          SELECT * FROM i WHERE event_type = 'click' OR (SELECT count(*) FROM i WHERE event_type = 'click') < 10
-          ORDER BY event_id DESC LIMIT 200) ORDER BY informativeness DESC, event_id LIMIT 50)
+          SELECT * FROM i WHERE event_type = 'click') ORDER BY informativeness DESC, event_id LIMIT 50)
         SELECT event_id, event_id IN (SELECT event_id FROM pick) AS needs_review FROM events""",
 )
 def al_select_batch(t):

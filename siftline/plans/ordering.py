@@ -259,8 +259,7 @@ _INFORMATIVENESS = """
     "topk_informative",
     f"""WITH {_INFORMATIVENESS}
         SELECT event_id, informativeness FROM (
-          SELECT * FROM i WHERE event_type = 'click' OR (SELECT count(*) FROM i WHERE event_type = 'click') < 10
-          ORDER BY event_id DESC LIMIT 200)
+          SELECT * FROM i WHERE event_type = 'click')
         ORDER BY informativeness DESC, event_id LIMIT 50""",
 )
 def topk_informative(t):
@@ -305,22 +304,17 @@ def sort_multi_key(t):
 @query(
     "set_union_backfill",
     """WITH today AS (SELECT text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic = 1),
-            older AS (SELECT text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1
-                      ORDER BY d.doc_id DESC LIMIT 30)
+            older AS (SELECT text FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1)
        SELECT DISTINCT md5(text) AS text_key FROM (
          SELECT text FROM today UNION ALL
-         SELECT text FROM older WHERE (SELECT count(*) FROM today) < 1000)""",
+         SELECT text FROM older)""",
 )
 def set_union_backfill(t):
-    """Today's rows, topped up with the newest 30 older ones when today has too few."""
+    """Today's rows and the older ones, each text once."""
     docs = t.documents.select("doc_id", "text")
     today = docs.join(t.labels.filter(F.col("toxic") == 1), "doc_id", "left_semi").select("text")
-    older = (
-        docs.join(t.labels.filter(F.col("quality") == 1), "doc_id", "left_semi")
-        .orderBy(F.desc("doc_id")).limit(30).select("text")
-    )
-    few = today.agg((reports.n() < 1000).alias("few")).scalar()
-    return today.union(older.filter(few)).select(F.md5("text").alias("text_key")).distinct()
+    older = docs.join(t.labels.filter(F.col("quality") == 1), "doc_id", "left_semi").select("text")
+    return today.union(older).select(F.md5("text").alias("text_key")).distinct()
 
 
 @query(

@@ -76,7 +76,7 @@ def filter_status_not_in(t):
     """SELECT doc_id, source FROM documents d
        WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1)
          AND (lower(text) LIKE '%license%' OR lower(text) LIKE '%threat%' OR lower(text) LIKE '%token%')
-       ORDER BY doc_id DESC LIMIT 500""",
+       ORDER BY doc_id DESC""",
 )
 def filter_keyword_prefilter(t):
     accepted = t.labels.filter(F.col("quality") == 1)
@@ -85,7 +85,6 @@ def filter_keyword_prefilter(t):
         .join(accepted, "doc_id", "left_anti")
         .select("doc_id", "source")
         .orderBy(F.desc("doc_id"))
-        .limit(500)
     )
 
 

@@ -288,14 +288,12 @@ def tbl_deactivate(t):
     "tbl_weekly_quality_batches",
     """WITH r AS (SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch
                   FROM documents SEMI JOIN labels USING (doc_id))
-       SELECT batch, count(*) AS n, md5(string_agg('[' || doc_id || '] ' || substr(replace(text, chr(10), ' '), 1, 250),
+       SELECT batch, count(*) AS n, md5(string_agg('[' || doc_id || '] ' || replace(text, chr(10), ' '),
               chr(10) ORDER BY doc_id)) AS lines_key FROM r GROUP BY batch""",
 )
 def tbl_weekly_quality_batches(t):
-    """Batches of 100 one-line previews for an external reviewer."""
-    line = F.concat(
-        F.lit("["), "doc_id", F.lit("] "), F.substring(F.translate("text", "\n", " "), 1, 250)
-    )
+    """Batches of 100 texts, each on one line, for an external reviewer."""
+    line = F.concat(F.lit("["), "doc_id", F.lit("] "), F.translate("text", "\n", " "))
     rows = t.documents.join(t.labels, "doc_id", "left_semi").select("doc_id", line.alias("line"))
     numbered = keyed.global_row_number(rows, "doc_id", F.floor(F.col("doc_id") / 100_000), "position")
     lines = F.array_sort(F.collect_list(F.struct("position", "line")))
@@ -343,7 +341,7 @@ def tbl_apply_decisions(t):
     code = (
         F.when(F.col("action") == "block", "MANUAL_BLOCK")
         .when(F.col("action") == "duplicate", "DUPLICATE")
-        .when(F.col("action").startswith("reject: "), F.concat(F.lit("USER_REJECT: "), F.substring("action", 9, 1000)))
+        .when(F.col("action").startswith("reject: "), F.concat(F.lit("USER_REJECT: "), F.expr("substring(action, 9)")))
         .when(F.col("action") == "reject", "MANUAL_REJECT")
     )
     given = F.col("action").isNotNull()

@@ -122,8 +122,8 @@ def fn_text_hash(t):
 
 
 _FINGERPRINT = (
-    r"md5(substr(trim(regexp_replace(regexp_replace(lower(text), '[\x{10000}-\x{10FFFF}]', '', 'g'), "
-    rf"'[{SQL_SPACE}]+', ' ', 'g')), 1, 200))"
+    r"md5(trim(regexp_replace(regexp_replace(lower(text), '[\x{10000}-\x{10FFFF}]', '', 'g'), "
+    rf"'[{SQL_SPACE}]+', ' ', 'g')))"
 )
 
 
@@ -134,7 +134,7 @@ def fn_dedup_fingerprint(t):
 
 @query(
     "fn_cache_key",
-    "SELECT conv_id, turn, md5(substr(role, 1, 200) || '||' || substr(text, 1, 500)) AS cache_key FROM conversations",
+    "SELECT conv_id, turn, md5(role || '||' || text) AS cache_key FROM conversations",
 )
 def fn_cache_key(t):
     return t.conversations.select("conv_id", "turn", T.cache_key(F.col("role"), F.col("text")).alias("cache_key"))
