@@ -52,9 +52,7 @@ def greedy(rows, threshold=0.7, size=3):
     return leader
 
 
-@pytest.mark.parametrize("few", [0, 2000])
-def test_near_duplicates_equal_greedy_brute_force(spark, messages, few, monkeypatch):
-    monkeypatch.setattr(dedup, "FEW", few)
+def test_near_duplicates_equal_greedy_brute_force(spark, messages):
     df = spark.createDataFrame(messages, "id LONG, text STRING")
     got = {r["id"]: r["leader_id"] for r in dedup.near_duplicates(df, "id", "text", bands=64, rows=3).collect()}
     want = greedy(messages)
@@ -65,6 +63,16 @@ def test_near_duplicates_equal_greedy_brute_force(spark, messages, few, monkeypa
             assert want[l] is None and (jaccard(texts[i], texts[l]) >= 0.7 or texts[i] == texts[l])
 
 
+def test_unrelated_rows_change_no_leader(spark, messages):
+    rng = random.Random(5)
+    others = [(1000 + i, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(8))) for i in range(60)]
+    alone, joined = (
+        {r["id"]: r["leader_id"] for r in dedup.near_duplicates(spark.createDataFrame(rows, "id LONG, text STRING"), "id", "text", bands=64, rows=3).collect()}
+        for rows in (messages[:45], messages[:45] + others)
+    )
+    assert alone == {i: l for i, l in joined.items() if i < 1000}
+
+
 def test_clusters_connect_chains(spark, messages):
     df = spark.createDataFrame(messages, "id LONG, text STRING")
     got = {r["id"]: r["cluster_id"] for r in dedup.near_clusters(df, "id", "text", bands=64, rows=3).collect()}
