@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
 from siftline.functions import text as T
+from siftline.session import cut_lineage
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -130,50 +131,51 @@ def sketch(size: int, bands: int, rows: int):
     return both
 
 
-def best_recent_match(
-    vectors: DataFrame, stored: DataFrame, ident: str, vector: str, window: int, threshold: float
-) -> DataFrame:
-    """Best cosine match of every vector among the ``window`` newest stored ones, itself excluded.
+def _sign_keys(bits: int, tables: int):
+    """Bucket keys of a vector: ``tables`` codes of ``bits`` signs of fixed random projections."""
 
-    The window is part of the operator, so what is sent to the tasks is ``window`` vectors, whatever
-    the table holds; the table itself is not shuffled.
-    """
-    recent = stored.select(ident, vector).orderBy(F.desc(ident)).limit(window).collect()
-    ids = np.array([r[0] for r in recent], dtype=np.int64)
-    matrix = np.array([r[1] for r in recent], dtype=np.float64)
-    shipped = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-    result = StructType(
-        [StructField("best_id", LongType()), StructField("similarity", DoubleType())]
-    )
+    @F.pandas_udf(ArrayType(LongType()))
+    def keys(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
+        planes = np.random.default_rng(41).standard_normal((matrix.shape[1], tables * bits))
+        signs = (matrix @ planes > 0).reshape(len(matrix), tables, bits)
+        codes = signs @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << bits)
+        return pd.Series(list(codes))
 
-    @F.pandas_udf(result)
-    def best(own_ids: pd.Series, own: pd.Series) -> pd.DataFrame:
-        ids, matrix = shipped.value
-        if len(ids) == 0 or len(own) == 0:
-            return pd.DataFrame({"best_id": [None] * len(own), "similarity": [None] * len(own)})
-        mine = np.stack(own.to_numpy()).astype(np.float64)
-
-        def unit(m):
-            norm = np.linalg.norm(m, axis=1, keepdims=True)
-            return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-        sims = unit(mine) @ unit(matrix).T
-        sims[own_ids.to_numpy()[:, None] == ids[None, :]] = -np.inf
-        order = np.argsort(ids)  # among equals the smallest id
-        pick = order[np.argmax(np.round(sims[:, order], 9), axis=1)]
-        top = sims[np.arange(len(own)), pick]
-        found = np.isfinite(top)
-        return pd.DataFrame(
-            {
-                "best_id": [int(ids[p]) if ok else None for p, ok in zip(pick, found)],
-                "similarity": [float(s) if ok else None for s, ok in zip(top, found)],
-            }
-        )
+    return keys
+
+
+def best_match(vectors: DataFrame, ident: str, vector: str, threshold: float, bits: int = 10, miss: float = 1e-4) -> DataFrame:
+    """Best cosine match above ``threshold`` of every vector among all others (of equals the smallest id); null without one.
 
-    scored = vectors.withColumn("_best", best(ident, vector))
-    return scored.select(
-        ident,
-        F.col("_best.best_id").alias("best_id"),
-        F.round("_best.similarity", 6).alias("similarity"),
-        (F.col("_best.similarity") > threshold).alias("is_duplicate"),
+    Vectors whose projections agree in a table meet in a bucket and are compared exactly.  There are as many tables as
+    keep the chance to miss a pair at the threshold below ``miss``; more ``bits`` suit larger tables.  Equal vectors are
+    one entry, so copies are never paired.
+    """
+    agree = 1 - np.arccos(threshold) / np.pi
+    tables = int(np.ceil(np.log(miss) / np.log1p(-(agree**bits))))
+    rows = vectors.select(F.col(ident).alias("id"), F.col(vector).alias("v")).filter(_dot(F.col("v"), F.col("v")) > 0)
+    groups = cut_lineage(rows.groupBy("v").agg(F.min("id").alias("rep"), F.slice(F.array_sort(F.collect_set("id")), 1, 2).alias("low")))
+    placed = groups.select("rep", F.explode(_sign_keys(bits, tables)("v")).alias("bucket"))
+    pairs = placed.alias("x").join(placed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")))
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    known = groups.select(F.col("rep"), F.col("v"))
+    scored = (
+        pairs.join(known.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a")
+        .join(known.select(F.col("rep").alias("b"), F.col("v").alias("vb")), "b")
+        .select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s"))
+        .filter(F.col("s") > threshold)
+    )
+    best = scored.union(scored.select("b", "a", "s")).groupBy("a").agg(
+        F.max(F.struct(F.round("s", 9).alias("s"), (-F.col("b")).alias("b"))).alias("other")
+    )
+    found = rows.join(groups, "v").join(best.withColumnRenamed("a", "rep"), "rep", "left")
+    twin = F.when(F.col("id") == F.get("low", F.lit(0)), F.get("low", F.lit(1))).otherwise(F.get("low", F.lit(0)))
+    own = F.when(twin.isNotNull(), F.struct(F.lit(1.0).alias("s"), (-twin).alias("b")))
+    picked = found.select("id", F.greatest(own, F.col("other")).alias("m"))
+    return vectors.select(F.col(ident).alias("id")).join(picked, "id", "left").select(
+        F.col("id").alias(ident), (-F.col("m.b")).alias("best_id"), F.round("m.s", 6).alias("similarity"),
+        F.col("m").isNotNull().alias("is_duplicate"),
     )

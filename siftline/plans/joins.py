@@ -84,17 +84,16 @@ def join_shingle_jaccard(t):
 
 @query(
     "join_embedding_cosine",
-    """WITH recent AS (SELECT vec_id AS other, embedding AS e2 FROM embeddings ORDER BY vec_id DESC LIMIT 500),
-            sims AS (SELECT vec_id, other, list_cosine_similarity(embedding::DOUBLE[], e2::DOUBLE[]) AS s
-                     FROM embeddings, recent WHERE vec_id <> other)
-       SELECT vec_id, arg_max(other, (round(s, 9), -other)) AS best_id, round(max(s), 6) AS similarity,
-              max(s) > 0.75 AS is_duplicate
-       FROM sims GROUP BY vec_id""",
+    """WITH sims AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+                     FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+            best AS (SELECT vec_id, arg_max(other, (round(s, 9), -other)) AS best_id, round(max(s), 6) AS similarity
+                     FROM sims WHERE s > 0.75 GROUP BY vec_id)
+       SELECT e.vec_id, best_id, similarity, best_id IS NOT NULL AS is_duplicate FROM embeddings e LEFT JOIN best USING (vec_id)""",
 )
 def join_embedding_cosine(t):
-    """Best match among the 500 newest stored vectors (the window size of the operator)."""
+    """Best match above 0.75 among all stored vectors."""
     vectors = t.embeddings.select("vec_id", "embedding")
-    return similarity.best_recent_match(vectors, vectors, "vec_id", "embedding", window=500, threshold=0.75)
+    return similarity.best_match(vectors, "vec_id", "embedding", threshold=0.75)
 
 
 @query(

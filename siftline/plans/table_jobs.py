@@ -206,19 +206,20 @@ def tbl_recover_contacts(t):
 
 @query(
     "tbl_reprocess_rejected",
-    f"""WITH {_BOOSTED} SELECT doc_id, CASE WHEN is_lead THEN 'accepted' ELSE 'rejected' END AS status, {_REASON} AS reason,
-               tier FROM t SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id)
+    f"""WITH {_BOOSTED} SELECT doc_id, CASE WHEN is_lead AND has_contact THEN 'accepted' ELSE 'rejected' END AS status,
+               {_REASON} AS reason, tier FROM t SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 0) USING (doc_id)
         WHERE contains(lower(text), 'threat') OR contains(lower(text), 'tion') OR contains(lower(text), 'und')
            OR contains(lower(text), 'les')""",
 )
 def tbl_reprocess_rejected(t):
-    """Rejected rows that mention a wanted word go through the cascade again; leads are promoted."""
+    """Rejected rows that mention a wanted word go through the cascade again; leads with a contact are promoted."""
+    from siftline.functions import entities
+
     rejected = t.texts.join(t.labels.filter(F.col("quality") == 0), "doc_id", "left_semi")
     candidates = rejected.filter(filters.contains_any(F.col("text"), ["threat", "tion", "und", "les"]))
     again = cascade.triage(candidates, LATIN)
-    return again.select(
-        "doc_id", F.when(F.col("is_lead"), "accepted").otherwise("rejected").alias("status"), "reason", "tier"
-    )
+    found = F.col("is_lead") & entities.contact_spans(F.col("text"))["has_contact"]
+    return again.select("doc_id", F.when(found, "accepted").otherwise("rejected").alias("status"), "reason", "tier")
 
 
 @query(

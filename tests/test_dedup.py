@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,8 +145,17 @@ def test_semantic_window(spark):
     assert got[2] == (True, "exact") and got[4] == (True, "semantic")
 
 
-def test_best_recent_match(spark):
-    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0])], "id LONG, v ARRAY<FLOAT>")
-    got = {r["id"]: r for r in similarity.best_recent_match(vectors, vectors, "id", "v", 500, 0.75).collect()}
-    assert got[1]["best_id"] == 2 and got[1]["is_duplicate"] and not got[3]["is_duplicate"]
-    assert got[4]["similarity"] == 0.0
+def test_best_match_equals_all_pairs(spark):
+    """Planted neighbours of all degrees, copies, and a zero vector."""
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((60, 16))
+    near = [base[i % 60] + rng.standard_normal(16) * rng.choice([0.05, 0.3, 0.6, 0.9]) for i in range(150)]
+    matrix = np.concatenate([base, near, base[:5], base[:3], np.zeros((1, 16))]).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(matrix)]
+    got = similarity.best_match(spark.createDataFrame(rows, "id LONG, v ARRAY<FLOAT>"), "id", "v", 0.75).collect()
+    unit = matrix.astype(np.float64) / np.maximum(np.linalg.norm(matrix.astype(np.float64), axis=1, keepdims=True), 1e-30)
+    sims = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(sims, -1)
+    want = {i: int(np.argmax(s)) if s.max() > 0.75 else None for i, s in enumerate(sims)}
+    assert {r["id"]: r["best_id"] for r in got} == want and sum(v is not None for v in want.values()) > 100
+    assert all(r["is_duplicate"] == (r["best_id"] is not None) for r in got)
