@@ -147,8 +147,9 @@ def _sign_keys(bits: int, tables: int):
     return keys
 
 
-def best_match(vectors: DataFrame, ident: str, vector: str, threshold: float, bits: int = 10, miss: float = 1e-4) -> DataFrame:
+def best_match(vectors: DataFrame, ident: str, vector: str, threshold: float, bits: int = 10, miss: float = 1e-4, earlier: bool = False) -> DataFrame:
     """Best cosine match above ``threshold`` of every vector among all others (of equals the smallest id); null without one.
+    With ``earlier``, among those of smaller id.
 
     Vectors whose projections agree in a table meet in a bucket and are compared exactly.  There are as many tables as
     keep the chance to miss a pair at the threshold below ``miss``; more ``bits`` suit larger tables.  Equal vectors are
@@ -168,12 +169,13 @@ def best_match(vectors: DataFrame, ident: str, vector: str, threshold: float, bi
         .select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s"))
         .filter(F.col("s") > threshold)
     )
-    best = scored.union(scored.select("b", "a", "s")).groupBy("a").agg(
+    backward = scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")
+    best = (backward if earlier else scored.union(backward)).groupBy("a").agg(
         F.max(F.struct(F.round("s", 9).alias("s"), (-F.col("b")).alias("b"))).alias("other")
     )
     found = rows.join(groups, "v").join(best.withColumnRenamed("a", "rep"), "rep", "left")
     twin = F.when(F.col("id") == F.get("low", F.lit(0)), F.get("low", F.lit(1))).otherwise(F.get("low", F.lit(0)))
-    own = F.when(twin.isNotNull(), F.struct(F.lit(1.0).alias("s"), (-twin).alias("b")))
+    own = F.when(twin < F.col("id") if earlier else twin.isNotNull(), F.struct(F.lit(1.0).alias("s"), (-twin).alias("b")))
     picked = found.select("id", F.greatest(own, F.col("other")).alias("m"))
     return vectors.select(F.col(ident).alias("id")).join(picked, "id", "left").select(
         F.col("id").alias(ident), (-F.col("m.b")).alias("best_id"), F.round("m.s", 6).alias("similarity"),

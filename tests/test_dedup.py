@@ -145,6 +145,13 @@ def test_semantic_window(spark):
     assert got[2] == (True, "exact") and got[4] == (True, "semantic")
 
 
+def test_semantic_window_finds_equal_vectors_of_different_texts(spark):
+    df = spark.createDataFrame([(1, "нужен сайт"), (2, "погода завтра"), (3, "совсем другое")], "id LONG, text STRING")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "id LONG, v ARRAY<FLOAT>")
+    got = {r["id"]: (r["method"], r["score"]) for r in dedup.semantic_window(df, vectors, "id", "text", "v").collect()}
+    assert got == {1: ("none", 0.0), 2: ("none", 0.0), 3: ("semantic", 1.0)}
+
+
 def test_best_match_equals_all_pairs(spark):
     """Planted neighbours of all degrees, copies, and a zero vector."""
     rng = np.random.default_rng(1)
