@@ -198,8 +198,8 @@ def _keyword_weight(low: Column, keyword: Column, cues: Column, context: Column)
     return F.when(negated, -10.0).when(F.regexp(window, cues), 2.5).otherwise(1.0)
 
 
-def decide(df: DataFrame, lex: Lexicon, source: str, direction: str) -> DataFrame:
-    """Decision of the rules: stage, is_lead (null while undecided), confidence, reason, final_score, hits."""
+def decide(df: DataFrame, lex: Lexicon, source: str, direction: str, hits: bool = True) -> DataFrame:
+    """Decision of the rules: stage, is_lead (null while undecided), confidence, reason, final_score, hits (if wanted)."""
     src, topic = F.col(source), F.col(direction)
     df = df.withColumn("_block", block_reason(lex))
     df = df.withColumn("_scored", F.when(F.col("_block").isNull(), weighted_score(lex)))
@@ -210,6 +210,7 @@ def decide(df: DataFrame, lex: Lexicon, source: str, direction: str) -> DataFram
     final = F.col("_context.final_score")
     accept, reject = final >= 3, final <= -2
     kept = [c for c in df.columns if not c.startswith("_")]
+    listed = [F.concat(F.col("_scored.hits"), F.col("_context.hits")).alias("hits")] if hits else []
     return T.computed_once(df, kept, [
         F.when(F.col("_block").isNotNull(), "LEVEL_1_HARD_BLOCK")
         .when(banned, "LEVEL_3_CONTEXT_BLOCK")
@@ -227,7 +228,7 @@ def decide(df: DataFrame, lex: Lexicon, source: str, direction: str) -> DataFram
             F.when(reject, F.format_string("HEURISTIC_REJECT: score=%d", final)),
         ).alias("reason"),
         F.when(banned, -999).otherwise(final).alias("final_score"),
-        F.concat(F.col("_scored.hits"), F.col("_context.hits")).alias("hits"),
+        *listed,
     ])
 
 
@@ -237,10 +238,11 @@ def cascade(
     source: str = "source",
     direction: str = "direction",
     predict: Callable[[DataFrame], DataFrame] | None = None,
+    hits: bool = True,
 ) -> DataFrame:
     """Full decision.  ``df`` carries the features.  Undecided rows go to ``predict`` (adds ``probability``);
     probabilities in (0.4, 0.6) are flagged for review, and so are all undecided rows without a model."""
-    ruled = decide(df, lex, source, direction)
+    ruled = decide(df, lex, source, direction, hits)
     if predict is None:
         open_ = F.col("stage").isNull()
         return ruled.select(
@@ -320,8 +322,16 @@ def priority_boost(
     return F.struct(value.alias("priority"), tier.alias("tier"), F.concat(base["factors"], more).alias("factors"))
 
 
-def enrich(df: DataFrame, lex: Lexicon, source: str = "source", direction: str = "direction", text: str = "text") -> DataFrame:
-    """Priority, tier and factors for accepted rows; defaults for the others; the decision trail for all."""
+OUTPUTS = ("tier", "priority", "factors", "trail")
+
+
+def enrich(
+    df: DataFrame, lex: Lexicon, source: str = "source", direction: str = "direction", text: str = "text", outputs=OUTPUTS
+) -> DataFrame:
+    """Priority, tier and factors for accepted rows; defaults for the others; the decision trail for all.
+
+    Only the ``outputs`` named are computed: what is computed once per row cannot be pruned later.
+    """
     base = priority(
         F.col(text), F.col(source), F.col(direction), F.col("avg_budget"), F.col("final_score"), lex
     )
@@ -332,12 +342,13 @@ def enrich(df: DataFrame, lex: Lexicon, source: str = "source", direction: str =
     )
     df = df.withColumn("_p", F.when(F.col("is_lead"), boosted))
     kept = [c for c in df.columns if not c.startswith("_")]
-    return T.computed_once(df, kept, [
-        F.coalesce("_p.tier", default_tier(F.col("is_lead"))).alias("tier"),
-        F.coalesce("_p.priority", F.lit(0)).alias("priority"),
-        F.coalesce("_p.factors", F.array().cast("array<string>")).alias("factors"),
-        decision_trail().alias("trail"),
-    ])
+    made = {
+        "tier": F.coalesce("_p.tier", default_tier(F.col("is_lead"))),
+        "priority": F.coalesce("_p.priority", F.lit(0)),
+        "factors": F.coalesce("_p.factors", F.array().cast("array<string>")),
+        "trail": decision_trail(),
+    }
+    return T.computed_once(df, kept, [made[name].alias(name) for name in outputs])
 
 
 def default_tier(is_lead: Column) -> Column:
@@ -365,10 +376,11 @@ def report_priority(score: Column, contact_type: Column, contact_level: Column)
     )
 
 
-def triage(df: DataFrame, lex: Lexicon, text: str = "text", source: str = "source", predict=None) -> DataFrame:
+def triage(df: DataFrame, lex: Lexicon, text: str = "text", source: str = "source", predict=None, outputs=OUTPUTS) -> DataFrame:
     """Features, topic, decision and priority of every message."""
     featured = T.features(df, text).withColumn("direction", direction_score(F.col(text), lex))
-    return enrich(cascade(featured, lex, source, "direction", predict), lex, source, "direction", text)
+    decided = cascade(featured, lex, source, "direction", predict, hits=tuple(outputs) == OUTPUTS)
+    return enrich(decided, lex, source, "direction", text, outputs)
 
 
 def configured(values: DataFrame, key: str, value: str, wanted: dict[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 from siftline.lexicons.builtin import LATIN, RUSSIAN
-from siftline.operators import cascade, dedup, scorer
+from siftline.operators import cascade, scorer
 from siftline.plans.registry import query
 from siftline.session import cut_lineage, spread
 from siftline.plans.text_functions import SQL_SPACE, SQL_WORD
@@ -262,10 +262,16 @@ def rule_decision_trail(t):
         FROM t SEMI JOIN x USING (doc_id) GROUP BY source, stage, tier""",
 )
 def triage_overview(t):
-    """Flagship: exact deduplication, full cascade, tiers, and counts per source."""
-    repeats = dedup.repeated_ids(t.texts, T.text_hash(F.col("text")), "doc_id")
-    fresh = t.texts.join(repeats, "doc_id", "left_anti")
-    counts = cascade.triage(fresh, LATIN).groupBy("source", "stage", "tier").agg(F.count(F.lit(1)).alias("n"))
+    """Flagship: full cascade, exact deduplication, tiers, and counts per source.
+
+    One pass over the texts decides every document; only its hash and decision are shuffled, and copies of a text
+    collapse before that.
+    """
+    decided = cascade.triage(t.texts, LATIN, outputs=("tier",)).select(
+        T.text_hash(F.col("text")).alias("hash"), "doc_id", F.struct("source", "stage", "tier").alias("decision")
+    )
+    fresh = decided.groupBy("hash").agg(F.min_by("decision", "doc_id").alias("decision")).select("decision.*")
+    counts = fresh.groupBy("source", "stage", "tier").agg(F.count(F.lit(1)).alias("n"))
     counts = cut_lineage(counts)  # the total is taken from the counts, not from a second pass over the texts
     total = counts.agg(F.sum("n").alias("total")).scalar()
     return counts.withColumn("share_percent", F.round(F.col("n") * 100.0 / total, 2)).orderBy(F.desc("n"), "source")
