@@ -22,7 +22,7 @@ WINDOW, STRIDE = 32, 16
 WORD_ROWS, GRAM_ROWS = 1 << 14, {3: 1 << 12, 6: 1 << 15}
 EMBED, HIDDEN, ATTEND = 8, 12, 8
 #: At most so many labelled documents of each class, none over so many characters, are used for training.
-SAMPLE, LONGEST = (3000, 1500), 30_000
+SAMPLE, LONGEST = (2400, 1200), 20_000
 EPOCHS, STEPS, BATCH, CUT = 7, 150, 256, 0.7
 #: A-Z in lower case, other ASCII characters than letters and digits as spaces.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
