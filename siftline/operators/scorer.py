@@ -120,21 +120,26 @@ def is_offer(low: Column, lex: ScorerLexicon) -> Column:
     return any_pattern(low, lex.offer) & ~any_pattern(low, lex.offer_overrides)
 
 
+def _candidate(order: int, name: str, rank: int):
+    def candidate(hits):
+        return F.struct(
+            F.when(F.size(hits) > 0, rank).otherwise(0).alias("priority"),
+            F.size(hits).alias("hits"),
+            F.lit(-order).alias("order"),
+            F.when(F.size(hits) > 0, name).alias("name"),
+            hits.alias("matched"),
+        )
+
+    return candidate
+
+
 def specialisation(low: Column, lex: ScorerLexicon) -> Column:
     """struct(priority, hits, name, matched) of the best class: priority, then hits, first class wins ties."""
     candidates = []
     for order, (name, rank, patterns) in enumerate(lex.specialisations):
         none = F.array().cast("array<string>")
         found = F.when(any_pattern(low, patterns), matched(low, patterns)).otherwise(none)
-        candidates.append(
-            F.struct(
-                F.when(F.size(found) > 0, rank).otherwise(0).alias("priority"),
-                F.size(found).alias("hits"),
-                F.lit(-order).alias("order"),
-                F.when(F.size(found) > 0, name).alias("name"),
-                found.alias("matched"),
-            )
-        )
+        candidates.append(T.let(found, _candidate(order, name, rank)))
     return F.array_max(F.array(*candidates))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -9,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.operators import keyed
-from siftline.session import cut_lineage
 
 
 def debounce(
@@ -46,68 +46,39 @@ def stale_ladder(latest: DataFrame, ts: str, level: str, outgoing: Column, manag
 
 def ordered_fold(
     df: DataFrame, key: str, ts: str, ident: str, extra: list[str], start: dict, step: Callable, outputs: str,
-    slice_seconds: int, group_limit: int = 200_000,
+    slice_seconds: int, gap_seconds: float | None = None,
 ) -> DataFrame:
     """Fold the rows of each key in time order with a small state; ``step(state, seconds, *extra)`` returns
     (state, output values).
 
-    Keys of up to ``group_limit`` rows are folded in one task each.  Longer ones are cut into time slices;
-    slice after slice is folded for all long keys together, the state of a key travels as one row.  So no
-    task ever holds more than a slice of a key.
+    Rows are sorted inside partitions and folded as they stream by, one batch at a time with the state carried on, so a
+    key of any length takes the memory of a batch.  Where a silence of ``gap_seconds`` brings the state back to the
+    start, keys are cut there first (with chunks of ``slice_seconds``), and the pieces are folded in parallel.
     """
-    at = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_at")
-    rows = df.select(key, ident, at, *extra)
-    fields = list(start)
-    out_names = [part.strip().split(" ")[0] for part in outputs.split(",")]
-    key_type = dict(rows.dtypes)[key]
-    id_type = dict(rows.dtypes)[ident]
-    schema = f"`{key}` {key_type}, `{ident}` {id_type}, {outputs}, " + ", ".join(f"_state_{f} DOUBLE" for f in fields)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_at", ident], kind="stable")
-        state = dict(start)
-        if "_state_" + fields[0] in group.columns:
-            first = group.iloc[0]
-            if pd.notna(first["_state_" + fields[0]]):
-                state = {f: first["_state_" + f] for f in fields}
-        results = {n: [] for n in out_names}
-        states = {f: [] for f in fields}
-        for values in group[["_at", *extra]].itertuples(index=False, name=None):
-            state, out = step(state, *values)
-            for n, v in zip(out_names, out):
-                results[n].append(v)
-            for f in fields:
-                states[f].append(state[f])
-        return pd.DataFrame(
-            {key: group[key].to_numpy(), ident: group[ident].to_numpy(), **results,
-             **{"_state_" + f: v for f, v in states.items()}}
-        )
-
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    long_keys = cut_lineage(sizes.filter(F.col("_n") > group_limit).select(key))
-    done = rows.join(long_keys, key, "left_anti").groupBy(key).applyInPandas(fold, schema)
-    if not long_keys.isEmpty():
-        long_rows = cut_lineage(
-            rows.join(long_keys, key, "left_semi").withColumn("_slice", F.floor(F.col("_at") / slice_seconds))
-        )
-        bounds = long_rows.agg(F.min("_slice").alias("lo"), F.max("_slice").alias("hi")).first()
-        state = None
-        for number in range(bounds["lo"], bounds["hi"] + 1):
-            part = long_rows.filter(F.col("_slice") == number).drop("_slice")
-            if state is not None:
-                part = part.join(state, key, "left")
-            folded = cut_lineage(part.groupBy(key).applyInPandas(fold, schema))
-            done = done.unionByName(folded)
-            newest = (
-                folded.join(part.select(ident, "_at"), ident)
-                .groupBy(key)
-                .agg(F.max_by(F.struct(*[f"_state_{f}" for f in fields]), F.struct("_at", ident)).alias("_s"))
-                .select(key, *[F.col(f"_s._state_{f}").alias(f"_state_{f}") for f in fields])
-            )
-            if state is not None:
-                newest = newest.unionByName(state.join(newest.select(key), key, "left_anti"))
-            state = cut_lineage(newest)
-    return done.select(key, ident, *out_names)
+    rows = df.select(key, ident, F.col(ts).alias("_ts"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_at"), *extra)
+    piece = [key]
+    if gap_seconds is not None:
+        chunk = F.floor(F.col("_at") / slice_seconds).cast("long")
+        rows = keyed.sessionize(rows, [key], "_ts", ident, F.lit(math.ceil(gap_seconds)), chunk, "_piece")
+        piece = [key, "_piece"]
+    names = [part.strip().split(" ")[0] for part in outputs.split(",")]
+    kinds = dict(rows.dtypes)
+    schema = f"`{key}` {kinds[key]}, `{ident}` {kinds[ident]}, {outputs}"
+
+    def fold(batches):
+        current, state = None, None
+        for batch in batches:
+            results = {n: [] for n in names}
+            for mark, values in zip(zip(*[batch[c] for c in piece]), batch[["_at", *extra]].itertuples(index=False, name=None)):
+                if current is None or any(x is not y and x != y and not (x != x and y != y) for x, y in zip(mark, current)):
+                    current, state = mark, dict(start)
+                state, out = step(state, *values)
+                for n, v in zip(names, out):
+                    results[n].append(v)
+            yield pd.DataFrame({key: batch[key], ident: batch[ident], **results})
+
+    columns = [key, ident, "_at", *extra, *piece[1:]]
+    return rows.select(*columns).repartition(*piece).sortWithinPartitions(*piece, "_at", ident).mapInPandas(fold, schema)
 
 
 def token_bucket(capacity: float, per_second: float):

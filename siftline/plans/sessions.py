@@ -64,7 +64,7 @@ def stale_ladder(t):
 def token_bucket(t):
     """Rate-limit analysis per event type: bursts of 5, one more every 15 minutes."""
     start, step, outputs = sessions.token_bucket(5, 1 / 900)
-    judged = sessions.ordered_fold(t.events, "event_type", "ts", "event_id", [], start, step, outputs, 86400)
+    judged = sessions.ordered_fold(t.events, "event_type", "ts", "event_id", [], start, step, outputs, 86400, gap_seconds=5 * 900)
     return judged.select("event_id", "event_type", "allowed", F.round("wait_seconds", 3).alias("wait_seconds"))
 
 
