@@ -111,13 +111,22 @@ class Words:
         self.key = self._keys()
 
     def _keys(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = self.end - self.start
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        at = place + np.repeat(self.start, size)
-        mixed = _MIX[self.bytes[at]] * _POWERS[place & 255]
-        return finish(np.add.reduceat(mixed, np.cumsum(size) - size))
+        parts = [np.zeros(0, np.uint64)]
+        for a, b in pieces(self.end - self.start):
+            size = (self.end - self.start)[a:b]
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            at = place + np.repeat(self.start[a:b], size)
+            mixed = _MIX[self.bytes[at]] * _POWERS[place & 255]
+            parts.append(finish(np.add.reduceat(mixed, np.cumsum(size) - size)))
+        return np.concatenate(parts)
+
+
+def pieces(sizes: np.ndarray, most: int = 500_000) -> list[tuple[int, int]]:
+    """Ranges of items whose sizes add up to about ``most``, so that arrays over their parts stay small."""
+    if not len(sizes):
+        return []
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // most)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)]))
 
 
 def finish(key: np.ndarray) -> np.ndarray:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.blocks import Words, finish, id_and_text, keep_blocks, map_blocks
+from siftline.llm.blocks import Words, finish, id_and_text, keep_blocks, map_blocks, pieces
 from siftline.llm.labelled import best_threshold, remainder, sample, sigmoid
 
 WINDOW, STRIDE = 32, 16
@@ -47,17 +47,19 @@ class Inputs:
     @staticmethod
     def _grams(words: Words, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the n-grams of all distinct words, and how many each word has; the borders count as one space each."""
-        start, size = words.start[first], words.end[first] - words.start[first]
-        number = np.maximum(1, size + 3 - n)
-        owner = np.repeat(np.arange(len(first)), number)
-        begin = start[owner] - 1 + np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-        limit = start[owner] + size[owner]
-        key = np.zeros(len(owner), np.uint64)
-        for k in range(n):
-            at = begin + k
-            byte = np.where((at < start[owner]) | (at >= limit), 32, words.bytes[np.clip(at, 0, len(words.bytes) - 1)])
-            key = key * np.uint64(0x100000001B3) + byte.astype(np.uint64) + np.uint64(1)
-        return (finish(key) % np.uint64(GRAM_ROWS[n])).astype(np.int64), number
+        every = np.maximum(1, words.end[first] - words.start[first] + 3 - n)
+        parts = [np.zeros(0, np.int32)]
+        for a, b in pieces(every):
+            start, limit, number = words.start[first[a:b]], words.end[first[a:b]], every[a:b]
+            start, limit = np.repeat(start, number), np.repeat(limit, number)
+            begin = start - 1 + np.arange(len(start)) - np.repeat(np.cumsum(number) - number, number)
+            key = np.zeros(len(start), np.uint64)
+            for k in range(n):
+                at = begin + k
+                byte = np.where((at < start) | (at >= limit), 32, words.bytes[np.clip(at, 0, len(words.bytes) - 1)])
+                key = key * np.uint64(0x100000001B3) + byte.astype(np.uint64) + np.uint64(1)
+            parts.append((finish(key) % np.uint64(GRAM_ROWS[n])).astype(np.int32))
+        return np.concatenate(parts), every
 
     def ids(self, windows: np.ndarray) -> np.ndarray:
         """Distinct-word numbers of the windows, one row each; places after a text's end get the number after the last."""
@@ -87,13 +89,17 @@ class Network:
         self.s = {k: np.zeros_like(x) for k, x in self.p.items()}
         self.steps = 0
 
-    def word_vectors(self, inputs: Inputs, chosen=slice(None)) -> np.ndarray:
-        parts = [self.p["word"][inputs.word[chosen]]]
-        for n in GRAM_ROWS:
+    def word_vectors(self, inputs: Inputs) -> np.ndarray:
+        out = np.empty((len(inputs.word), EMBED * (1 + len(GRAM_ROWS))), np.float32)
+        out[:, :EMBED] = self.p["word"][inputs.word]
+        for i, n in enumerate(GRAM_ROWS, start=1):
             rows, number = inputs.grams[n]
-            sums = np.add.reduceat(self.p[f"gram{n}"][rows], np.cumsum(number) - number) if len(number) else np.zeros((0, EMBED), np.float32)
-            parts.append((sums / number[:, None])[chosen])
-        return np.concatenate(parts, axis=1)
+            ends = np.cumsum(number)
+            for a, b in pieces(number):
+                own = rows[ends[a] - number[a] : ends[b - 1]]
+                sums = np.add.reduceat(self.p[f"gram{n}"][own], ends[a:b] - number[a:b] - (ends[a] - number[a]))
+                out[a:b, EMBED * i : EMBED * (i + 1)] = sums / number[a:b, None]
+        return out
 
     def gates(self, vectors: np.ndarray) -> np.ndarray:
         """What each word adds to the gates of both directions; the last row, for no word, keeps the state as it is."""
@@ -220,7 +226,7 @@ def _telling(inputs: Inputs, toxic: np.ndarray, at_once: int = 2000) -> tuple[np
         for (rows, number, size), count in zip(kinds, counts):
             own = number[word]
             at = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat((np.cumsum(number) - number)[word], own)
-            seen = np.unique(np.repeat(doc, own) * size + rows[at])
+            seen = np.unique(np.repeat(doc, own) * size + rows[at].astype(np.int64))
             for y in (0, 1):
                 count[y] += np.bincount(seen[toxic[seen // size] == y] % size, minlength=size)
     word_best, ratios = np.full(n_words + 1, -9.0), []
