@@ -60,7 +60,19 @@ def stale_ladder(t):
     )
 
 
-@query("token_bucket")
+@query(
+    "token_bucket",
+    """WITH RECURSIVE e AS (SELECT event_id, event_type, epoch_us(ts) / 1e6 AS sec,
+                                 row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+            f AS (SELECT event_id, event_type, sec, rn, 4.0::DOUBLE AS tokens, true AS allowed, 0.0::DOUBLE AS wait
+                  FROM e WHERE rn = 1
+                  UNION ALL
+                  SELECT event_id, event_type, sec, rn, CASE WHEN t >= 1.0 THEN t - 1.0 ELSE t END, t >= 1.0,
+                         CASE WHEN t >= 1.0 THEN 0.0 ELSE (1.0 - t) / (1.0::DOUBLE / 900) END
+                  FROM (SELECT e.*, least(5.0::DOUBLE, f.tokens + greatest(0.0, e.sec - f.sec) * (1.0::DOUBLE / 900)) AS t
+                        FROM f JOIN e ON e.event_type = f.event_type AND e.rn = f.rn + 1))
+       SELECT event_id, event_type, allowed, round(wait, 3) AS wait_seconds FROM f""",
+)
 def token_bucket(t):
     """Rate-limit analysis per event type: bursts of 5, one more every 15 minutes."""
     start, step, outputs = sessions.token_bucket(5, 1 / 900)
@@ -68,7 +80,22 @@ def token_bucket(t):
     return judged.select("event_id", "event_type", "allowed", F.round("wait_seconds", 3).alias("wait_seconds"))
 
 
-@query("circuit_state")
+@query(
+    "circuit_state",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS sec, event_type = 'error' AS failed,
+                                 row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+            f AS (SELECT event_id, user_id, rn, 0 AS mode, failed::INT AS fails, -1.0::DOUBLE AS opened, 0 AS seen
+                  FROM e WHERE rn = 1
+                  UNION ALL
+                  SELECT event_id, user_id, rn,
+                         CASE WHEN m = 1 THEN 1 WHEN NOT failed THEN 0 WHEN m = 2 OR fails + 1 >= 2 THEN 1 ELSE m END,
+                         CASE WHEN m = 1 THEN fails WHEN NOT failed THEN 0 ELSE fails + 1 END,
+                         CASE WHEN m <> 1 AND failed AND (m = 2 OR fails + 1 >= 2) THEN sec ELSE opened END, m
+                  FROM (SELECT e.*, f.fails, f.opened,
+                               CASE WHEN f.mode = 1 AND e.sec - f.opened >= 6 * 3600 THEN 2 ELSE f.mode END AS m
+                        FROM f JOIN e ON e.user_id = f.user_id AND e.rn = f.rn + 1))
+       SELECT event_id, user_id, ['CLOSED', 'OPEN', 'HALF_OPEN'][seen + 1] AS state, seen <> 1 AS called FROM f""",
+)
 def circuit_state(t):
     """Breaker state of each user's calls; an ``error`` event is a failed call."""
     start, step, outputs = sessions.circuit(failures=2, cool_down=6 * HOURS)
