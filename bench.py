@@ -24,6 +24,8 @@ HEADLINE = [
     "dedup_exact_hash",
     "dedup_ttl",
     "dedup_fuzzy_jaccard",
+    "dedup_near_clusters",
+    "dedup_semantic_window",
     "join_embedding_cosine",
     "join_hash_then_prefix",
     "join_asof_cooldown",
@@ -37,8 +39,10 @@ HEADLINE = [
     "win_daily_cap",
     "session_debounce",
     "token_bucket",
+    "circuit_state",
     "sink_upsert",
     "tbl_revalidate",
+    "tbl_recover_contacts",
     "al_select_batch",
     "bandit_posterior",
     "log_progress_totals",

@@ -208,6 +208,19 @@ def posterior(strategies: DataFrame, outcomes: DataFrame, key: str, reward_col:
     )
 
 
+def best_by_mean(arms: list[tuple[str, float, float]], boosts: dict[str, Column]) -> Column:
+    """Name of the arm with the largest boosted posterior mean; the first of equals."""
+    values = [
+        F.struct(
+            F.round(boosts.get(name, F.lit(1.0)) * (alpha / (alpha + beta)), 9).alias("value"),
+            F.lit(-order).alias("order"),
+            F.lit(name).alias("name"),
+        )
+        for order, (name, alpha, beta) in enumerate(arms)
+    ]
+    return F.array_max(F.array(*values))["name"]
+
+
 def select_strategy(df: DataFrame, ident: str, strategies: list[tuple], boosts: dict[str, Column], epsilon=0.2, seed=42):
     """Thompson sampling per row: ``epsilon`` of rows take any strategy, the others the best Beta draw times
     the boost of their context.  Draws are seeded by the row id, so a retried task repeats them.

@@ -168,6 +168,26 @@ def bandit_select(t):
     return chosen.select("o_orderkey", "explored", "strategy")
 
 
+_MEANS = ", ".join(f"('{name}', {i}, {a / (a + b)})" for i, (name, a, b) in enumerate(ARMS))
+
+
+@query(
+    "bandit_select_mean",
+    f"""WITH arm(strategy, n, mean) AS (VALUES {_MEANS}),
+            v AS (SELECT o_orderkey, strategy, n, mean * CASE
+                         WHEN strategy = 'technical' AND o_orderpriority = '1-URGENT' THEN 1.2
+                         WHEN strategy = 'direct' AND o_totalprice > 400000 THEN 1.1 ELSE 1.0 END AS value FROM orders, arm)
+       SELECT o_orderkey, arg_max(strategy, (round(value::DOUBLE, 9), -n)) AS strategy FROM v GROUP BY o_orderkey""",
+)
+def bandit_select_mean(t):
+    """The same choice by posterior means instead of samples."""
+    boosts = {
+        "technical": F.when(F.col("o_orderpriority") == "1-URGENT", 1.2).otherwise(1.0),
+        "direct": F.when(F.col("o_totalprice") > 400000, 1.1).otherwise(1.0),
+    }
+    return t.orders.select("o_orderkey", learning.best_by_mean(ARMS, boosts).alias("strategy"))
+
+
 @query(
     "bandit_context_log",
     """SELECT o_orderkey, o_orderpriority AS priority, o_totalprice AS budget, coalesce(o_orderstatus, 'unknown') AS category,

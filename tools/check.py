@@ -1,4 +1,4 @@
-"""Compare registered queries with their SQL in DuckDB: python tools_check.py [dir] [name ...]"""
+"""Compare registered queries with their SQL in DuckDB: python tools/check.py [dir] [name ...]"""
 
 from __future__ import annotations
 
