@@ -89,12 +89,21 @@ def test_clusters_connect_chains(spark, messages):
             if j < i and (a == b or jaccard(a, b) >= 0.7):
                 x, y = find(i), find(j)
                 parent[max(x, y)] = min(x, y)
-    # every cluster found lies inside a true component, and copies stay together
-    for i, c in got.items():
-        assert find(i) == find(c)
-    texts = {}
-    for i, text in messages:
-        assert got[i] == texts.setdefault(text, got[i])
+    assert got == {i: find(i) for i, _ in messages}
+
+
+def test_clusters_keep_chains_of_absorbed_rows_together(spark):
+    """Chains in which only neighbours are similar."""
+    rng = random.Random(8)
+    rows = []
+    for chain in range(30):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(24)]
+        for link in range(4):
+            rows.append((chain * 4 + link, " ".join(words[link * 3 : link * 3 + 15])))
+    df = spark.createDataFrame(rows, "id LONG, text STRING")
+    got = {r["id"]: r["cluster_id"] for r in dedup.near_clusters(df, "id", "text", threshold=0.6, bands=64, rows=3).collect()}
+    assert all(jaccard(rows[i][1], rows[i + 1][1]) >= 0.6 for i in range(119) if i % 4 < 3)
+    assert got == {i: i // 4 * 4 for i in range(120)}
 
 
 def test_connected_follows_long_chains(spark):
