@@ -390,13 +390,14 @@ def agg_wait_stats(t):
 
 @query(
     "agg_array_mean",
-    r"""SELECT doc_id, round(coalesce(list_avg(list_transform(
-                 regexp_extract_all(lower(text), '(\d+)', 1), lambda s: CAST(s AS DOUBLE))), 0.0), 6) AS mean_number
+    r"""SELECT doc_id, printf('%.9e', coalesce(list_avg(list_transform(
+                 regexp_extract_all(lower(text), '(\d+)', 1), lambda s: CAST(s AS DOUBLE))), 0.0))::DOUBLE AS mean_number
         FROM documents""",
 )
 def agg_array_mean(t):
     values = F.transform(T.extract_all(F.lower("text"), r"(\d+)", 1), lambda s: s.cast("double"))
-    return t.documents.select("doc_id", F.round(T.array_mean(values), 6).alias("mean_number"))
+    mean = F.format_string("%.9e", T.array_mean(values)).cast("double")  # ten digits: sums of doubles differ in the last ones
+    return t.documents.select("doc_id", mean.alias("mean_number"))
 
 
 @query(
