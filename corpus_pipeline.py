@@ -19,8 +19,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each component stays, the one with the smallest id; links are fingerprints within two bits and
+    a Jaccard similarity of 0.8 over shingles of five words."""
+    return simhash.keep_one(docs, least=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 The bits form a ring of three segments.  If two fingerprints differ in at most TAU = 2 bits, some segment starts a
 chain in which the first k segments differ in at most k * TAU / 3 bits together, for every k: 0, then 1, then 2.  So
 candidates share a segment, must then pass the budget of the next one, and only then are compared as a whole.
+
+Texts of a given Jaccard similarity can differ in many more bits (at 0.8 mostly in 3 to 10), for which no segment is
+selective.  Where a similarity is asked for, such texts are found through MinHash bands and compared exactly.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.blocks import id_and_text, map_blocks
+from siftline.functions import similarity
+from siftline.llm.blocks import finish, id_and_text, map_blocks
 from siftline.llm.components import components
 from siftline.session import cut_lineage
 
@@ -22,6 +26,8 @@ SHINGLE, SEED, TAU = 3, 42, 2
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Segment values shared by more distinct fingerprints than this are linked through pivots instead of comparisons.
 BUCKET = 64
+#: Links by similarity: words of a shingle, and MinHash bands of so many rows.  A pair at 0.8 shares no band with a chance of 3e-6.
+WORDS, BANDS, ROWS = 5, 32, 5
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -44,16 +50,32 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(sum(1 << int(b) for b in bits))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_codes(text: str, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit codes of the word shingles (of the whole text if it is shorter); words as in fingerprints."""
+    words = text.encode().lower().split()
+    n = max(1, len(words) - size + 1) if words else 0
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    codes = np.zeros(n, np.uint64)
+    for j in range(min(size, len(words))):
+        codes = finish(codes * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n])
+    return np.unique(codes.view(np.int64))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
     """``(doc_id, text_key, fp)``: the fingerprint of every whole text as a signed 64-bit number, 0 for texts without
-    words, and a hash of the text that tells rows of equal id apart."""
+    words, and a hash of the text that tells rows of equal id apart.  With ``bands``, also its MinHash band keys."""
+    family = similarity._hash_family(BANDS * ROWS)
 
     def work(block: pa.RecordBatch) -> dict:
-        found = np.array([fingerprint(t) for t in block.column("text").to_pylist()], np.uint64)
-        return {"doc_id": block.column("doc_id"), "text_key": block.column("text_key"), "fp": pa.array(found.view(np.int64))}
+        texts = block.column("text").to_pylist()
+        found = np.array([fingerprint(t) for t in texts], np.uint64)
+        made = {"doc_id": block.column("doc_id"), "text_key": block.column("text_key"), "fp": pa.array(found.view(np.int64))}
+        if bands:
+            made["bands"] = pa.array([similarity._band_keys(shingle_codes(t), BANDS, ROWS, *family) for t in texts], pa.list_(pa.int64()))
+        return made
 
     keyed = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    return map_blocks(keyed, work, "doc_id long, text_key long, fp long")
+    return map_blocks(keyed, work, "doc_id long, text_key long, fp long" + (", bands array<long>" if bands else ""))
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -91,11 +113,63 @@ def links(fps: DataFrame) -> DataFrame:
     return compared.union(tied.select(F.col("low").alias("a"), F.explode("all").alias("b")).where("a <> b"))
 
 
-def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _alike(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
+    """Fingerprints ``(a, b)`` of the pairs ``(x, y)`` of texts whose shingles have a Jaccard similarity of ``least``."""
+    one = codes.select(F.col("text_key").alias("x"), F.col("fp").alias("a"), F.col("codes").alias("_x"))
+    two = codes.select(F.col("text_key").alias("y"), F.col("fp").alias("b"), F.col("codes").alias("_y"))
+    close = F.least(F.size("_x"), F.size("_y")) >= least * F.greatest(F.size("_x"), F.size("_y"))
+    return pairs.join(one, "x").join(two, "y").where(close & (similarity.jaccard(F.col("_x"), F.col("_y")) >= least)).select("a", "b")
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, linked: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges ``(a, b)`` that, with ``linked``, connect the fingerprints of all texts of a similarity of ``least``.
+
+    Texts that share a band are first compared with the least of the band, which joins most groups of copies.  Texts of
+    bands that are still apart are then compared where they share one of their rarest shingles: of n, two similar
+    texts have one of the first n - least * n + 1 in common, in any order.  A group of texts that have a frame in common but
+    are not similar differs in these, so its pairs are not formed.
+    """
+    texts = marked.groupBy("text_key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
+    placed = texts.select("text_key", "fp", "low", F.explode("bands").alias("band"))
+    shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    crowded = cut_lineage(placed.join(shared, "band", "left_semi"))
+    ids = crowded.select("text_key", "low", "fp").distinct()
+
+    def work(block: pa.RecordBatch) -> dict:
+        made = [shingle_codes(t) for t in block.column("text").to_pylist()]
+        return {"text_key": block.column("text_key"), "fp": block.column("fp"), "codes": pa.array(made, pa.list_(pa.int64()))}
+
+    keyed = id_and_text(docs, id_col, text_col).withColumn("_key", F.xxhash64("text"))
+    wanted = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("_key") == F.col("text_key"))).select("text_key", "fp", "text")
+    codes = cut_lineage(map_blocks(wanted, work, "text_key long, fp long, codes array<long>").dropDuplicates(["text_key"]))
+    lowest = crowded.groupBy("band").agg(F.min("text_key").alias("y"))
+    stars = crowded.join(lowest, "band").where("text_key <> y").select(F.col("text_key").alias("x"), "y").distinct()
+    near = cut_lineage(_alike(stars, codes, least))
+    roots = components(linked.union(near)).withColumnRenamed("node", "fp")
+    labelled = cut_lineage(crowded.join(roots, "fp", "left").select("band", "text_key", F.coalesce("root", "fp").alias("root")))
+    mixed = labelled.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band")
+    apart = cut_lineage(labelled.join(mixed, "band", "left_semi").select("text_key", "root").distinct())
+    each = cut_lineage(apart.join(codes, "text_key").select("text_key", "root", F.size("codes").alias("size"), F.explode("codes").alias("code")))
+    counted = each.join(each.groupBy("code").agg(F.count("*").alias("n")), "code")
+    ordered = counted.groupBy("text_key", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("all"))
+    rare = ordered.select("text_key", "root", "size", F.explode(F.slice("all", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))).alias("c"))
+    rare = cut_lineage(rare.where("c.n > 1").select("text_key", "root", "size", "c.code"))
+    x, y = rare.alias("x"), rare.alias("y")
+    close = F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size")
+    met = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.text_key") < F.col("y.text_key")) & (F.col("x.root") != F.col("y.root")) & close)
+    return near.union(_alike(met.select(F.col("x.text_key").alias("x"), F.col("y.text_key").alias("y")).distinct(), codes, least))
+
+
+def _members(docs: DataFrame, id_col: str, text_col: str, least: float | None = None) -> DataFrame:
     """``doc_id, text_key, fp, component_id`` of every row."""
-    marked = cut_lineage(fingerprints(docs, id_col, text_col))
+    marked = cut_lineage(fingerprints(docs, id_col, text_col, least is not None))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp")))
+    edges = links(distinct.select("fp"))
+    if least is not None:
+        edges = cut_lineage(edges)
+        edges = edges.union(similar_links(docs, marked, edges, least, id_col, text_col))
+        marked = marked.drop("bands")
+    roots = components(edges)
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
     return marked.join(named, "fp")
@@ -111,10 +185,11 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return _members(docs, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: float | None = None) -> DataFrame:
     """``docs``, all columns, with one document of each component: that of the smallest id (null ids last), then the
-    smallest hash of the text; of rows equal in both, one."""
-    members = cut_lineage(_members(docs, id_col, text_col))
+    smallest hash of the text; of rows equal in both, one.  With ``least``, texts whose shingles of WORDS words have at
+    least this Jaccard similarity are linked too."""
+    members = cut_lineage(_members(docs, id_col, text_col, least))
     rank = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_key")
     heads = members.groupBy("root").agg(F.min(rank).alias("rank")).select("rank")
     keys = members.withColumn("rank", rank).groupBy("rank", "doc_id", "text_key").agg(F.count("*").alias("n"))

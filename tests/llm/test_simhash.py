@@ -80,3 +80,35 @@ def test_keep_one(spark, odd):
     rows = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
     # blank texts are one component, the repeated row and the copy go
     assert len(rows) == len({fingerprint(t) for _, t in ODD}) and [i for i, _ in rows].count(4) == 1 and 9 not in [i for i, _ in rows]
+
+
+def test_keep_one_by_similarity(spark):
+    """Texts of a similarity of 0.8 go although their fingerprints differ in more bits, also in a crowd with a common frame."""
+    rng = random.Random(8)
+    draw = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    frame = draw(100)
+    for _ in range(40):  # alike in the frame, below 0.8 to each other; each second one has a copy with one word changed
+        words = frame[:]
+        for at in range(rng.randrange(25), 100, 25):
+            words[at] = draw(1)[0]
+        texts.append(words)
+        if len(texts) % 2:
+            texts.append([*words[:-1], *draw(1)])
+    texts += [draw(64) for _ in range(5)]
+    texts += [[*t[:30], "changed", *t[31:]] for t in texts[-5:]] + [["Short", "text"], ["short", "text"], ["other"]]
+    made = [" ".join(t) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in ([x.lower() for x in t] for t in texts)]
+    pairs = [(i, j) for i in range(len(made)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [fingerprint(t) for t in made]
+    bits = [(i, j) for i in range(len(made)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    want = {i for i, r in roots(range(len(made)), pairs + bits).items() if i == r}
+    assert want < {i for i, r in roots(range(len(made)), bits).items() if i == r}
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df, least=0.8).collect()} == want
+
+
+def test_keep_one_by_similarity_of_odd_rows(odd, empty):
+    kept = simhash.keep_one(odd, least=0.8)
+    assert kept.columns == odd.columns and kept.count() == simhash.keep_one(odd).count()
+    assert simhash.keep_one(empty, least=0.8).collect() == []
