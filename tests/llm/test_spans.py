@@ -131,3 +131,23 @@ def test_token_spans(odd, empty):
     rows = token_spans.by_section(odd).collect()
     assert len(rows) == len(ODD) and all(sum(r["section_tokens"]) == r["n_tokens"] and len(r["section_tokens"]) == r["n_sections"] for r in rows)
     assert token_spans.by_section(empty).collect() == []
+
+
+def test_random_strings_of_one_case_and_behind_names():
+    encode = ranks.ranks_encoding(ranks.read_ranks()).encode_ordinary
+    found = lambda text: [text[a:b] for _, a, b in secret_scan.random_spans(text, encode, [])]
+    rng = random.Random(2)
+    for letters, share in (("abcdefghijklmnopqrstuvwxyz", 0.85), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.95), ("abcdefghijklmnopqrstuvwxyz0123456789", 0.95)):
+        runs = ["".join(rng.choices(letters, k=rng.randint(16, 40))) for _ in range(400)]
+        assert sum(found(r) == [r] for r in runs) >= share * len(runs)
+    assert found("seed JBSWY3DPEHPK3PXPJBSWY3DP.") == ["JBSWY3DPEHPK3PXPJBSWY3DP"]
+    assert found("session_authentication_cookie_value=Zk3xQ9mB7tLw2RpY") == ["Zk3xQ9mB7tLw2RpY"]
+    assert found("https/international/documentation/Zk3xQ9mB7tLw2RpY/presidential/election/results") == ["Zk3xQ9mB7tLw2RpY"]
+    for name in ("spark_sql_adaptive_skew_join", "MAX_RETRY_COUNT_PER_HOST", "HTTPServerRequestHandlerFactory"):
+        assert found(name) == []
+
+
+def test_slugs_with_long_numbers_take_no_time():
+    encode = ranks.ranks_encoding(ranks.read_ranks()).encode_ordinary
+    for run in ("united-states-presidential-election-results-20201103", "internationalizationinternationalization12345", "word-" * 2000 + "123456"):
+        assert secret_scan.random_spans(run, encode, []) == []
