@@ -147,9 +147,9 @@ def _sign_keys(bits: int, tables: int):
     return keys
 
 
-def best_match(vectors: DataFrame, ident: str, vector: str, threshold: float, bits: int = 10, miss: float = 1e-4, earlier: bool = False) -> DataFrame:
+def best_match(vectors: DataFrame, ident: str, vector: str, threshold: float, bits: int = 10, miss: float = 1e-4, earlier: bool = False, only: DataFrame | None = None) -> DataFrame:
     """Best cosine match above ``threshold`` of every vector among all others (of equals the smallest id); null without one.
-    With ``earlier``, among those of smaller id.
+    With ``earlier``, among those of smaller id; with ``only``, for the ids of that table (others get any or no match).
 
     Vectors whose projections agree in a table meet in a bucket and are compared exactly.  There are as many tables as
     keep the chance to miss a pair at the threshold below ``miss``; more ``bits`` suit larger tables.  Equal vectors are
@@ -162,6 +162,11 @@ def best_match(vectors: DataFrame, ident: str, vector: str, threshold: float, bi
     placed = groups.select("rep", F.explode(_sign_keys(bits, tables)("v")).alias("bucket"))
     pairs = placed.alias("x").join(placed.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") < F.col("y.rep")))
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    if only is not None:
+        asked = cut_lineage(rows.join(only.select(F.col(ident).alias("id")), "id", "left_semi").join(groups, "v").select("rep").distinct())
+        mine, theirs = placed.join(asked, "rep", "left_semi").alias("x"), placed.alias("y")
+        met = mine.join(theirs, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.rep") != F.col("y.rep")))
+        pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     known = groups.select(F.col("rep"), F.col("v"))
     scored = (
         pairs.join(known.select(F.col("rep").alias("a"), F.col("v").alias("va")), "a")

@@ -174,3 +174,21 @@ def test_best_match_equals_all_pairs(spark):
     want = {i: int(np.argmax(s)) if s.max() > 0.75 else None for i, s in enumerate(sims)}
     assert {r["id"]: r["best_id"] for r in got} == want and sum(v is not None for v in want.values()) > 100
     assert all(r["is_duplicate"] == (r["best_id"] is not None) for r in got)
+
+
+def test_semantic_window_compares_beyond_the_smallest_row_of_a_bucket(spark):
+    """The halves of the first row are swapped: the same shingles, but a low ratio; the third repeats the second."""
+    one, two = " ".join(f"alpha{i * 7919}" for i in range(30)), " ".join(f"beta{i * 6271}" for i in range(30))
+    rows = [(1, f"{two} {one}"), (2, f"{one} {two}"), (3, f"{one} {two} x"), (4, f"{one} {two} ")]
+    df = spark.createDataFrame(rows, "id LONG, text STRING")
+    vectors = spark.createDataFrame([(9, [1.0, 0.0])], "id LONG, v ARRAY<FLOAT>")
+    got = {r["id"]: r["method"] for r in dedup.semantic_window(df, vectors, "id", "text", "v").collect()}
+    assert got == {1: "none", 2: "none", 3: "exact", 4: "exact"}
+
+
+def test_semantic_window_sees_cosines_of_unlike_texts(spark):
+    df = spark.createDataFrame([(1, "нужен сайт для магазина"), (2, "погода завтра"), (3, "нужен сайт для магазина!")], "id LONG, text STRING")
+    for angle, method in ((0.7, "none"), (0.5, "exact")):
+        vectors = spark.createDataFrame([(1, [0.0, 0.0, 1.0]), (2, [1.0, 0.0, 0.0]), (3, [angle, (1 - angle**2) ** 0.5, 0.0])], "id LONG, v ARRAY<DOUBLE>")
+        got = {r["id"]: r["method"] for r in dedup.semantic_window(df, vectors, "id", "text", "v").collect()}
+        assert got == {1: "none", 2: "none", 3: method}
