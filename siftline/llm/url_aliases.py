@@ -19,7 +19,9 @@ PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)"
 CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?\s*canonical\b[^>]*>"""
 REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
-TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""
+#: A character reference goes on past its semicolon.
+TARGET = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;&]*(?:&(?:#?[a-z0-9]+;)?[^"'\s>;&]*)*)"""
+NAMED = (("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("apos;", "'"))
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -49,14 +51,46 @@ def rule(host_: Column, path_: Column, rules=RULES) -> Column:
     return found
 
 
+def unescape(text: Column) -> Column:
+    """The named references of NAMED and numeric ones, decoded once; others stay."""
+
+    def number(part, pattern, base):
+        digits = F.regexp_extract(part, pattern, 1)
+        code = F.conv(digits, base, 10).cast("long")
+        valid = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        made = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+        return F.when(valid, F.concat(made, F.regexp_replace(part, pattern, "")))
+
+    def one(part, i):
+        named = [F.when(part.startswith(n), F.concat(F.lit(c), F.substring(part, F.lit(len(n) + 1), F.length(part)))) for n, c in NAMED]
+        numbers = [number(part, "^#0*([0-9]{1,7});", 10), number(part, "^#[xX]0*([0-9A-Fa-f]{1,6});", 16)]
+        return F.when(i == 0, part).otherwise(F.coalesce(*named, *numbers, F.concat(F.lit("&"), part)))
+
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&"), one), "")).otherwise(text)
+
+
+def remove_dots(url: Column) -> Column:
+    """An absolute URL without ``.`` and ``..`` segments in its path."""
+    segments = F.split(path(url), "/")
+    keep = lambda s, x: (
+        F.when(x == ".", s).when(x == "..", F.slice(s, F.lit(1), F.greatest(F.lit(1), F.size(s) - 1))).otherwise(F.concat(s, F.array(x)))
+    )
+    kept = F.aggregate(segments, F.array().cast("array<string>"), keep)
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    cleaned = F.concat(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.array_join(ended, "/"), F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1))
+    return F.when(path(url).rlike(r"/\.\.?(/|$)"), cleaned).otherwise(url)
+
+
 def resolve(base: Column, link: Column) -> Column:
     """An absolute URL for a link found on a page."""
     scheme, site = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    return (
+    return remove_dots(
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(site, path(base), link))
+        .when(link.startswith("#"), F.concat(site, path(base), F.regexp_extract(base, PARTS, 3), link))
         .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link))
     )
 
@@ -69,7 +103,7 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         F.when(html.rlike("(?i)http-equiv"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1)),
     )
     tagged = pages.select(F.col(url_col).alias("url"), F.explode(F.filter(found, lambda x: x != "")).alias("link"))
-    return tagged.select(key(F.col("url")).alias("a"), key(resolve(F.col("url"), F.col("link"))).alias("b")).where("a <> b")
+    return tagged.select(key(F.col("url")).alias("a"), key(resolve(F.col("url"), unescape(F.col("link")))).alias("b")).where("a <> b")
 
 
 def judge(

@@ -112,3 +112,24 @@ def test_urls(spark):
     assert url_aliases.judge(pages.where("false")).collect() == []
     redirects = spark.createDataFrame([("https://d.com/q?a=2", "https://y.net/"), (None, "x"), ("https://a.b/", None)], "source string, target string")
     assert {r["page_id"]: r["verdict"] for r in url_aliases.judge(pages, redirects=redirects).collect()}[6] == "block"
+
+
+TARGETS = [
+    ("/p?page=2&amp;ref=x", "a.com/p?page=2&ref=x"), ("/p?page=2&#38;ref=&#x78;", "a.com/p?page=2&ref=x"), ("/p?a=&amp;#38;", "a.com/p?a=&"),
+    ("/p?a=1&copy=2", "a.com/p?a=1&copy=2"), ("/p/&#x20AC;", "a.com/p/€"), ("./c", "a.com/en/x/c"), ("../../c/", "a.com/c/"), ("../..", "a.com/"), ("/../../d/./e/..", "a.com/d/"),
+    ("https://B.com/x/../y?q=/../z", "b.com/y?q=/../z"), ("?x=1", "a.com/en/x/page?x=1"), ("#top", None), ("c", "a.com/en/x/c"),
+]
+
+
+def test_link_targets(spark):
+    tags = ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0;url={}">')
+    rows = [(f"https://a.com/en/x/page?q=1&n={k}", tag.format(link)) for k, (link, _) in enumerate(TARGETS) for tag in tags]
+    got = [(r["a"], r["b"]) for r in url_aliases.links(spark.createDataFrame(rows, "url string, html string")).collect()]
+    want = [(f"a.com/en/x/page?q=1&n={k}", target) for k, (_, target) in enumerate(TARGETS) if target for _ in tags]
+    assert sorted(got) == sorted(want)
+
+
+def test_alias_by_escaped_link_is_blocked(spark):
+    pages = [(1, "https://q.net/p?page=2&ref=x", ""), (2, "https://a.com/en/k", '<link rel=canonical href="https://q.net/en/../p?page=2&amp;ref=x">')]
+    got = {r["page_id"]: r["verdict"] for r in url_aliases.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block"}
