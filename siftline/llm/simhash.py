@@ -28,6 +28,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET = 64
 #: Links by similarity: words of a shingle, and MinHash bands of so many rows.  A pair at 0.8 shares no band with a chance of 3e-6.
 WORDS, BANDS, ROWS = 5, 32, 5
+#: Bands of more texts than CROWD are split, at most DEPTH times, by the bands so many STEPS further in the ring.
+CROWD, DEPTH, STEPS = 64, 6, (1, 6, 13)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -61,9 +63,27 @@ def shingle_codes(text: str, size: int = WORDS) -> np.ndarray:
     return np.unique(codes.view(np.int64))
 
 
+def _signature(codes: np.ndarray, odd: np.ndarray, add: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Band keys, one bit of each MinHash row packed into 64-bit numbers, and the number of codes; empty without codes."""
+    if not len(codes):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    lows = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(codes), 512):
+        hashed = codes.view(np.uint64)[at : at + 512, None] * odd + add
+        hashed ^= hashed >> np.uint64(32)
+        lows = np.minimum(lows, hashed.min(axis=0))
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for row in lows.reshape(BANDS, ROWS).T:
+        keys = finish(keys * np.uint64(0x9E3779B97F4A7C15) + row)
+    bits = np.zeros(-(-len(lows) // 64) * 64, np.uint8)
+    bits[: len(lows)] = finish(lows) & np.uint64(1)
+    return keys.view(np.int64), np.packbits(bits, bitorder="little").view("<i8"), len(codes)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
     """``(doc_id, text_key, fp)``: the fingerprint of every whole text as a signed 64-bit number, 0 for texts without
-    words, and a hash of the text that tells rows of equal id apart.  With ``bands``, also its MinHash band keys."""
+    words, and a hash of the text that tells rows of equal id apart.  With ``bands``, also its MinHash band keys, one bit
+    of each MinHash row, and the number of its shingles."""
     family = similarity._hash_family(BANDS * ROWS)
 
     def work(block: pa.RecordBatch) -> dict:
@@ -71,11 +91,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = np.array([fingerprint(t) for t in texts], np.uint64)
         made = {"doc_id": block.column("doc_id"), "text_key": block.column("text_key"), "fp": pa.array(found.view(np.int64))}
         if bands:
-            made["bands"] = pa.array([similarity._band_keys(shingle_codes(t), BANDS, ROWS, *family) for t in texts], pa.list_(pa.int64()))
+            signed = [_signature(shingle_codes(t), *family) for t in texts]
+            made["bands"] = pa.array([s[0] for s in signed], pa.list_(pa.int64()))
+            made["bits"] = pa.array([s[1] for s in signed], pa.list_(pa.int64()))
+            made["size"] = pa.array([s[2] for s in signed], pa.int64())
         return made
 
     keyed = id_and_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    return map_blocks(keyed, work, "doc_id long, text_key long, fp long" + (", bands array<long>" if bands else ""))
+    return map_blocks(keyed, work, "doc_id long, text_key long, fp long" + (", bands array<long>, bits array<long>, size long" if bands else ""))
 
 
 def segment(fp: Column, i: int) -> Column:
@@ -117,47 +140,70 @@ def _alike(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
     """Fingerprints ``(a, b)`` of the pairs ``(x, y)`` of texts whose shingles have a Jaccard similarity of ``least``."""
     one = codes.select(F.col("text_key").alias("x"), F.col("fp").alias("a"), F.col("codes").alias("_x"))
     two = codes.select(F.col("text_key").alias("y"), F.col("fp").alias("b"), F.col("codes").alias("_y"))
-    close = F.least(F.size("_x"), F.size("_y")) >= least * F.greatest(F.size("_x"), F.size("_y"))
-    return pairs.join(one, "x").join(two, "y").where(close & (similarity.jaccard(F.col("_x"), F.col("_y")) >= least)).select("a", "b")
+    return pairs.join(one, "x").join(two, "y").where(similarity.jaccard(F.col("_x"), F.col("_y")) >= least).select("a", "b")
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, linked: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges ``(a, b)`` that, with ``linked``, connect the fingerprints of all texts of a similarity of ``least``.
+def _may_be_alike(x: str, y: str, least: float) -> Column:
+    """Sizes and signature bits of two aliased rows allow a similarity of ``least``; five deviations of the bits are left,
+    so that a pair at the bound is refused with a chance below 1e-6."""
+    rate, rows = (1 - least) / 2, BANDS * ROWS
+    most = int(rows * rate + 5 * (rows * rate * (1 - rate)) ** 0.5)
+    differ = sum(F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(-(-rows // 64)))
+    return (F.least(f"{x}.size", f"{y}.size") >= least * F.greatest(f"{x}.size", f"{y}.size")) & (differ <= most)
+
 
-    Texts that share a band are first compared with the least of the band, which joins most groups of copies.  Texts of
-    bands that are still apart are then compared where they share one of their rarest shingles: of n, two similar
-    texts have one of the first n - least * n + 1 in common, in any order.  A group of texts that have a frame in common but
-    are not similar differs in these, so its pairs are not formed.
+def _counted(groups: DataFrame) -> DataFrame:
+    """``(text_key, at, key)`` with ``n``, the members of the key, where there are several."""
+    sizes = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return cut_lineage(groups.join(sizes, "key").select("text_key", "at", "key", "n"))
+
+
+def similar_links(docs: DataFrame, marked: DataFrame, linked: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges ``(a, b)`` that, with ``linked``, connect the fingerprints of the texts of a similarity of ``least``.
+
+    Texts that share a band are compared with the least of the band, which joins groups of copies by one comparison a
+    member.  In bands whose members are still apart, all pairs that are apart are compared where there are at most CROWD
+    members.  Larger ones, such as those of texts with a common passage, are split: the key is extended by another band in
+    STEPS ways, and the smaller groups are treated alike.  A pair at 0.8 shares a further band with a chance of 1/3, so
+    it stays together in one of three ways on average, while texts of less similarity fall apart.  Groups that are
+    still large after DEPTH extensions hold almost equal texts; they are compared in whole.
     """
-    texts = marked.groupBy("text_key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"))
-    placed = texts.select("text_key", "fp", "low", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    crowded = cut_lineage(placed.join(shared, "band", "left_semi"))
-    ids = crowded.select("text_key", "low", "fp").distinct()
+    texts = marked.groupBy("text_key").agg(
+        F.first("fp").alias("fp"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("size").alias("size")
+    )
+    groups = _counted(texts.select("text_key", F.posexplode("bands").alias("at", "key")))
+    texts = cut_lineage(texts.join(groups.select("text_key").distinct(), "text_key"))
 
     def work(block: pa.RecordBatch) -> dict:
         made = [shingle_codes(t) for t in block.column("text").to_pylist()]
         return {"text_key": block.column("text_key"), "fp": block.column("fp"), "codes": pa.array(made, pa.list_(pa.int64()))}
 
     keyed = id_and_text(docs, id_col, text_col).withColumn("_key", F.xxhash64("text"))
-    wanted = keyed.join(ids, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("_key") == F.col("text_key"))).select("text_key", "fp", "text")
-    codes = cut_lineage(map_blocks(wanted, work, "text_key long, fp long, codes array<long>").dropDuplicates(["text_key"]))
-    lowest = crowded.groupBy("band").agg(F.min("text_key").alias("y"))
-    stars = crowded.join(lowest, "band").where("text_key <> y").select(F.col("text_key").alias("x"), "y").distinct()
-    near = cut_lineage(_alike(stars, codes, least))
-    roots = components(linked.union(near)).withColumnRenamed("node", "fp")
-    labelled = cut_lineage(crowded.join(roots, "fp", "left").select("band", "text_key", F.coalesce("root", "fp").alias("root")))
-    mixed = labelled.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("band")
-    apart = cut_lineage(labelled.join(mixed, "band", "left_semi").select("text_key", "root").distinct())
-    each = cut_lineage(apart.join(codes, "text_key").select("text_key", "root", F.size("codes").alias("size"), F.explode("codes").alias("code")))
-    counted = each.join(each.groupBy("code").agg(F.count("*").alias("n")), "code")
-    ordered = counted.groupBy("text_key", "root", "size").agg(F.sort_array(F.collect_list(F.struct("n", "code"))).alias("all"))
-    rare = ordered.select("text_key", "root", "size", F.explode(F.slice("all", F.lit(1), (F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).cast("int"))).alias("c"))
-    rare = cut_lineage(rare.where("c.n > 1").select("text_key", "root", "size", "c.code"))
-    x, y = rare.alias("x"), rare.alias("y")
-    close = F.least("x.size", "y.size") >= least * F.greatest("x.size", "y.size")
-    met = x.join(y, (F.col("x.code") == F.col("y.code")) & (F.col("x.text_key") < F.col("y.text_key")) & (F.col("x.root") != F.col("y.root")) & close)
-    return near.union(_alike(met.select(F.col("x.text_key").alias("x"), F.col("y.text_key").alias("y")).distinct(), codes, least))
+    wanted = keyed.join(texts.select("text_key", "low", "fp"), F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("_key") == F.col("text_key")))
+    codes = cut_lineage(map_blocks(wanted.select("text_key", "fp", "text"), work, "text_key long, fp long, codes array<long>").dropDuplicates(["text_key"]))
+    marks = texts.select("text_key", "bits", "size")
+    near = None
+    for depth in range(DEPTH + 1):
+        stars = groups.join(groups.groupBy("key").agg(F.min("text_key").alias("y")), "key").where("text_key <> y").select(F.col("text_key").alias("x"), "y").distinct()
+        sides = stars.join(marks.alias("p"), F.col("x") == F.col("p.text_key")).join(marks.alias("q"), F.col("y") == F.col("q.text_key"))
+        found = cut_lineage(_alike(sides.where(_may_be_alike("p", "q", least)).select("x", "y"), codes, least))
+        near = found if near is None else near.union(found)
+        roots = components(linked.union(near)).withColumnRenamed("node", "fp")
+        named = texts.join(roots, "fp", "left").select("text_key", "bits", "size", F.coalesce("root", "fp").alias("root"))
+        labelled = groups.join(named, "text_key")
+        mixed = labelled.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
+        apart = cut_lineage(labelled.join(mixed, "key", "left_semi"))
+        few = apart.where((F.col("n") <= CROWD) | F.lit(depth == DEPTH))
+        p, q = few.alias("p"), few.alias("q")
+        met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.text_key") < F.col("q.text_key")) & (F.col("p.root") != F.col("q.root")) & _may_be_alike("p", "q", least))
+        near = cut_lineage(near.union(_alike(met.select(F.col("p.text_key").alias("x"), F.col("q.text_key").alias("y")).distinct(), codes, least)))
+        many = apart.where(F.col("n") > CROWD)
+        if depth == DEPTH or many.isEmpty():
+            return near
+        further = F.array(*[F.struct(((F.col("at") + s) % BANDS).alias("at"), F.lit(s).alias("step")) for s in STEPS])
+        split = many.join(texts.select("text_key", "bands"), "text_key").select("text_key", "bands", "key", F.explode(further).alias("f"))
+        groups = _counted(split.select("text_key", F.col("f.at").alias("at"), F.xxhash64("key", "f.step", F.get("bands", F.col("f.at"))).alias("key")))
+    return near
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, least: float | None = None) -> DataFrame:
@@ -168,7 +214,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float | None =
     if least is not None:
         edges = cut_lineage(edges)
         edges = edges.union(similar_links(docs, marked, edges, least, id_col, text_col))
-        marked = marked.drop("bands")
+        marked = marked.drop("bands", "bits", "size")
     roots = components(edges)
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "root", "component_id")
