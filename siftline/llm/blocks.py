@@ -40,7 +40,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text") -> Ite
                 yield batch.slice(a, b - a)
 
 
-def _bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -49,7 +49,7 @@ def _bound_batches(spark: SparkSession) -> None:
 def keep_blocks(docs: DataFrame, column: str, keep: Callable[[list[str]], np.ndarray]) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text ``keep`` admits; a null text is passed as the empty one."""
     place = docs.columns.index(column)
-    _bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for block in blocks(batches, place):
@@ -61,7 +61,7 @@ def keep_blocks(docs: DataFrame, column: str, keep: Callable[[list[str]], np.nda
 
 def rewrite_blocks(docs: DataFrame, place: int, rewrite: Callable[[list[str]], list[str]]) -> DataFrame:
     """``docs`` with the texts of the column at ``place`` rewritten; nulls stay, all other columns pass as they are."""
-    _bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession)
 
     def run(batches):
         for block in blocks(batches, place):
@@ -76,7 +76,7 @@ def rewrite_blocks(docs: DataFrame, place: int, rewrite: Callable[[list[str]], l
 def map_blocks(df: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``work`` (a block -> columns by name) to every block of ``df``, in Arrow batches."""
     names = [part.split()[0] for part in schema.split(", ")]
-    _bound_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
 
     def run(batches):
         for block in blocks(batches):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie, decontamination, oph_minhash, pii, quality, secret_scan, simhash, token_spans, toxicity, url_aliases
+from siftline.llm import bpe_trie, decontamination, lexical_search, oph_minhash, packing, pii, quality, secret_scan, simhash, token_spans, toxicity, url_aliases
 from siftline.llm.blocks import read
 from siftline.llm.labelled import remainder
 
@@ -161,3 +161,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_pii_crf")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents"))
+
+
+@query("op13_concatenate_cut")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () rid, doc_id, w, CAST(len(w) AS BIGINT) n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') w FROM documents)
+  WHERE len(w) > 0),
+s AS (SELECT count(*) big_n, CAST(sum(n) AS BIGINT) big_l FROM d),
+q AS (
+  SELECT qid, item_id, term, count(*) times
+  FROM (SELECT row_number() OVER () qid, item_id,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+        FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+p AS (
+  SELECT rid, term, count(*) tf FROM (SELECT rid, unnest(w) term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+g AS (
+  SELECT rid, term,
+         CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) OVER (PARTITION BY term) + 1))) AS BIGINT)
+           * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))) gain
+  FROM p JOIN d USING (rid), s),
+r AS (
+  SELECT qid, any_value(item_id) item_id, rid, any_value(doc_id) doc_id, CAST(sum(times * gain) AS BIGINT) score
+  FROM q JOIN g USING (term) JOIN d USING (rid) GROUP BY qid, rid HAVING sum(times * gain) > 0)
+SELECT item_id, CAST(rank AS INTEGER) "rank", doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) rank FROM r) WHERE rank <= 20
+"""
+
+
+@query("op12_block_max_maxscore", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
