@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import bpe_trie, decontamination, lexical_search, oph_minhash, packing, pii, quality, secret_scan, simhash, token_spans, toxicity, url_aliases
+from siftline.llm import bpe_trie, decontamination, hard_negatives, lexical_search, oph_minhash, packing, pii, quality, secret_scan, simhash, token_spans, toxicity, url_aliases
 from siftline.llm.blocks import read
 from siftline.llm.labelled import remainder
 
@@ -200,3 +200,31 @@ FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id
 @query("op12_block_max_maxscore", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END lab,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT row_number() OVER () a, * FROM (SELECT DISTINCT * FROM e WHERE vec_id % 50 = 0)),
+s AS (
+  SELECT a.a, a.vec_id anchor_id, a.lab = e.lab same, e.vec_id, CAST(list_dot_product(a.v, e.v) AS BIGINT) score
+  FROM a JOIN e ON a.vec_id <> e.vec_id),
+p AS (
+  SELECT * FROM (SELECT a, anchor_id, vec_id positive_id, score positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) place
+                 FROM s WHERE same) WHERE place <= 5),
+n AS (
+  SELECT p.*, s.vec_id negative_id, s.score negative_score, row_number() OVER (PARTITION BY p.a, place ORDER BY s.score DESC, s.vec_id) rank
+  FROM p JOIN s ON p.a = s.a WHERE NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) "rank", negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op11_spanning_tree_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", moved.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
