@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from siftline.functions import text as T
 from siftline.session import cut_lineage
@@ -106,29 +106,74 @@ def shingle_codes(size: int):
     return codes
 
 
+#: One bit of each of so many MinHash values tells how similar two sets are, before they are compared.
+BITS = 128
+SKETCH = StructType(
+    [StructField("same", BinaryType()), StructField("keys", ArrayType(LongType())), StructField("first", IntegerType()), StructField("size", IntegerType()), StructField("bits", ArrayType(LongType()))]
+)
+
+
+def _digest(codes: np.ndarray, text: str) -> bytes:
+    """128 bits of a set of shingles; of the text itself where the set is empty."""
+    return hashlib.blake2b(codes.tobytes() if len(codes) else b"text:" + (text or "").lower().encode("utf-8"), digest_size=16).digest()
+
+
+def _bits(codes: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
+    """The lowest bit of each MinHash value of the family, as 64-bit numbers; empty without codes."""
+    if not len(codes):
+        return np.empty(0, np.int64)
+    lows = np.full(len(odd), np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(codes), 512):
+        block = codes.view(np.uint64)[start : start + 512, None] * odd + add
+        block ^= block >> np.uint64(32)
+        lows = np.minimum(lows, block.min(axis=0))
+    lows ^= lows >> np.uint64(29)
+    lows *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.packbits((lows >> np.uint64(40) & np.uint64(1)).astype(np.uint8), bitorder="little").view("<i8")
+
+
 def sketch(size: int, bands: int, rows: int):
-    """Arrow function text -> struct(same, bands): a 128-bit digest of its shingle set (of the text itself
-    where that is empty) and its band keys.  Small, whatever the length of the text."""
-    result = StructType([StructField("same", BinaryType()), StructField("bands", ArrayType(LongType()))])
+    """Arrow function text -> struct: a 128-bit digest of its shingle set, its band keys (all of which place it), the number of
+    shingles, and bits of its MinHash values.  Small, whatever the length of the text."""
+    odd, add = _hash_family(max(bands * rows, BITS))
+
+    @F.pandas_udf(SKETCH)
+    def made(texts: pd.Series) -> pd.DataFrame:
+        codes = [_encode(s, size) for s in texts]
+        keys = [_band_keys(c, bands, rows, odd[: bands * rows], add[: bands * rows]) for c in codes]
+        return pd.DataFrame(
+            {
+                "same": [_digest(c, s) for s, c in zip(texts, codes)],
+                "keys": keys,
+                "first": np.array([len(k) for k in keys], np.int32),
+                "size": np.array([len(c) for c in codes], np.int32),
+                "bits": [_bits(c, odd[:BITS], add[:BITS]) for c in codes],
+            }
+        )
+
+    return made
+
 
-    odd, add = _hash_family(bands * rows)
+def prefix(size: int, threshold: float, frequencies: np.ndarray):
+    """Arrow function text -> the struct of ``sketch`` with the rarest shingle codes as keys: of ``n``, the first
+    ``n - ceil(threshold * n) + 1`` place the text, one more serves to split groups.  ``frequencies``: by low bits of the code."""
 
-    @F.pandas_udf(result)
-    def both(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(SKETCH)
+    def made(texts: pd.Series) -> pd.DataFrame:
         codes = [_encode(s, size) for s in texts]
+        first = [len(c) - int(np.ceil(threshold * len(c) - 1e-9)) + 1 if len(c) else 0 for c in codes]
+        keys = [c[np.argsort(frequencies[c & (len(frequencies) - 1)], kind="stable")][: n + 1] for c, n in zip(codes, first)]
         return pd.DataFrame(
             {
-                "same": [
-                    hashlib.blake2b(
-                        c.tobytes() if len(c) else b"text:" + (s or "").lower().encode("utf-8"), digest_size=16
-                    ).digest()
-                    for s, c in zip(texts, codes)
-                ],
-                "bands": [_band_keys(c, bands, rows, odd, add) for c in codes],
+                "same": [_digest(c, s) for s, c in zip(texts, codes)],
+                "keys": keys,
+                "first": np.array(first, np.int32),
+                "size": np.array([len(c) for c in codes], np.int32),
+                "bits": [np.empty(0, np.int64) for _ in codes],
             }
         )
 
-    return both
+    return made
 
 
 def _sign_keys(bits: int, tables: int):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import similarity, text as T
-from siftline.operators import dedup, joins, keyed
+from siftline.operators import joins, keyed
 from siftline.plans.registry import query
 
 def by_day():
@@ -76,12 +76,6 @@ def join_time_range_dup(t):
     )
 
 
-@query("join_shingle_jaccard")
-def join_shingle_jaccard(t):
-    """Each document with the earlier kept document it nearly equals, and their similarity."""
-    return dedup.near_duplicates(t.documents, "doc_id", "text", shingle=9).filter(F.col("leader_id").isNotNull())
-
-
 @query(
     "join_embedding_cosine",
     """WITH sims AS (SELECT a.vec_id, b.vec_id AS other, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
