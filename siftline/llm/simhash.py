@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from siftline.functions import similarity
 from siftline.llm.blocks import finish, id_and_text, map_blocks
 from siftline.llm.components import components
+from siftline.operators import neighbours
 from siftline.session import cut_lineage
 
 SHINGLE, SEED, TAU = 3, 42, 2
@@ -28,8 +29,6 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 BUCKET = 64
 #: Links by similarity: words of a shingle, and MinHash bands of so many rows.  A pair at 0.8 shares no band with a chance of 3e-6.
 WORDS, BANDS, ROWS = 5, 32, 5
-#: Bands of more texts than CROWD are split, at most DEPTH times, by the bands so many STEPS further in the ring.
-CROWD, DEPTH, STEPS = 64, 6, (1, 6, 13)
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -136,74 +135,44 @@ def links(fps: DataFrame) -> DataFrame:
     return compared.union(tied.select(F.col("low").alias("a"), F.explode("all").alias("b")).where("a <> b"))
 
 
-def _alike(pairs: DataFrame, codes: DataFrame, least: float) -> DataFrame:
-    """Fingerprints ``(a, b)`` of the pairs ``(x, y)`` of texts whose shingles have a Jaccard similarity of ``least``."""
-    one = codes.select(F.col("text_key").alias("x"), F.col("fp").alias("a"), F.col("codes").alias("_x"))
-    two = codes.select(F.col("text_key").alias("y"), F.col("fp").alias("b"), F.col("codes").alias("_y"))
-    return pairs.join(one, "x").join(two, "y").where(similarity.jaccard(F.col("_x"), F.col("_y")) >= least).select("a", "b")
-
-
-def _may_be_alike(x: str, y: str, least: float) -> Column:
-    """Sizes and signature bits of two aliased rows allow a similarity of ``least``; five deviations of the bits are left,
-    so that a pair at the bound is refused with a chance below 1e-6."""
-    rate, rows = (1 - least) / 2, BANDS * ROWS
-    most = int(rows * rate + 5 * (rows * rate * (1 - rate)) ** 0.5)
-    differ = sum(F.bit_count(F.get(f"{x}.bits", F.lit(i)).bitwiseXOR(F.get(f"{y}.bits", F.lit(i)))) for i in range(-(-rows // 64)))
-    return (F.least(f"{x}.size", f"{y}.size") >= least * F.greatest(f"{x}.size", f"{y}.size")) & (differ <= most)
-
-
-def _counted(groups: DataFrame) -> DataFrame:
-    """``(text_key, at, key)`` with ``n``, the members of the key, where there are several."""
-    sizes = groups.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    return cut_lineage(groups.join(sizes, "key").select("text_key", "at", "key", "n"))
-
-
 def similar_links(docs: DataFrame, marked: DataFrame, linked: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Edges ``(a, b)`` that, with ``linked``, connect the fingerprints of the texts of a similarity of ``least``.
 
-    Texts that share a band are compared with the least of the band, which joins groups of copies by one comparison a
-    member.  In bands whose members are still apart, all pairs that are apart are compared where there are at most CROWD
-    members.  Larger ones, such as those of texts with a common passage, are split: the key is extended by another band in
-    STEPS ways, and the smaller groups are treated alike.  A pair at 0.8 shares a further band with a chance of 1/3, so
-    it stays together in one of three ways on average, while texts of less similarity fall apart.  Groups that are
-    still large after DEPTH extensions hold almost equal texts; they are compared in whole.
+    Texts meet in MinHash bands: first each with the least of its band, which joins groups of copies by one comparison a
+    member, then those of small bands that are still apart.  Large bands, such as those of texts with a common passage, are
+    split by further bands: a pair at 0.8 shares another one with a chance of 1/3 and stays together in one of three
+    ways on average, while texts of less similarity fall apart.  All pairs are compared exactly.
     """
-    texts = marked.groupBy("text_key").agg(
-        F.first("fp").alias("fp"), F.min("doc_id").alias("low"), F.first("bands").alias("bands"), F.first("bits").alias("bits"), F.first("size").alias("size")
+    texts = cut_lineage(
+        marked.groupBy("text_key").agg(
+            F.first("fp").alias("fp"), F.min("doc_id").alias("low"), F.first("bands").alias("keys"), F.first("bits").alias("bits"), F.first("size").alias("size")
+        )
     )
-    groups = _counted(texts.select("text_key", F.posexplode("bands").alias("at", "key")))
-    texts = cut_lineage(texts.join(groups.select("text_key").distinct(), "text_key"))
+    rows = texts.select(F.col("text_key").alias("id"), "keys", F.size("keys").alias("first"), "size", "bits", F.lit(None).cast("long").alias("time"), F.lit(True).alias("accepted"))
 
     def work(block: pa.RecordBatch) -> dict:
         made = [shingle_codes(t) for t in block.column("text").to_pylist()]
-        return {"text_key": block.column("text_key"), "fp": block.column("fp"), "codes": pa.array(made, pa.list_(pa.int64()))}
-
-    keyed = id_and_text(docs, id_col, text_col).withColumn("_key", F.xxhash64("text"))
-    wanted = keyed.join(texts.select("text_key", "low", "fp"), F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("_key") == F.col("text_key")))
-    codes = cut_lineage(map_blocks(wanted.select("text_key", "fp", "text"), work, "text_key long, fp long, codes array<long>").dropDuplicates(["text_key"]))
-    marks = texts.select("text_key", "bits", "size")
-    near = None
-    for depth in range(DEPTH + 1):
-        stars = groups.join(groups.groupBy("key").agg(F.min("text_key").alias("y")), "key").where("text_key <> y").select(F.col("text_key").alias("x"), "y").distinct()
-        sides = stars.join(marks.alias("p"), F.col("x") == F.col("p.text_key")).join(marks.alias("q"), F.col("y") == F.col("q.text_key"))
-        found = cut_lineage(_alike(sides.where(_may_be_alike("p", "q", least)).select("x", "y"), codes, least))
-        near = found if near is None else near.union(found)
-        roots = components(linked.union(near)).withColumnRenamed("node", "fp")
-        named = texts.join(roots, "fp", "left").select("text_key", "bits", "size", F.coalesce("root", "fp").alias("root"))
-        labelled = groups.join(named, "text_key")
-        mixed = labelled.groupBy("key").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("key")
-        apart = cut_lineage(labelled.join(mixed, "key", "left_semi"))
-        few = apart.where((F.col("n") <= CROWD) | F.lit(depth == DEPTH))
-        p, q = few.alias("p"), few.alias("q")
-        met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.text_key") < F.col("q.text_key")) & (F.col("p.root") != F.col("q.root")) & _may_be_alike("p", "q", least))
-        near = cut_lineage(near.union(_alike(met.select(F.col("p.text_key").alias("x"), F.col("q.text_key").alias("y")).distinct(), codes, least)))
-        many = apart.where(F.col("n") > CROWD)
-        if depth == DEPTH or many.isEmpty():
-            return near
-        further = F.array(*[F.struct(((F.col("at") + s) % BANDS).alias("at"), F.lit(s).alias("step")) for s in STEPS])
-        split = many.join(texts.select("text_key", "bands"), "text_key").select("text_key", "bands", "key", F.explode(further).alias("f"))
-        groups = _counted(split.select("text_key", F.col("f.at").alias("at"), F.xxhash64("key", "f.step", F.get("bands", F.col("f.at"))).alias("key")))
-    return near
+        return {"id": block.column("id"), "codes": pa.array(made, pa.list_(pa.int64()))}
+
+    def codes_of(ids: DataFrame) -> DataFrame:
+        wanted = neighbours.small(cut_lineage(texts.join(ids, texts["text_key"] == ids["id"]).select("id", "low")))
+        keyed = id_and_text(docs, id_col, text_col).withColumn("_key", F.xxhash64("text"))
+        met = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("_key") == F.col("id"))).select("id", "text")
+        return map_blocks(met, work, "id long, codes array<long>").dropDuplicates(["id"])
+
+    nodes = texts.select("text_key", "fp")
+    heads = cut_lineage(nodes.groupBy("fp").agg(F.min("text_key").alias("head"), F.count("*").alias("n")))
+    twins = nodes.join(heads.where("n > 1"), "fp").where("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
+    ends = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
+    known = cut_lineage(linked.join(ends("a"), "a").join(ends("b"), "b").select("_a", "_b").union(twins))
+
+    def connect(near: DataFrame) -> DataFrame:
+        return components(near.select(F.col("id").alias("a"), F.col("other").alias("b")).union(known)).select(F.col("node").alias("id"), F.col("root").alias("label"))
+
+    index = neighbours.assemble(nodes, rows, codes_of, least, ways=neighbours.steps(least, BANDS, ROWS), n_bits=BANDS * ROWS)
+    near = neighbours.linked(index, connect)
+    side = lambda key, name: nodes.select(F.col("text_key").alias(key), F.col("fp").alias(name))
+    return near.join(side("id", "a"), "id").join(side("other", "b"), "other").select("a", "b")
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str, least: float | None = None) -> DataFrame:
@@ -239,7 +208,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     rank = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "text_key")
     heads = members.groupBy("root").agg(F.min(rank).alias("rank")).select("rank")
     keys = members.withColumn("rank", rank).groupBy("rank", "doc_id", "text_key").agg(F.count("*").alias("n"))
-    gone = keys.join(heads, "rank", "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    gone = neighbours.small(cut_lineage(keys.join(heads, "rank", "left_anti").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))))
     key = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     same = lambda: F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
     kept = docs.join(gone, same(), "left_anti")
