@@ -12,6 +12,7 @@ in boundary records, one for each side, and only these are shuffled to be joined
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,13 @@ FEW_PARTS = 200_000
 #: Partitions whose totals are summed together in the lower level of the prefix sums.
 GROUP = 1024
 
-_BORDER = re.compile(r"(?<=\S)(?=\s)")
+#: White space as tokenizers know it.
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BORDER = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+_WITHIN = re.compile(f"[{_SPACE}]+[^{_SPACE}]+\\Z")
+_CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+#: Encoded chunks that a Python worker keeps; beyond it the later half is forgotten, which costs time only.
+KEPT = 1_000_000
 CODED = "part long, before long, doc_id long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -57,7 +64,12 @@ def _tokenizer(payload: bytes):
     made = Tokenizer.from_buffer(payload)
     made.no_truncation()
     made.no_padding()
-    return made
+    names = made.get_vocab(with_added_tokens=True)
+    special = made.get_added_tokens_decoder()
+    sizes = np.zeros(max(names.values(), default=0) + 1, np.int64)
+    for name, number in names.items():  # a letter stands for a byte
+        sizes[number] = len(name.encode()) if number in special else len(name)
+    return made, sizes, {}
 
 
 def stretches(text: str) -> list[str]:
@@ -72,28 +84,49 @@ def stretches(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
 
 
-def encoded(payload: bytes, texts: list[str]) -> list[np.ndarray]:
-    """Token ids of the texts, each followed by END, as little-endian unsigned 32-bit numbers."""
-    tokenizer, made, parts, size = _tokenizer(payload), [], [], 0
+def _learn(tokenizer, sizes: np.ndarray, known: dict[str, bytes], chunks: list[str]) -> None:
+    """Encode chunks.  Those between white space and other characters are encoded as one text, which costs less, and told
+    apart by the bytes of their tokens."""
+    joined = [c for c in chunks if _WITHIN.match(c)]
+    ids = array("I", tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids)
+    ends = np.cumsum(sizes[np.frombuffer(ids, np.uint32)]) if ids else np.zeros(0, np.int64)
+    cuts = (np.searchsorted(ends, np.cumsum([len(c.encode()) for c in joined]), "right") * 4).tolist() if joined else []
+    raw = ids.tobytes()
+    known.update(zip(joined, (raw[a:b] for a, b in zip([0, *cuts], cuts))))
+    rest = [c for c in chunks if not _WITHIN.match(c)]
+    known.update(zip(rest, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+
+
+def encoded(payload: bytes, texts: list[str]) -> list[bytes]:
+    """Token ids of the texts, each followed by END, as little-endian unsigned 32-bit numbers.
+
+    White space and what follows it up to the next white space is encoded once by the library, then looked up.
+    """
+    tokenizer, sizes, known = _tokenizer(payload)
+    made: list[list[bytes]] = [[] for _ in texts]
+    waiting, size = [], 0
 
     def flush():
-        done = tokenizer.encode_batch_fast([p for _, p in parts], add_special_tokens=False)
-        for (number, _), e in zip(parts, done):
-            found[number].append(np.array(e.ids, "<u4"))
+        words = set().union(*(chunks for _, chunks in waiting))
+        new = list(words.difference(known))
+        if len(known) + len(new) > KEPT:  # those met first are the frequent ones
+            for chunk in list(known)[KEPT // 2 :]:
+                del known[chunk]
+            new = list(words.difference(known))
+        for at in range(0, len(new), 10_000):
+            _learn(tokenizer, sizes, known, new[at : at + 10_000])
+        for number, chunks in waiting:
+            made[number].append(b"".join(map(known.__getitem__, chunks)))
 
-    found: list[list[np.ndarray]] = [[] for _ in texts]
     for number, text in enumerate(texts):
-        for part in stretches(text):
-            parts.append((number, part))
-            size += len(part)
-            if size > STRETCH:
+        for stretch in stretches(text):
+            waiting.append((number, _CHUNK.findall(stretch)))
+            size += len(stretch)
+            if size > 10 * STRETCH:
                 flush()
-                parts, size = [], 0
-    if parts:
-        flush()
-    for pieces in found:
-        made.append(np.concatenate([*pieces, np.array([END], "<u4")]))
-    return made
+                waiting, size = [], 0
+    flush()
+    return [b"".join([*parts, END.to_bytes(4, "little")]) for parts in made]
 
 
 def coded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,10 +138,10 @@ def coded(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
         part, before = TaskContext.get().partitionId(), 0
         for block in blocks(batches):
             made = encoded(payload, block.column("text").to_pylist())
-            sizes = np.array([len(m) for m in made], np.int64)
+            sizes = np.array([len(m) // 4 for m in made], np.int64)
             starts = before + np.cumsum(sizes) - sizes
             before += int(sizes.sum())
-            columns = [pa.array(np.full(len(made), part, np.int64)), pa.array(starts), block.column("doc_id"), pa.array(sizes), pa.array([m.tobytes() for m in made], pa.binary())]
+            columns = [pa.array(np.full(len(made), part, np.int64)), pa.array(starts), block.column("doc_id"), pa.array(sizes), pa.array(made, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "before", "doc_id", "doc_tokens", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, CODED)

@@ -77,17 +77,19 @@ def test_sequences(spark, library):
 def test_long_texts_are_cut_at_safe_places(library, monkeypatch):
     rng = random.Random(5)
     payload = packing.tokenizer_file()
-    texts = ["".join(rng.choices("ab1é.' \n\t　<|>", k=rng.randint(0, 400))) + "<|endoftext|> it's" for _ in range(200)]
+    texts = ["".join(rng.choices("ab1é.' \n\t　\x1c\x85\xa0\u2028\u200b!<|>", k=rng.randint(0, 400))) + "<|endoftext|> it's" for _ in range(200)]
     for stretch in (5, 50):
         monkeypatch.setattr(packing, "STRETCH", stretch)
         assert all("".join(packing.stretches(t)) == t for t in texts)
         want = [[*e.ids, 0] for e in library.encode_batch(texts, add_special_tokens=False)]
-        assert [m.tolist() for m in packing.encoded(payload, texts)] == want
+        for kept in (300_000, 3):
+            monkeypatch.setattr(packing, "KEPT", kept)
+            assert [np.frombuffer(m, "<u4").tolist() for m in packing.encoded(payload, texts)] == want
 
 
 @pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 300_000 + "x", "a" * 300_000, "🎉" * 100_000])
 def test_long_runs(library, text):
-    assert packing.encoded(packing.tokenizer_file(), [text])[0].tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    assert np.frombuffer(packing.encoded(packing.tokenizer_file(), [text])[0], "<u4").tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_query(spark):
