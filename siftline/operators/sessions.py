@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.operators import keyed
+from siftline.session import cut_lineage
 
 
 def debounce(
@@ -81,6 +83,74 @@ def ordered_fold(
     return rows.select(*columns).repartition(*piece).sortWithinPartitions(*piece, "_at", ident).mapInPandas(fold, schema)
 
 
+def chunked_fold(
+    df: DataFrame, key: str, ts: str, ident: str, extra: list[str], start: dict, step: Callable, outputs: str, slice_seconds: int
+) -> DataFrame:
+    """``ordered_fold`` for keys that one task cannot fold: time chunks of a key are folded in parallel.
+
+    A chunk's first state is the last one of the chunk before it, which is not known yet; it is guessed to be the start.  Chunks
+    whose guess was wrong are folded again from the state found, until no guess changes.  A fold that forgets (a breaker after a
+    call that works, a bucket that is full) ends in the same state from either, so few chunks are folded twice; in the
+    worst case there are as many rounds as chunks.  Only one summary row of each chunk meets those of its key.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    rows = df.select(F.col(key).alias("_key"), ident, (micros / 1e6).alias("_at"), F.floor(micros / (slice_seconds * 1_000_000)).alias("_chunk"), *extra)
+    names = [part.strip().split(" ")[0] for part in outputs.split(",")]
+    kinds = dict(rows.dtypes)
+    marks, fields = f"_key {kinds['_key']}, _chunk bigint", list(start)
+    begin = _packed([start[f] for f in fields])
+
+    def run(batches, emit, finish):
+        """Rows come sorted by (key, chunk, time); ``emit`` gets the outputs of a batch, ``finish`` the last state of each chunk."""
+        mark = state = first = None
+        for batch in batches:
+            results, ended = [], []
+            keys = batch["_key"].where(batch["_key"].notna(), None)
+            for k, chunk, packed, *values in zip(keys, batch["_chunk"], batch["_start"], batch["_at"], *[batch[c] for c in extra]):
+                if mark != (k, chunk):
+                    if mark is not None:
+                        ended.append((*mark, first, _packed([state[f] for f in fields])))
+                    mark, first = (k, chunk), bytes(packed)
+                    state = dict(zip(fields, json.loads(first)))
+                state, out = step(state, *values)
+                results.append(out)
+            yield emit(batch, results) if emit else pd.DataFrame(ended, columns=["_key", "_chunk", "_start", "_end"])
+        if finish and mark is not None:
+            yield pd.DataFrame([(*mark, first, _packed([state[f] for f in fields]))], columns=["_key", "_chunk", "_start", "_end"])
+
+    def folded(started: DataFrame, work, schema: str) -> DataFrame:
+        return started.repartition("_key", "_chunk").sortWithinPartitions("_key", "_chunk", "_at", ident).mapInPandas(work, schema)
+
+    def ends(started: DataFrame) -> DataFrame:
+        return folded(started, lambda batches: run(batches, None, True), f"{marks}, _start binary, _end binary")
+
+    def judged(batches):
+        def emit(batch, results):
+            columns = zip(*results) if results else [[] for _ in names]
+            return pd.DataFrame({key: batch["_key"], ident: batch[ident], **dict(zip(names, map(list, columns)))})
+
+        return run(batches, emit, False)
+
+    def at_chunks(chunks: DataFrame) -> DataFrame:
+        named = chunks.select(F.col("_key").alias("_of"), F.col("_chunk").alias("_in"), "_start")
+        return rows.join(named, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("_chunk") == F.col("_in"))).drop("_of", "_in")
+
+    known = cut_lineage(ends(rows.withColumn("_start", F.lit(begin))))
+    while True:
+        before = F.lag("_end").over(Window.partitionBy("_key").orderBy("_chunk"))
+        due = cut_lineage(known.withColumn("_due", F.coalesce(before, F.lit(begin))))
+        wrong = due.where("_due <> _start").select("_key", "_chunk", F.col("_due").alias("_start"))
+        if wrong.isEmpty():
+            break
+        known = cut_lineage(due.where("_due = _start").drop("_due").union(ends(at_chunks(wrong))))
+    return folded(at_chunks(known), judged, f"`{key}` {kinds['_key']}, `{ident}` {kinds[ident]}, {outputs}")
+
+
+def _packed(values: list) -> bytes:
+    """A state of numbers, texts, flags and nulls; equal states have equal bytes."""
+    return json.dumps(values).encode()
+
+
 def token_bucket(capacity: float, per_second: float):
     """(start, step, outputs) of a token bucket: allowed at once, or the seconds to wait."""
 

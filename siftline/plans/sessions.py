@@ -100,7 +100,28 @@ def circuit_state(t):
     """Breaker state of each user's calls; an ``error`` event is a failed call."""
     start, step, outputs = sessions.circuit(failures=2, cool_down=6 * HOURS)
     calls = t.events.withColumn("failed", (F.col("event_type") == "error").cast("int"))
-    return sessions.ordered_fold(calls, "user_id", "ts", "event_id", ["failed"], start, step, outputs, 86400)
+    return sessions.chunked_fold(calls, "user_id", "ts", "event_id", ["failed"], start, step, outputs, 10 * 86400)
+
+
+@query(
+    "circuit_state_of_all",
+    """WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) / 1e6 AS sec, event_type = 'error' AS failed,
+                                 row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+            f AS (SELECT event_id, rn, 0 AS mode, failed::INT AS fails, -1.0::DOUBLE AS opened, 0 AS seen FROM e WHERE rn = 1
+                  UNION ALL
+                  SELECT event_id, rn,
+                         CASE WHEN m = 1 THEN 1 WHEN NOT failed THEN 0 WHEN m = 2 OR fails + 1 >= 5 THEN 1 ELSE m END,
+                         CASE WHEN m = 1 THEN fails WHEN NOT failed THEN 0 ELSE fails + 1 END,
+                         CASE WHEN m <> 1 AND failed AND (m = 2 OR fails + 1 >= 5) THEN sec ELSE opened END, m
+                  FROM (SELECT e.*, f.fails, f.opened, CASE WHEN f.mode = 1 AND e.sec - f.opened >= 3600 THEN 2 ELSE f.mode END AS m
+                        FROM f JOIN e ON e.rn = f.rn + 1))
+       SELECT event_id, ['CLOSED', 'OPEN', 'HALF_OPEN'][seen + 1] AS state, seen <> 1 AS called FROM f""",
+)
+def circuit_state_of_all(t):
+    """One breaker for the calls of all users: a single key, folded in chunks of a day."""
+    start, step, outputs = sessions.circuit(failures=5, cool_down=HOURS)
+    calls = t.events.select("event_id", "ts", (F.col("event_type") == "error").cast("int").alias("failed"), F.lit("all").alias("breaker"))
+    return sessions.chunked_fold(calls, "breaker", "ts", "event_id", ["failed"], start, step, outputs, 86400).drop("breaker")
 
 
 @query(
