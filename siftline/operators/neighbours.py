@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from siftline.functions import similarity
 from siftline import session
 
-#: Rows of a group that are compared pair by pair: a split costs a row about three rows, pairs half the group.
+#: So many rows of a group, besides those of its commonest label, are compared with all others; a split costs a row about three.
 CROWD = 8
 #: Splits by further bands, and the group size down to which rounds settle rows in order.
 DEPTH, ROUND = 6, 64
@@ -232,22 +232,37 @@ def leaders(index: Index, found: DataFrame) -> DataFrame:
     return made.groupBy("id").agg(F.min("other").alias("leader_id"), F.min_by("similarity", "other").alias("similarity"))
 
 
-def linked(index: Index, connect: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Edges ``(id, other)`` that connect the rows of ``index`` as all similar pairs would; ``connect``: edges -> (id, label)."""
+def _labels(near: DataFrame) -> DataFrame:
+    """``(id, label)``: rows that are linked over a few edges have a label in common.  Labels spare comparisons only, so they
+    need not be those of whole components."""
+    both = near.select("id", "other").union(near.select(F.col("other").alias("id"), F.col("id").alias("other")))
+    labels = cut_lineage(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("label")))
+    for _ in range(2):
+        ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("_next"))
+        labels = labels.join(ahead, "label", "left").select("id", F.coalesce("_next", "label").alias("label"))
+    return cut_lineage(labels)
+
+
+def linked(index: Index) -> DataFrame:
+    """Edges ``(id, other)`` that connect the rows of ``index`` as all similar pairs would."""
     lead = F.min(F.struct("id", "size", "bits", "time", "at")).alias("lead")
     offered = index.groups.join(index.groups.groupBy("key").agg(lead), "key").alias("g")
     stars = offered.where((F.col("id") > F.col("lead.id")) & index.fits("g", "g.lead")).select("id", F.col("lead.id").alias("other"))
     near = cut_lineage(verified(index, stars).select("id", "other"))
-    groups, depth = index.groups.join(connect(near), "id", "left").withColumn("label", F.coalesce("label", "id")), 0
+    groups, depth = index.groups.join(_labels(near), "id", "left").withColumn("label", F.coalesce("label", "id")), 0
     while True:
-        mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("n"), (F.min("label") != F.max("label")).alias("_mixed")).where("_mixed").select("key", "n")
-        groups = cut_lineage(groups.drop("n").join(mixed, "key"))
-        many = groups.where(F.col("n") > CROWD)
+        # in a group, rows of its commonest label need not be compared with each other
+        sizes = groups.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_held"))
+        tops = sizes.groupBy("key").agg(F.sum("_held").alias("n"), F.max(F.struct("_held", "label")).alias("top"))
+        tops = tops.where(F.col("top._held") < F.col("n")).select("key", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top._held")).alias("others"))
+        groups = cut_lineage(groups.drop("n", "top", "others").join(tops, "key"))
+        many = groups.where(F.col("others") > CROWD)
         finer = None if many.isEmpty() else index.split(many, depth)
-        few = groups if finer is None else groups.where(F.col("n") <= CROWD)
-        a, b = few.alias("a"), few.alias("b")
-        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & index.fits("a", "b"))
-        late = verified(index, met.select(F.col("a.id").alias("id"), F.col("b.id").alias("other"))).select("id", "other")
+        few = groups if finer is None else groups.where(F.col("others") <= CROWD)
+        a, b = few.where("label <> top").alias("a"), few.alias("b")
+        once = (F.col("b.label") == F.col("b.top")) | (F.col("a.id") > F.col("b.id"))
+        met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") != F.col("b.label")) & once & index.fits("a", "b"))
+        late = verified(index, met.select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("other"))).select("id", "other")
         if finer is None and depth == 0:
             return near.union(late)
         near = cut_lineage(near.union(late))
