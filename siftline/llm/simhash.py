@@ -135,8 +135,8 @@ def links(fps: DataFrame) -> DataFrame:
     return compared.union(tied.select(F.col("low").alias("a"), F.explode("all").alias("b")).where("a <> b"))
 
 
-def similar_links(docs: DataFrame, marked: DataFrame, linked: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges ``(a, b)`` that, with ``linked``, connect the fingerprints of the texts of a similarity of ``least``.
+def similar_links(docs: DataFrame, marked: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges ``(a, b)`` that connect the fingerprints of the texts of a similarity of ``least``.
 
     Texts meet in MinHash bands: first each with the least of its band, which joins groups of copies by one comparison a
     member, then those of small bands that are still apart.  Large bands, such as those of texts with a common passage, are
@@ -161,16 +161,7 @@ def similar_links(docs: DataFrame, marked: DataFrame, linked: DataFrame, least:
         return map_blocks(met, work, "id long, codes array<long>").dropDuplicates(["id"])
 
     nodes = texts.select("text_key", "fp")
-    heads = cut_lineage(nodes.groupBy("fp").agg(F.min("text_key").alias("head"), F.count("*").alias("n")))
-    twins = nodes.join(heads.where("n > 1"), "fp").where("text_key <> head").select(F.col("text_key").alias("a"), F.col("head").alias("b"))
-    ends = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
-    known = cut_lineage(linked.join(ends("a"), "a").join(ends("b"), "b").select("_a", "_b").union(twins))
-
-    def connect(near: DataFrame) -> DataFrame:
-        return components(near.select(F.col("id").alias("a"), F.col("other").alias("b")).union(known)).select(F.col("node").alias("id"), F.col("root").alias("label"))
-
-    index = neighbours.assemble(nodes, rows, codes_of, least, ways=neighbours.steps(least, BANDS, ROWS), n_bits=BANDS * ROWS)
-    near = neighbours.linked(index, connect)
+    near = neighbours.linked(neighbours.assemble(nodes, rows, codes_of, least, ways=neighbours.steps(least, BANDS, ROWS), n_bits=BANDS * ROWS))
     side = lambda key, name: nodes.select(F.col("text_key").alias(key), F.col("fp").alias(name))
     return near.join(side("id", "a"), "id").join(side("other", "b"), "other").select("a", "b")
 
@@ -181,8 +172,7 @@ def _members(docs: DataFrame, id_col: str, text_col: str, least: float | None =
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("low")))
     edges = links(distinct.select("fp"))
     if least is not None:
-        edges = cut_lineage(edges)
-        edges = edges.union(similar_links(docs, marked, edges, least, id_col, text_col))
+        edges = edges.union(similar_links(docs, marked, least, id_col, text_col))
         marked = marked.drop("bands", "bits", "size")
     roots = components(edges)
     joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
