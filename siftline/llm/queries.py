@@ -43,15 +43,45 @@ l AS (
     regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?\s*canonical\b[^>]*>', 0),
                    '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1),
     regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?\s*refresh\b[^>]*>', 0),
-                   '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1)]) link
+                   '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;&]*(?:&(?:#?[a-z0-9]+;)?[^"''\s>;&]*)*)', 1)]) raw
   FROM p WHERE host <> ''),
-t AS (
+c AS (
+  SELECT * EXCLUDE raw, array_to_string(list_transform(string_split(raw, '&'), lambda part, i: CASE
+    WHEN i = 1 THEN part
+    WHEN starts_with(part, 'amp;') THEN '&' || part[5:] WHEN starts_with(part, 'lt;') THEN '<' || part[4:]
+    WHEN starts_with(part, 'gt;') THEN '>' || part[4:] WHEN starts_with(part, 'quot;') THEN '"' || part[6:]
+    WHEN starts_with(part, 'apos;') THEN '''' || part[6:]
+    WHEN regexp_matches(part, '^#0*[0-9]{1,7};')
+      AND (TRY_CAST(regexp_extract(part, '^#0*([0-9]{1,7});', 1) AS INTEGER) BETWEEN 1 AND 55295 OR TRY_CAST(regexp_extract(part, '^#0*([0-9]{1,7});', 1) AS INTEGER) BETWEEN 57344 AND 1114111)
+      THEN chr(TRY_CAST(regexp_extract(part, '^#0*([0-9]{1,7});', 1) AS INTEGER)) || regexp_replace(part, '^#0*[0-9]{1,7};', '')
+    WHEN regexp_matches(part, '^#[xX]0*[0-9A-Fa-f]{1,6};')
+      AND (TRY_CAST('0x' || regexp_extract(part, '^#[xX]0*([0-9A-Fa-f]{1,6});', 1) AS INTEGER) BETWEEN 1 AND 55295
+           OR TRY_CAST('0x' || regexp_extract(part, '^#[xX]0*([0-9A-Fa-f]{1,6});', 1) AS INTEGER) BETWEEN 57344 AND 1114111)
+      THEN chr(TRY_CAST('0x' || regexp_extract(part, '^#[xX]0*([0-9A-Fa-f]{1,6});', 1) AS INTEGER)) || regexp_replace(part, '^#[xX]0*[0-9A-Fa-f]{1,6};', '')
+    ELSE '&' || part END), '') link
+  FROM l WHERE raw <> ''),
+u AS (
   SELECT a, CASE
     WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
     WHEN starts_with(link, '//') THEN 'x:' || link
     WHEN starts_with(link, '/') THEN 'x://' || host || link
-    ELSE 'x://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END target
-  FROM l WHERE link <> ''),
+    WHEN starts_with(link, '?') THEN 'x://' || host || path || link
+    WHEN starts_with(link, '#') THEN 'x://' || a || link
+    ELSE 'x://' || host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END raw
+  FROM c),
+s AS (
+  SELECT a, raw, regexp_extract(raw, '(?s)^.*?://([^/?#]*)([^?#]*)([^#]*)', 2) way, string_split(way, '/') segments FROM u),
+k AS (
+  SELECT *, list_reduce(list_transform(segments, lambda x: [x]),
+                        lambda kept, x: CASE x[1] WHEN '.' THEN kept WHEN '..' THEN kept[1 : greatest(1, len(kept) - 1)] ELSE list_concat(kept, x) END, []::VARCHAR[]) kept
+  FROM s),
+t AS (
+  SELECT a, CASE WHEN regexp_matches(way, '/\.\.?(/|$)')
+    THEN regexp_extract(raw, '(?s)^(.*?://[^/?#]*)', 1)
+         || array_to_string(CASE WHEN segments[-1] IN ('.', '..') THEN list_append(kept, '') ELSE kept END, '/')
+         || regexp_extract(raw, '(?s)^.*?://[^?#]*(.*)$', 1)
+    ELSE raw END target
+  FROM k),
 e AS (
   SELECT a, translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')

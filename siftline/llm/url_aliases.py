@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions.text import computed_once
 from siftline.llm.components import components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,11 +82,11 @@ def remove_dots(url: Column) -> Column:
     return F.when(path(url).rlike(r"/\.\.?(/|$)"), cleaned).otherwise(url)
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """An absolute URL for a link found on a page."""
+def absolute(base: Column, link: Column) -> Column:
+    """An absolute URL for a link found on a page, with the segments of the link as they are."""
     scheme, site = F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
-    return remove_dots(
+    return (
         F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(site, link))
@@ -103,7 +104,11 @@ def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> Dat
         F.when(html.rlike("(?i)http-equiv"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1)),
     )
     tagged = pages.select(F.col(url_col).alias("url"), F.explode(F.filter(found, lambda x: x != "")).alias("link"))
-    return tagged.select(key(F.col("url")).alias("a"), key(resolve(F.col("url"), unescape(F.col("link")))).alias("b")).where("a <> b")
+    # each step is a column of its own; as one expression, every use of a link would repeat the steps before it
+    steps = computed_once(tagged, ["url"], [unescape(F.col("link")).alias("link")])
+    steps = computed_once(steps, ["url"], [absolute(F.col("url"), F.col("link")).alias("target")])
+    steps = computed_once(steps, ["url"], [remove_dots(F.col("target")).alias("target")])
+    return computed_once(steps, [], [key(F.col("url")).alias("a"), key(F.col("target")).alias("b")]).where("a <> b")
 
 
 def judge(
@@ -128,9 +133,8 @@ def judge(
     ruled = roots.select("node", "root", rule(host(node_url), path(node_url), rules)["decision"].alias("decision"))
     blocked = ruled.groupBy("root").agg(F.bool_or(F.col("decision") == "block").alias("b"), F.bool_or(F.col("decision") == "allow").alias("a"))
     aliases = roots.join(blocked.where("b AND NOT coalesce(a, false)"), "root").select(F.col("node").alias("_key"), F.lit("block").alias("_passed"))
-    marked = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), key(F.col(url_col)).alias("_key")
-    )
+    named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("_url"))
+    marked = computed_once(named, ["page_id"], [host(F.col("_url")).alias("host"), path(F.col("_url")).alias("path"), key(F.col("_url")).alias("_key")])
     judged = marked.withColumn("_rule", rule(F.col("host"), F.col("path"), rules)).join(aliases, "_key", "left")
     return judged.select(
         "page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.decision", "_passed", F.lit("allow")).alias("verdict")

@@ -129,6 +129,42 @@ def test_link_targets(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_link_targets_in_sql(spark):
+    """Pages that name every target in both ways, the targets themselves, and pages at odd places of a site."""
+    tags = ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0;url={}">')
+    rows = [(f"https://a.com/en/x/page?q=1&n={k}{n}", tag.format(link)) for k, (link, _) in enumerate(TARGETS) for n, tag in enumerate(tags)]
+    rows += [(f"http://{target}", '<link rel=canonical href="https://blocked.net/x">') for _, target in TARGETS if target]
+    rows += [(f"https://z{k}.net", f'<link rel=canonical href="http://{target}">') for k, (_, target) in enumerate(TARGETS) if target]
+    odd = ("&#0;x", "&#xD800;", "&#1114112;/", "&#99999999;", "&", "&&lt;&gt;&quot;&apos;", "..", "x/./../..", "//", "?", "&#x1F600;", "a&#x2f;..&#47;b")
+    rows += [(f"{base}", f"<link href='{link}' rel='canonical'>") for link in odd for base in ("https://m.com", "http://M.com/a/b?c", "x://m.com?/q", "no")]
+    pages = [(i, *r) for i, r in enumerate(rows)]
+    got = sorted([tuple(r) for r in url_aliases.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()], key=str)
+    db = duckdb.connect()
+    db.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    db.executemany("insert into pages values (?, ?, ?)", pages)
+    assert got == sorted(db.execute(queries.OP5_SQL).fetchall(), key=str)
+    assert sum(r[4] == "block" and r[3] is None for r in got) >= 2 * sum(t is not None for _, t in TARGETS)
+
+
+def test_links_of_a_hub_and_long_urls(spark):
+    """Many links to one page, very long URLs, and a page with thousands of tags."""
+    long = "p" * 200_000
+    rows = [(i, f"https://s{i % 50}.com/{i}", '<link rel="canonical" href="https://hub.net/x">') for i in range(3000)]
+    rows += [(5000, f"https://l.com/{long}", f'<link rel=canonical href="/{long}2">'), (5001, f"https://l.com/{long}2", '<link rel=canonical href="https://hub.net/x?">')]
+    rows += [(5002, "https://t.com/", "<link><meta>" * 5000 + '<link rel=canonical href="//hub.net/x">'), (5003, "https://free.com/", "<p>" * 1000)]
+    got = {r["page_id"]: r["verdict"] for r in url_aliases.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i for i, v in got.items() if v == "allow"} == {5003}
+
+
+def test_links_are_planned_in_time(spark):
+    import time
+
+    started = time.perf_counter()
+    pages = spark.createDataFrame([(f"https://a.com/{i}", '<link rel=canonical href="x&amp;y/../z">') for i in range(50)], "url string, html string")
+    assert url_aliases.links(pages).count() == 50
+    assert time.perf_counter() - started < 8  # three seconds on a free machine
+
+
 def test_alias_by_escaped_link_is_blocked(spark):
     pages = [(1, "https://q.net/p?page=2&ref=x", ""), (2, "https://a.com/en/k", '<link rel=canonical href="https://q.net/en/../p?page=2&amp;ref=x">')]
     got = {r["page_id"]: r["verdict"] for r in url_aliases.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
