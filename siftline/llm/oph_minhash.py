@@ -10,6 +10,8 @@ for which the estimate is corrected.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,9 +119,11 @@ def _following(ids: DataFrame) -> DataFrame:
 FEW_JUMPS = 100_000
 
 
-def with_next(rows: DataFrame, id_col: str, ties: list[str], carried: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, id_col: str, ties: list[str], carried: list[str], derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Adds ``next_<column>``: the ``carried`` columns of the following row by id (then ``ties``); after the last, the first.
 
+    ``derive`` adds columns that are dear to compute: it is applied once to all rows, and to those that are fetched.
+
     Rows are grouped by a stride of ids, so no task orders more than a stride of them (and rows of equal id).  A row
     whose id starts a stride is also sent to the group before it, whose last row needs it; this moves each row once.
     Groups that no such row follows (gaps, the very last group) fetch the first row of the next group by its id, which
@@ -134,7 +138,8 @@ def with_next(rows: DataFrame, id_col: str, ties: list[str], carried: list[str])
         .select(F.col("id").alias("_from"), F.col("low").alias("_low"))
     )
     few = jumps.limit(FEW_JUMPS + 1).count() <= FEW_JUMPS
-    fetched = rows.join(F.broadcast(jumps) if few else jumps, F.col(id_col).eqNullSafe(F.col("_low")))
+    fetched = derive(rows.join(F.broadcast(jumps) if few else jumps, F.col(id_col).eqNullSafe(F.col("_low"))))
+    rows = derive(rows)
     first = fetched.groupBy("_from").agg(F.min_by(F.struct(*carried), F.struct(*ties)).alias("_first"))
     homes = F.when(F.col(id_col) % STRIDE == 0, F.array(group, group - 1)).otherwise(F.array(group))
     sent = rows.select("*", F.explode(homes).alias("_group"))
@@ -152,8 +157,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts have the empty fingerprint, texts of fewer than five words one shingle.  Rows of equal id are
     ordered by text; a single row is its own next; an empty table gives no rows; other columns are not read.
     """
-    base = id_and_text(docs, id_col, text_col).withColumn("fingerprint", fingerprint(F.col("text")))
-    led = with_next(base, "doc_id", ["text"], ["text", "fingerprint"])
+    marked = lambda rows: rows.withColumn("fingerprint", fingerprint(F.col("text")))
+    led = with_next(id_and_text(docs, id_col, text_col), "doc_id", ["text"], ["text", "fingerprint"], marked)
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(F.left("text", n - quarter), F.left("next_text", quarter))
