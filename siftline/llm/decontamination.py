@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.session import cut_lineage
+
 WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Up to so many distinct windows (8 bytes each as hashes) go with the plan as a set; more are joined by hash.
 SET_LIMIT = 100_000
+#: Bytes of windows that are broadcast to verify hits; more are joined.
+BYTES_LIMIT = 64_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,13 +27,12 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """``window`` (its words joined by a space), ``len``, ``hash``, ``items`` (ids as text): one row for each distinct window."""
+    """``item`` (id as text), ``window`` (its words joined by a space), ``len``, ``hash``: one row for each window of an item."""
     cut = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("w")).where("size(w) > 0")
     rows = cut.select("item", "w", F.expr(f"least(size(w), {window})").alias("len")).select(
         "item", "len", F.explode(F.expr("transform(sequence(1, size(w) - len + 1), p -> slice(w, p, len))")).alias("ws")
     )
-    hashed = rows.select("item", "len", F.array_join("ws", " ").alias("window"), F.expr("xxhash64(transform(ws, w -> xxhash64(w)))").alias("hash"))
-    return hashed.groupBy("window", "len", "hash").agg(F.collect_set("item").alias("items"))
+    return rows.select("item", "len", F.array_join("ws", " ").alias("window"), F.expr("xxhash64(transform(ws, w -> xxhash64(w)))").alias("hash")).distinct()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,27 +99,35 @@ def contamination(
     with a null id count under the empty id.  Null and empty texts have no words and are clean.  Repeated rows are
     returned as often as they occur; an empty benchmark leaves every document clean; other columns are not read.
     """
-    windows = benchmark_windows(items, item_col, item_text, window)
+    of_items = benchmark_windows(items, item_col, item_text, window)
+    windows = of_items.select("window", "len", "hash").distinct()
     keyed = _keyed(docs, id_col, text_col)
     known = windows.select("len", "hash").limit(set_limit + 1).collect()  # bounded: a larger benchmark is not collected
     sizes = sorted({r["len"] for r in known}) if len(known) <= set_limit else list(range(1, window + 1))
+    table = windows.select("window", "len", F.lit(True).alias("known"))
     if len(known) <= set_limit:
         hits = _hits_by_set(keyed, {n: sorted({r["hash"] for r in known if r["len"] == n}) for n in sizes})
-        table = F.broadcast(windows.select("window", "len", "items"))  # at most set_limit rows
+        if (windows.agg(F.sum(F.octet_length("window"))).first()[0] or 0) <= BYTES_LIMIT:
+            table = F.broadcast(table)  # at most set_limit rows and BYTES_LIMIT bytes, whatever the number of items
     else:
-        hits, table = _hits_by_join(keyed, windows, sizes), windows.select("window", "len", "items")
+        hits = _hits_by_join(keyed, windows, sizes)
     flat = hits.select("doc_id", "text_key", "n_words", "hit.pos", F.col("hit.len").alias("len"), F.col("hit.window").alias("window"))
-    verified = flat.join(table, ["window", "len"], "left").where("pos IS NULL OR items IS NOT NULL")
+    verified = flat.join(table, ["window", "len"], "left").where("pos IS NULL OR known")
     grouped = verified.groupBy("doc_id", "text_key", "n_words").agg(
         F.count_if(F.col("pos").isNull()).alias("copies"),
         F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "len"))).alias("places"),
-        F.flatten(F.collect_set("items")).alias("items"),
+        F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("window", "len"))).alias("windows"),
     )
+    grouped = cut_lineage(grouped)  # read twice
+    # items are looked up by window for the documents that have hits, so that a window of many items is not gathered before
+    hit = grouped.where(F.size("windows") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.explode("windows").alias("w"))
+    found = hit.select("_id", "_key", "w.window", "w.len").join(of_items, ["window", "len"]).groupBy("_id", "_key").agg(F.collect_set("item").alias("items"))
+    grouped = grouped.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     covered = F.array_distinct(F.flatten(F.transform("places", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1))))
     counted = grouped.select(
         "doc_id", "text_key", F.col("n_words").cast("long").alias("n_words"), "copies",
         F.when(F.size("places") > 0, F.size(covered)).otherwise(0).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct("items")).alias("item_ids"),
+        F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("item_ids"),
     )
     return counted.select(
         "doc_id", "text_key", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids",

@@ -77,3 +77,12 @@ def test_empty_tables_and_removal(spark, odd, empty):
     assert clean.count() == odd.count() and not clean.where("contaminated OR n_hit > 0").count()
     left = decontamination.remove_contaminated(odd, items)
     assert left.columns == odd.columns and left.count() == odd.count() - 2 and not left.where("doc_id in (8, 9)").count()
+
+
+def test_a_prompt_that_many_items_share(spark):
+    """Windows are broadcast without the ids of their items."""
+    prompt = "read the following text with care and answer the question below in one word only"
+    items = spark.range(100_000).selectExpr("id item_id", f"concat('{prompt}', if(id % 1000 = 0, concat(' q', id), '')) text")
+    docs = spark.createDataFrame([(1, f"before {prompt} after"), (2, "nothing of it"), (3, f"{prompt} q5000")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontamination.contamination(docs, items).drop("item_ids").collect()}
+    assert got == {1: (15, 100_000), 2: (0, 0), 3: (16, 100_000)}
