@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siftline.llm.covered import Covered
 from siftline.llm.blocks import id_and_text, map_blocks, rewrite_blocks
 from siftline.llm.pii_examples import ROWS
 
@@ -95,10 +96,11 @@ CUES = frozenset(
 
 def _core(token: str) -> tuple[int, int]:
     """The token without punctuation at its edges, as offsets; brackets stay where they close."""
-    a, b = 0, len(token)
-    while a < b and (token[a] in EDGES or token[a] in "[)]" or token[a] == "(" and ")" not in token[a:b]):
+    a, b, closed = 0, len(token), token.rfind(")")
+    while a < b and (token[a] in EDGES or token[a] in "[)]" or token[a] == "(" and closed < a):
         a += 1
-    while b > a and (token[b - 1] in EDGES or token[b - 1] in "([" or token[b - 1] == ")" and "(" not in token[a:b] or token[b - 1] == "]" and "[" not in token[a:b]):
+    opened = {end: at if (at := token.find(start, a)) >= 0 else len(token) for start, end in ("()", "[]")}
+    while b > a and (token[b - 1] in EDGES or token[b - 1] in "([" or opened.get(token[b - 1], -1) >= b):
         b -= 1
     return a, b
 
@@ -268,6 +270,7 @@ def spans(model: dict, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
             places.append(tokens)
             sequences.append(_features([text[x:y] for x, y in tokens]))
     added: list[list[Span]] = [[] for _ in texts]
+    covered = [Covered(b) for b in bases]
     for i, tokens, labels in zip(owners, places, viterbi(model, sequences)):
         t = 0
         while t < len(labels):
@@ -277,7 +280,8 @@ def spans(model: dict, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
                 while end < len(labels) and LABELS[labels[end]] == "I" + name[1:]:
                     end += 1
                 span = (name[2:], tokens[t][0], tokens[end - 1][1])
-                if _holds(name[2:], texts[i][span[1] : span[2]]) and not any(b < span[2] and span[1] < c for _, b, c in bases[i] + added[i]):
+                after = not added[i] or added[i][-1][2] <= span[1]  # spans come in order
+                if after and not covered[i].meets(span[1], span[2]) and _holds(name[2:], texts[i][span[1] : span[2]]):
                     added[i].append(span)
             t = end
     order = lambda found: sorted(found, key=lambda s: (KINDS.index(s[0]), s[1]))

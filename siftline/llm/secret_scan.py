@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siftline.llm.blocks import id_and_text, map_blocks
+from siftline.llm.covered import Covered
 from siftline.llm.ranks import read_ranks, ranks_encoding
 
 KINDS = ("assign", "access", "hex", "random")
@@ -86,12 +87,11 @@ def _is_random(run: str, encode, least: float) -> bool:
     return len(run) >= 16 and len(run) < least * len(encode(run)) and not is_known(run, encode)
 
 
-def _pieces(run: str, start: int, encode, taken: list[Span], least: float, level: int = 0) -> list[tuple[int, int]]:
+def _pieces(run: str, start: int, encode, taken: Covered, least: float, level: int = 0) -> list[tuple[int, int]]:
     """Where ``run`` is random: as a whole, or else in pieces between marks, neighbours that are no names together first."""
     if len(run) < 16 or is_fixed(run):
         return []
-    free = not any(a < start + len(run) and start < b for _, a, b in taken)
-    if free and _is_random(run, encode, least):
+    if not taken.meets(start, start + len(run)) and _is_random(run, encode, least):
         return [(start, start + len(run))]
     for at in range(level, len(MARKS)):
         cuts = [(m.start(), m.end()) for m in re.finditer(f"[^{MARKS[at]}]+", run)]
@@ -115,11 +115,11 @@ def _pieces(run: str, start: int, encode, taken: list[Span], least: float, level
 
 
 def random_spans(text: str, encode, taken: list[Span], least: float = LEAST) -> list[Span]:
-    out = []
+    out, covered = [], Covered(taken)
     for m in CANDIDATE.finditer(text):
         run = m[0].strip("=-/_+") if m[0][0] in "=-/_+" else m[0]
         start = m.start() + m[0].find(run) if run else m.start()
-        out += [("random", a, b) for a, b in sorted(_pieces(run, start, encode, taken, least))]
+        out += [("random", a, b) for a, b in sorted(_pieces(run, start, encode, covered, least))]
     return out
 
 

@@ -9,6 +9,7 @@ the section that holds most of its characters, the earlier one of equals ("most"
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -19,6 +20,8 @@ from siftline.llm.blocks import id_and_text, map_blocks
 from siftline.llm.ranks import parse, ranks_encoding, read_ranks
 
 RULES = ("first", "last", "most")
+#: White space as the pattern knows it, so much that it is encoded apart.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=2)
@@ -58,10 +61,22 @@ def attribute(first: np.ndarray, last: np.ndarray, starts: np.ndarray, rule: str
     return np.bincount(home, minlength=len(starts)), int((a != b).sum())
 
 
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a text.  A long run of white space, on which the pattern engine would overflow, is one piece of the pattern, but
+    for its last character where a word follows; it is encoded without the pattern."""
+    ids, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += encoding.encode_ordinary(text[at : m.start()])
+        ids += encoding._encode_single_piece(text[m.start() : end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def count(text: str, payload: bytes, rule: str = "first") -> tuple[np.ndarray, np.ndarray, int]:
     """Token ids, tokens of each line, and the number of tokens that cross lines."""
     encoding, sizes = _vocabulary(payload)
-    ids = np.array(encoding.encode_ordinary(text), np.int64)
+    ids = np.array(encode(encoding, text), np.int64)
     first, end = character_spans(text, ids, sizes)
     return ids, *attribute(first, end - 1, line_starts(text), rule)
 

@@ -3,11 +3,13 @@
 import bisect
 import random
 import re
+import time
 
 import pytest
 from tests.llm.conftest import ODD
 
 from siftline.llm import pii, ranks, secret_scan, token_spans
+from siftline.llm.covered import Covered
 
 digits = lambda s: re.sub("[^0-9]", "", s)
 PII = [
@@ -151,3 +153,52 @@ def test_slugs_with_long_numbers_take_no_time():
     encode = ranks.ranks_encoding(ranks.read_ranks()).encode_ordinary
     for run in ("united-states-presidential-election-results-20201103", "internationalizationinternationalization12345", "word-" * 2000 + "123456"):
         assert secret_scan.random_spans(run, encode, []) == []
+
+
+def test_covered_is_any_overlap():
+    rng = random.Random(3)
+    for _ in range(300):
+        taken = [("k", a, a + rng.randint(1, 9)) for a in rng.choices(range(60), k=rng.randint(0, 8))]
+        covered = Covered(taken)
+        for _ in range(20):
+            a = rng.randrange(70)
+            b = a + rng.randint(1, 12)
+            assert covered.meets(a, b) == any(x < b and a < y for _, x, y in taken)
+
+
+def seconds(work):
+    started = time.process_time()
+    work()
+    return time.process_time() - started
+
+
+def test_many_spans_in_one_text(model):
+    rng = random.Random(4)
+    encode = secret_scan._encoding(ranks.read_ranks()).encode_ordinary
+    keys = "\n".join(f"id{i} {rng.getrandbits(128):032x} token=Zk3xQ9mB7tLw{i:06}" for i in range(100_000))
+    base = secret_scan.base_spans(keys)
+    assert len(base) >= 200_000
+    assert seconds(lambda: secret_scan.random_spans(keys, encode, base)) < 30
+    people = " ".join(f"call +49 30 {rng.randrange(10**6, 10**7)} or a{i}[at]b{i}.org" for i in range(100_000))
+    found = []
+    assert seconds(lambda: found.extend(pii.spans(model, [people]))) < 120
+    assert len(found[0][0]) == 100_000 and len(found[0][1]) >= len(found[0][0])
+    assert seconds(lambda: pii.spans(model, ["@" + "(" * 100_000, "9" + ")" * 100_000, "1[at]" + "(]" * 50_000])) < 20
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", " \n"])
+def test_a_million_white_space_characters(space):
+    payload = ranks.read_ranks()
+    for text in (space * 1_000_000, "a" + space * 500_000 + "b", space * 400_000 + "\x1cx" + space * 400_000):
+        ids, lines, _ = token_spans.count(text, payload)
+        assert token_spans._vocabulary(payload)[0].decode(ids.tolist()) == text and lines.sum() == len(ids)
+
+
+def test_white_space_apart_gives_the_same_ids(monkeypatch):
+    encoding = token_spans._vocabulary(ranks.read_ranks())[0]
+    rng = random.Random(5)
+    for least in (2, 3, 7):
+        monkeypatch.setattr(token_spans, "LONG_SPACE", re.compile(token_spans.LONG_SPACE.pattern.replace("10000", str(least))))
+        for _ in range(2000):
+            text = "".join(rng.choices(["a", "'s", "1", " ", "  ", "\n", "\t", "\x1c", "　", "\x85", ".", "é"], k=rng.randint(0, 25)))
+            assert token_spans.encode(encoding, text) == encoding.encode_ordinary(text)
