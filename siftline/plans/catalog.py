@@ -18,6 +18,7 @@ MODULES = [
     "learning",
     "table_jobs",
     "sessions",
+    "streams",
     "logs",
 ]
 
