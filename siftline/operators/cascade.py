@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions import entities as E
+from siftline.functions import automaton, entities as E
 from siftline.functions import text as T
 from siftline.lexicons.model import Lexicon
 
@@ -155,6 +155,33 @@ def direction_score(text: Column, lex: Lexicon, directions=None) -> Column:
     return T.let(F.lower(text), lambda low: _best_topic(low, lex, dict(directions or lex.directions)))
 
 
+def direction_of(text: Column, lex: Lexicon, directions=None) -> Column:
+    """``direction_score`` in one pass over the text: an automaton finds all keywords with their first places, so the cost does
+    not grow with the vocabulary; weights are computed for the keywords found."""
+    topics = dict(directions or lex.directions)
+    entries = [(label, word) for label, words in enumerate(topics.values()) for word in words]
+    cues = F.lit("(?:" + "|".join(f"\\Q{c}\\E" for c in lex.request_cues) + ")")
+    longest = max((len(word) for _, word in entries), default=1)
+
+    def best(row):
+        low, hits, context = row["low"], row["hits"], row["context"]
+        weighed = F.transform(hits, lambda h: F.struct(h["label"].alias("label"), _weight(low, h["word"], h["at"], cues, context).alias("weight")))
+
+        def top(found):
+            totals = [
+                F.struct(F.aggregate(F.filter(found, lambda h: h["label"] == i), F.lit(0.0), lambda n, h: n + h["weight"]).alias("total"), F.lit(-i).alias("order"), F.lit(name).alias("topic"))
+                for i, name in enumerate(topics)
+            ]
+            first = F.array_max(F.array(*totals)) if totals else F.struct(F.lit(0.0).alias("total"), F.lit("").alias("topic"))
+            return F.when(first["total"] > 0, first["topic"]).otherwise(F.lit("Unknown"))
+
+        return T.let(weighed, top)
+
+    low = F.lower(text)
+    found = F.coalesce(automaton.labelled_hits(entries)(low), F.array().cast("array<struct<label:int,word:string,at:int>>"))
+    return T.let(F.struct(low.alias("low"), found.alias("hits"), _negation_context(low, lex, longest).alias("context")), best)
+
+
 BEFORE, AFTER = r"\s+{kw}", r"{kw}\s+"
 
 
@@ -191,8 +218,11 @@ def _best_topic(low: Column, lex: Lexicon, topics: dict) -> Column:
 
 
 def _keyword_weight(low: Column, keyword: Column, cues: Column, context: Column) -> Column:
+    return _weight(low, keyword, F.position(keyword, low), cues, context)
+
+
+def _weight(low: Column, keyword: Column, at: Column, cues: Column, context: Column) -> Column:
     negated = F.exists(context["follows"], lambda s: F.startswith(s, keyword)) | F.exists(context["precedes"], lambda s: F.endswith(s, keyword))
-    at = F.position(keyword, low)
     start = F.greatest(at - 80, F.lit(1))
     window = F.substring(low, start, at + F.length(keyword) + 80 - start)
     return F.when(negated, -10.0).when(F.regexp(window, cues), 2.5).otherwise(1.0)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftline.functions import text as T
+from siftline.functions import automaton, text as T
 from siftline.lexicons.builtin import LATIN, RUSSIAN
 from siftline.operators import cascade, scorer
 from siftline.plans.registry import query
@@ -68,24 +68,24 @@ def _in(column: str, values) -> str:
     return f"{column} IN ({', '.join(map(_s, values))})"
 
 
-def _direction_sql() -> str:
-    cues = "|".join(LATIN.request_cues)
+def _direction_sql(lex=LATIN, table="documents", key="doc_id") -> str:
+    cues = "|".join(lex.request_cues)
     rows = ", ".join(
         f"({_s(topic)}, {order}, {_s(w)})"
-        for order, (topic, ws) in enumerate(LATIN.directions.items())
+        for order, (topic, ws) in enumerate(lex.directions.items())
         for w in ws
     )
-    negated = "|".join(f"(?:{n})" for n in LATIN.negations).replace("{kw}", "' || kw || '")
+    negated = "|".join(f"(?:{n})" for n in lex.negations).replace("{kw}", "' || regexp_escape(kw) || '")
     return f"""
   kw(topic, ord, kw) AS (VALUES {rows}),
-  hit AS (SELECT doc_id, topic, ord, CASE WHEN regexp_matches(lowraw, '{negated}') THEN -10.0
+  hit AS (SELECT {key}, topic, ord, CASE WHEN regexp_matches(lowraw, '{negated}') THEN -10.0
             WHEN regexp_matches(substr(lowraw, greatest(pos - 80, 1), pos + length(kw) + 80 - greatest(pos - 80, 1)),
                                 '{cues}') THEN 2.5 ELSE 1.0 END AS weight
-          FROM (SELECT doc_id, lower(text) AS lowraw, topic, ord, kw, instr(lower(text), kw) AS pos
-                FROM documents, kw WHERE contains(lower(text), kw))),
-  total AS (SELECT doc_id, topic, ord, sum(weight) AS total FROM hit GROUP BY ALL),
-  best AS (SELECT doc_id, arg_max(topic, (total, -ord)) AS topic FROM total WHERE total > 0 GROUP BY doc_id),
-  dir AS (SELECT d.doc_id, coalesce(topic, 'Unknown') AS direction FROM documents d LEFT JOIN best USING (doc_id))"""
+          FROM (SELECT {key}, lower(text) AS lowraw, topic, ord, kw, instr(lower(text), kw) AS pos
+                FROM {table}, kw WHERE contains(lower(text), kw))),
+  total AS (SELECT {key}, topic, ord, sum(weight) AS total FROM hit GROUP BY ALL),
+  best AS (SELECT {key}, arg_max(topic, (total, -ord)) AS topic FROM total WHERE total > 0 GROUP BY {key}),
+  dir AS (SELECT d.{key}, coalesce(topic, 'Unknown') AS direction FROM {table} d LEFT JOIN best USING ({key}))"""
 
 
 _TRUST = f"CASE WHEN {_in('source', LATIN.sources_high)} THEN 1 WHEN {_in('source', LATIN.sources_low)} THEN -1 ELSE 0 END"
@@ -162,6 +162,51 @@ def rule_direction(t):
     return t.texts.select("doc_id", cascade.direction_score(F.col("text"), LATIN).alias("direction"))
 
 
+KEYWORDS = [word for words in RUSSIAN.directions.values() for word in words]
+
+
+def keyword_messages(t):
+    """Russian messages that hold every keyword of the topic vocabulary, asked for, offered, negated and beside another one."""
+    words = F.array(*map(F.lit, KEYWORDS))
+    word = lambda shift: F.get(words, F.pmod(F.col("o_orderkey") + shift, F.lit(len(KEYWORDS))).cast("int"))
+    status = F.col("o_orderstatus")
+    text = (
+        F.when(status == "F", F.concat(F.lit("Нужен специалист: "), word(0), F.lit(". Бюджет "), F.floor(F.col("o_totalprice") / 1000), F.lit(" тыс")))
+        .when(status == "O", F.concat(F.lit("Предлагаю "), word(0), F.lit(" и "), word(97), F.lit(" недорого")))
+        .otherwise(F.concat(F.lit("Нам не нужен "), word(0), F.lit(", без "), word(31), F.lit(", но ищем "), word(211)))
+    )
+    return spread(t.orders).select("o_orderkey", text.alias("text"))
+
+
+_KEYWORD_MESSAGES = f"""
+  words AS (SELECT [{", ".join(map(_s, KEYWORDS))}] AS w),
+  messages AS (SELECT o_orderkey, CASE o_orderstatus
+      WHEN 'F' THEN 'Нужен специалист: ' || w[o_orderkey % {len(KEYWORDS)} + 1] || '. Бюджет ' || CAST(floor(o_totalprice / 1000) AS BIGINT) || ' тыс'
+      WHEN 'O' THEN 'Предлагаю ' || w[o_orderkey % {len(KEYWORDS)} + 1] || ' и ' || w[(o_orderkey + 97) % {len(KEYWORDS)} + 1] || ' недорого'
+      ELSE 'Нам не нужен ' || w[o_orderkey % {len(KEYWORDS)} + 1] || ', без ' || w[(o_orderkey + 31) % {len(KEYWORDS)} + 1]
+           || ', но ищем ' || w[(o_orderkey + 211) % {len(KEYWORDS)} + 1] END AS text FROM orders, words)"""
+
+
+@query("rule_direction_ru", f"WITH {_KEYWORD_MESSAGES}, {_direction_sql(RUSSIAN, 'messages', 'o_orderkey')} SELECT o_orderkey, direction FROM dir")
+def rule_direction_ru(t):
+    """Topics by the whole Russian vocabulary, found in one pass over each text."""
+    return keyword_messages(t).select("o_orderkey", cascade.direction_of(F.col("text"), RUSSIAN).alias("direction"))
+
+
+@query(
+    "join_rules_table",
+    """WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS rule FROM benchmark),
+            m AS (SELECT rule, doc_id, instr(lower(text), rule) AS pos FROM documents, r WHERE contains(lower(text), rule))
+       SELECT rule, count(*) AS n, min(doc_id) AS first_doc, min(pos) AS nearest FROM m GROUP BY rule""",
+)
+def join_rules_table(t):
+    """Texts against a rule table of any size: here the longer words of the benchmark."""
+    rules = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("rule")).distinct()
+    rows = t.texts.select("doc_id", F.lower("text").alias("text"))
+    found = automaton.multi_match(rows, "doc_id", "text", rules.withColumn("pattern", F.col("rule")), "rule", "pattern")
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.min("at").cast("long").alias("nearest"))
+
+
 @query(
     "rule_negation",
     """SELECT o_orderkey, o_orderstatus <> 'P' AS negated FROM orders""",
