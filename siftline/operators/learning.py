@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from siftline.functions.text import let
+
 
 def _mean(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v) / F.size(values)
@@ -253,3 +255,60 @@ def select_strategy(df: DataFrame, ident: str, strategies: list[tuple], boosts:
     return df.withColumn("explored", explore).withColumn("strategy", F.when(explore, explored).otherwise(sampled)).drop(
         "_draws"
     )
+
+
+#: Attempts of a Gamma draw; each one is taken with a chance above 0.95, so that all fail in one of 10**15 draws.
+ATTEMPTS = 12
+
+
+def uniform(ident: Column, seed: int, *parts) -> Column:
+    """A number in (0, 1) that depends on the row, the seed and what it is for: 52 bits of a digest, the same in any engine."""
+    digest = F.md5(F.concat_ws(":", ident.cast("string"), F.lit(str(seed)), *[F.lit(str(p)) if not isinstance(p, Column) else p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+
+
+def gamma_draw(ident: Column, seed: int, purpose: str, shape: float) -> Column:
+    """A Gamma(shape, 1) draw by rejection from a cubed normal, with a fixed number of attempts and the mean after them."""
+    d = max(shape, 1.0) - 1 / 3 if shape >= 1 else shape + 2 / 3
+    c = 1 / (9 * d) ** 0.5
+
+    def attempt(i):
+        u = [uniform(ident, seed, purpose, i, k) for k in range(3)]
+        z = F.sqrt(-2 * F.log(u[0])) * F.cos(F.lit(2 * np.pi) * u[1])
+
+        def judged(p):
+            v = F.pow(1 + c * p["z"], F.lit(3.0))
+            return F.when((v > 0) & (F.log(p["u"]) < p["z"] * p["z"] / 2 + d - d * v + d * F.log(F.when(v > 0, v))), d * v)
+
+        return let(F.struct(z.alias("z"), u[2].alias("u")), judged)
+
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), F.lit(None).cast("double"), lambda found, i: F.coalesce(found, attempt(i)))
+    drawn = F.coalesce(drawn, F.lit(d + 1 / 3))
+    return drawn if shape >= 1 else drawn * F.pow(uniform(ident, seed, purpose, "power"), F.lit(1 / shape))
+
+
+def beta_draw(ident: Column, seed: int, purpose: str, alpha: float, beta: float) -> Column:
+    x, y = gamma_draw(ident, seed, f"{purpose}/a", alpha), gamma_draw(ident, seed, f"{purpose}/b", beta)
+    return let(F.struct(x.alias("x"), y.alias("y")), lambda g: g["x"] / (g["x"] + g["y"]))
+
+
+def sample_strategy(df: DataFrame, ident: str, arms: list[tuple[str, float, float]], boosts: dict[str, Column], epsilon: float = 0.2, seed: int = 42) -> DataFrame:
+    """``select_strategy`` in built-in functions: ``epsilon`` of rows take any strategy, the others the best Beta draw times the
+    boost of their context (to nine digits; the first of equals).  Draws depend on the row's id and the seed only."""
+    key = F.col(ident)
+    explore = uniform(key, seed, "explore") < epsilon
+    names = F.array(*[F.lit(name) for name, _, _ in arms])
+    anyone = F.get(names, F.floor(uniform(key, seed, "any") * len(arms)).cast("int"))
+    values = [
+        F.struct(F.round(beta_draw(key, seed, name, alpha, beta) * boosts.get(name, F.lit(1.0)), 9).alias("v"), F.lit(-i).alias("o"), F.lit(name).alias("n"))
+        for i, (name, alpha, beta) in enumerate(arms)
+    ]
+    return df.withColumn("explored", explore).withColumn("strategy", F.when(F.col("explored"), anyone).otherwise(F.array_max(F.array(*values))["n"]))
+
+
+def saved(model, folder: str):
+    """The model as written to a shared folder and read from it again."""
+    from pyspark.ml import PipelineModel
+
+    model.write().overwrite().save(folder)
+    return PipelineModel.load(folder)

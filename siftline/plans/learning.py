@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftline.operators import learning, tables as jobs
 from siftline.plans.ordering import _INFORMATIVENESS, event_scores
 from siftline.plans.registry import query
+from siftline.session import ensure_checkpoint_dir, spread
 
 
 def labelled(t):
@@ -33,6 +36,17 @@ def ml_predict(t):
     return scored.select("doc_id", F.round("probability", 6).alias("probability"), "is_lead", "method")
 
 
+@query("ml_save_load", "SELECT doc_id, true AS same FROM documents")
+def ml_save_load(t):
+    """Predictions of the model that was trained, against those of the model written and read again."""
+    model, _ = learning.train(labelled(t), "doc_id", "text", "label")
+    again = learning.saved(model, f"{ensure_checkpoint_dir(t.spark)}/model-{uuid.uuid4().hex}")
+    rows = t.texts.select("doc_id", "text")
+    one = learning.predict(model, rows).select("doc_id", F.col("probability").alias("p"))
+    two = learning.predict(again, rows).select("doc_id", F.col("probability").alias("q"))
+    return one.join(two, "doc_id").select("doc_id", F.col("p").eqNullSafe(F.col("q")).alias("same"))
+
+
 @query("ml_second_committee_member")
 def ml_second_committee_member(t):
     return _metric_row(t, "bayes")[0]
@@ -157,14 +171,45 @@ def bandit_posterior(t):
 ARMS = [("direct", 12.0, 8.0), ("technical", 9.0, 9.0), ("friendly", 5.0, 7.0)]
 
 
-@query("bandit_select")
+SEED = 42
+
+
+def _uniform_sql(*parts: str) -> str:
+    joined = " || ':' || ".join([f"'{SEED}'", *parts])
+    return f"((('0x' || substr(md5(o_orderkey || ':' || {joined}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+
+
+_DRAWS = ", ".join(f"('{name}/{side}', '{name}', '{side}', {shape - 1 / 3!r})" for name, a, b in ARMS for side, shape in (("a", a), ("b", b)))
+_ORDER = ", ".join(f"('{name}', {i})" for i, (name, _, _) in enumerate(ARMS))
+
+
+@query(
+    "bandit_select",
+    f"""WITH draw(purpose, strategy, side, d) AS (VALUES {_DRAWS}), place(strategy, n) AS (VALUES {_ORDER}),
+            attempt AS (SELECT o_orderkey, purpose, strategy, side, d::DOUBLE AS d, i,
+                               sqrt(-2 * ln({_uniform_sql("purpose", "i", "'0'")})) * cos({2 * 3.141592653589793!r} * {_uniform_sql("purpose", "i", "'1'")}) AS z,
+                               {_uniform_sql("purpose", "i", "'2'")} AS u
+                        FROM orders, draw, (SELECT unnest(range({learning.ATTEMPTS})) AS i)),
+            cubed AS (SELECT *, pow(1 + (1 / sqrt(9 * d)) * z, 3.0) AS v FROM attempt),
+            taken AS (SELECT o_orderkey, strategy, side,
+                             coalesce(arg_min(d * v, i) FILTER (v > 0 AND ln(u) < z * z / 2 + d - d * v + d * ln(CASE WHEN v > 0 THEN v END)), any_value(d) + 1.0 / 3) AS g
+                      FROM cubed GROUP BY ALL),
+            ratio AS (SELECT o_orderkey, strategy, max(g) FILTER (side = 'a') / (max(g) FILTER (side = 'a') + max(g) FILTER (side = 'b')) AS share FROM taken GROUP BY ALL),
+            best AS (SELECT r.o_orderkey, arg_max(r.strategy, (round(share * CASE
+                            WHEN r.strategy = 'technical' AND o_orderpriority = '1-URGENT' THEN 1.2
+                            WHEN r.strategy = 'direct' AND o_totalprice > 400000 THEN 1.1 ELSE 1.0 END, 9), -n)) AS strategy
+                     FROM ratio r JOIN orders o ON o.o_orderkey = r.o_orderkey JOIN place p ON p.strategy = r.strategy GROUP BY r.o_orderkey),
+            free AS (SELECT o_orderkey, {_uniform_sql("'explore'")} < 0.2 AS explored, floor({_uniform_sql("'any'")} * {len(ARMS)}) AS pick FROM orders)
+       SELECT f.o_orderkey, explored, CASE WHEN explored THEN (SELECT strategy FROM place WHERE n = pick) ELSE b.strategy END AS strategy
+       FROM free f JOIN best b ON b.o_orderkey = f.o_orderkey""",
+)
 def bandit_select(t):
     """A strategy per order; large orders favour ``direct``, building customers ``technical``."""
     boosts = {
         "technical": F.when(F.col("o_orderpriority") == "1-URGENT", 1.2).otherwise(1.0),
         "direct": F.when(F.col("o_totalprice") > 400000, 1.1).otherwise(1.0),
     }
-    chosen = learning.select_strategy(t.orders, "o_orderkey", ARMS, boosts)
+    chosen = learning.sample_strategy(spread(t.orders), "o_orderkey", ARMS, boosts, seed=SEED)
     return chosen.select("o_orderkey", "explored", "strategy")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siftline.functions import similarity
@@ -9,6 +11,7 @@ from siftline.operators import filters, keyed, learning, reports, search, tables
 from siftline.plans.joins import by_day
 from siftline.plans.registry import query
 from siftline.plans.scans import EVENTS_NOW
+from siftline.session import ensure_checkpoint_dir, spread
 
 
 def by_turns():
@@ -246,6 +249,22 @@ def kb_keyword_search(t):
     return search.best_snippets(t.pages, "page_id", "html", QUESTION)
 
 
+def _indexed(t, df, ident, text):
+    index = search.build_index(spread(df), ident, text, f"{ensure_checkpoint_dir(t.spark)}/index-{uuid.uuid4().hex}")
+    return search.indexed_snippets(index, df, ident, text, QUESTION)
+
+
+@query("topk_indexed_snippets", _SNIPPETS.format(id="doc_id", text="text", table="documents"))
+def topk_indexed_snippets(t):
+    """``topk_relevance_snippets`` from an index of terms."""
+    return _indexed(t, t.documents, "doc_id", "text")
+
+
+@query("kb_indexed_search", _SNIPPETS.format(id="page_id", text="html", table="pages"))
+def kb_indexed_search(t):
+    return _indexed(t, t.pages, "page_id", "html")
+
+
 _INFORMATIVENESS = """
   p AS (SELECT event_id, event_type, value / 500.0 AS p1, json_extract(props, '$.k')::DOUBLE / 100.0 AS p2 FROM events),
   c AS (SELECT *, greatest(1e-10, least(1 - 1e-10, p1)) AS q1, greatest(1e-10, least(1 - 1e-10, p2)) AS q2 FROM p),
