@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.functions import similarity, text as T
+from siftline.operators import neighbours
+from siftline.session import cut_lineage
+
 
 def allow_listed(df: DataFrame, column: str, allowed: DataFrame) -> DataFrame:
     """Rows whose ``column`` is listed; an empty list keeps all."""
@@ -44,6 +48,9 @@ def hash_then_prefix(
 ) -> DataFrame:
     """Match texts by hash; unmatched ones by ``right LIKE left[:prefix] || '%'``.  Smallest id wins.
 
+    Texts that share a head need not be alike, so ``similarity`` compares the whole texts of a match: the share of their words
+    that they have in common, 1 for equal hashes.
+
     The right side is reduced to its first row per hash and per prefix before each join, so copies of
     one text cannot multiply.  Left texts shorter than the prefix are compared at their own length.
     """
@@ -65,11 +72,24 @@ def hash_then_prefix(
     )
     open_prefix = F.when(F.col("_hit").isNull(), F.col("_prefix"))  # a null key matches nothing
     retried = matched.withColumn("_prefix", open_prefix).join(first_by_prefix, ["_prefix", "_size"], "left")
-    return retried.select(
-        left_id,
-        F.coalesce("_hit", "_retry").alias("match_id"),
-        F.when(F.col("_hit").isNotNull(), "hash").when(F.col("_retry").isNotNull(), "prefix").alias("match_by"),
+    found = cut_lineage(
+        retried.select(
+            left_id,
+            F.coalesce("_hit", "_retry").alias("match_id"),
+            F.when(F.col("_hit").isNotNull(), "hash").when(F.col("_retry").isNotNull(), "prefix").alias("match_by"),
+        )
     )
+    by_head = found.where("match_by = 'prefix'").select(left_id, "match_id")
+    mine = left.join(neighbours.small(by_head.select(left_id).distinct()), left_id).select(left_id, words(F.col(text)).alias("_mine"))
+    hits = right.withColumnRenamed(right_id, "match_id").join(neighbours.small(by_head.select("match_id").distinct()), "match_id")
+    near = by_head.join(mine, left_id).join(hits.select("match_id", words(F.col(text)).alias("_theirs")), "match_id")
+    near = near.select(left_id, F.round(similarity.jaccard(F.col("_mine"), F.col("_theirs")), 6).alias("_near"))
+    return found.join(near, left_id, "left").select(left_id, "match_id", "match_by", F.when(F.col("match_by") == "hash", 1.0).otherwise(F.col("_near")).alias("similarity"))
+
+
+def words(text: Column) -> Column:
+    """Distinct words of the lower-cased text, between white space."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), f"[{T.SPACE}]+"), lambda w: w != ""))
 
 
 def containing(

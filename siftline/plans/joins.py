@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from siftline.functions import similarity, text as T
 from siftline.operators import joins, keyed
 from siftline.plans.registry import query
+from siftline.plans.text_functions import SQL_SPACE
+
 
 def by_day():
     return F.date_trunc("day", F.col("ts"))
 
 
-
 @query(
     "join_dialog_lead_left",
     """SELECT o_orderkey, o_orderdate, o_orderstatus, c_name, c_mktsegment
@@ -43,19 +44,27 @@ def join_lead_messages(t):
     )
 
 
+WORDS_SQL = "list_distinct(regexp_extract_all(lower({}), '[^" + SQL_SPACE.replace("{", "{{").replace("}", "}}") + "]+'))"
+SHARED_SQL = "round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 6)"
+
+
 @query(
     "join_hash_then_prefix",
-    r"""WITH l AS (SELECT d.doc_id, d.text FROM documents d SEMI JOIN labels x ON d.doc_id = x.doc_id),
+    rf"""WITH l AS (SELECT d.doc_id, d.text FROM documents d SEMI JOIN labels x ON d.doc_id = x.doc_id),
              r AS (SELECT d.doc_id, d.text FROM documents d ANTI JOIN labels x ON d.doc_id = x.doc_id),
              h AS (SELECT md5(regexp_replace(lower(text), '\s', '', 'g')) AS hash, min(doc_id) AS hit
                    FROM r GROUP BY 1),
              e AS (SELECT l.doc_id, l.text, h.hit
                    FROM l LEFT JOIN h ON md5(regexp_replace(lower(l.text), '\s', '', 'g')) = h.hash),
              p AS (SELECT e.doc_id, min(r.doc_id) AS hit
-                   FROM e JOIN r ON starts_with(r.text, substr(e.text, 1, 100)) WHERE e.hit IS NULL GROUP BY 1)
+                   FROM e JOIN r ON starts_with(r.text, substr(e.text, 1, 100)) WHERE e.hit IS NULL GROUP BY 1),
+             w AS (SELECT p.doc_id, {WORDS_SQL.format("e.text")} AS a, {WORDS_SQL.format("r.text")} AS b
+                   FROM p JOIN e ON e.doc_id = p.doc_id JOIN r ON r.doc_id = p.hit),
+             n AS (SELECT doc_id, {SHARED_SQL} AS near FROM w)
         SELECT e.doc_id, coalesce(e.hit, p.hit) AS match_id,
-               CASE WHEN e.hit IS NOT NULL THEN 'hash' WHEN p.hit IS NOT NULL THEN 'prefix' END AS match_by
-        FROM e LEFT JOIN p ON e.doc_id = p.doc_id""",
+               CASE WHEN e.hit IS NOT NULL THEN 'hash' WHEN p.hit IS NOT NULL THEN 'prefix' END AS match_by,
+               CASE WHEN e.hit IS NOT NULL THEN 1.0 ELSE near END::DOUBLE AS similarity
+        FROM e LEFT JOIN p ON e.doc_id = p.doc_id LEFT JOIN n ON n.doc_id = e.doc_id""",
 )
 def join_hash_then_prefix(t):
     labels = t.labels.select("doc_id")

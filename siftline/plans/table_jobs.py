@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as T
 from siftline.lexicons.builtin import LATIN
 from siftline.operators import cascade, filters, joins, keyed, reports, tables as jobs
+from siftline.plans.joins import SHARED_SQL, WORDS_SQL
 from siftline.plans.registry import query
 from siftline.plans.rules import _BOOSTED, _CONTACT, _REASON
 from siftline.plans.text_functions import SQL_SPACE
@@ -169,6 +170,10 @@ def tbl_revalidate(t):
     return updated.drop("_hit")
 
 
+#: Share of words that a stored text with the same head must have in common, for its contact to be taken over.
+ALIKE = 0.5
+
+
 @query(
     "tbl_recover_contacts",
     f"""WITH l AS (SELECT doc_id, text, {_CONTACT} AS in_text,
@@ -179,10 +184,14 @@ def tbl_revalidate(t):
              h AS (SELECT hash, min(doc_id) AS hit FROM r GROUP BY hash),
              e AS (SELECT l.*, h.hit FROM l LEFT JOIN h ON l.hash = h.hash),
              p AS (SELECT e.doc_id, min(r.doc_id) AS hit FROM e JOIN r ON starts_with(r.text, substr(e.text, 1, 100))
-                   WHERE e.hit IS NULL GROUP BY 1)
-        SELECT e.doc_id, in_text, coalesce(e.hit, p.hit) AS match_id,
-               CASE WHEN in_text THEN 'text' WHEN coalesce(e.hit, p.hit) IS NOT NULL THEN 'stored' ELSE 'none' END AS found_in
-        FROM e LEFT JOIN p ON e.doc_id = p.doc_id""",
+                   WHERE e.hit IS NULL GROUP BY 1),
+             w AS (SELECT p.doc_id, {WORDS_SQL.format("e.text")} AS a, {WORDS_SQL.format("r.text")} AS b
+                   FROM p JOIN e ON e.doc_id = p.doc_id JOIN r ON r.doc_id = p.hit),
+             n AS (SELECT doc_id, {SHARED_SQL} AS near FROM w),
+             m AS (SELECT e.doc_id, in_text, coalesce(e.hit, CASE WHEN near >= {ALIKE} THEN p.hit END) AS match_id
+                   FROM e LEFT JOIN p ON e.doc_id = p.doc_id LEFT JOIN n ON n.doc_id = e.doc_id)
+        SELECT doc_id, in_text, match_id, CASE WHEN in_text THEN 'text' WHEN match_id IS NOT NULL THEN 'stored' ELSE 'none' END AS found_in
+        FROM m""",
 )
 def tbl_recover_contacts(t):
     """Accepted rows without a contact: contact read from the text, else from the same text stored elsewhere."""
@@ -192,6 +201,7 @@ def tbl_recover_contacts(t):
     accepted = t.documents.join(t.labels.filter(F.col("quality") == 1), "doc_id", "left_semi").select("doc_id", "text")
     stored = t.documents.join(t.labels, "doc_id", "left_anti").select(F.col("doc_id").alias("known_id"), "text")
     matched = joins.hash_then_prefix(accepted, stored, "doc_id", "known_id", "text", T.text_hash)
+    matched = matched.withColumn("match_id", F.when(F.col("similarity") >= ALIKE, F.col("match_id")))
     return (
         accepted.select("doc_id", spans["has_contact"].alias("in_text"))
         .join(matched, "doc_id")
