@@ -6,9 +6,12 @@ the same lexicon.  Russian rules run on messages that are derived from the order
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from siftline.functions import automaton, text as T
+from siftline.lexicons import examples
 from siftline.lexicons.builtin import LATIN, RUSSIAN
 from siftline.operators import cascade, scorer
 from siftline.plans.registry import query
@@ -483,3 +486,78 @@ def scorer_target_keywords(t):
     return order_messages(t).select(
         "o_orderkey", scorer.target_keyword(_low(), scorer.ScorerLexicon()).alias("keyword")
     )
+
+
+# Messages that hold an example of every pattern of the scorer's lists.
+_LISTS = scorer.ScorerLexicon()
+PATTERN_EXAMPLES = [
+    examples.example(p)
+    for patterns in (_LISTS.spam, _LISTS.offer, _LISTS.offer_overrides, _LISTS.demand, _LISTS.context, _LISTS.order_formats, _LISTS.locations,
+                     _LISTS.platforms, _LISTS.agency, _LISTS.team, _LISTS.exclusions, _LISTS.remote, _LISTS.targets)
+    for p in patterns
+]
+
+
+def pattern_messages(t):
+    texts = F.array(*map(F.lit, PATTERN_EXAMPLES))
+    some = lambda shift: F.get(texts, F.pmod(F.col("o_orderkey") + shift, F.lit(len(PATTERN_EXAMPLES))).cast("int"))
+    status = F.col("o_orderstatus")
+    text = (
+        F.when(status == "F", F.concat(F.lit("Добрый день, "), some(0), F.lit(", спасибо")))
+        .when(status == "O", F.concat(some(0), F.lit(" и "), some(61)))
+        .otherwise(F.concat(F.lit("Команда пишет: "), some(0), F.lit("! Ещё: "), some(17), F.lit("; "), some(140)))
+    )
+    return spread(t.orders).select("o_orderkey", F.lower(text).alias("text"))
+
+
+def _sql_pattern(pattern: str) -> str:
+    """The pattern in the other engine, whose word characters are ASCII: borders become the characters beside them."""
+    word = r"\p{L}\p{N}_"
+    if pattern.startswith(r"\b"):
+        pattern = f"(?:^|[^{word}]){pattern[2:]}"
+    if pattern.endswith(r"\b"):
+        pattern = f"{pattern[:-2]}(?:$|[^{word}])"
+    return "(?i)" + pattern.replace(r"\w", f"[{word}]")
+
+
+def _sql_any_pattern(patterns) -> str:
+    return "(" + " OR ".join(f"regexp_matches(text, {_s(_sql_pattern(p))})" for p in patterns) + ")" if patterns else "false"
+
+
+_PATTERN_MESSAGES = f"""
+  words AS (SELECT [{", ".join(map(_s, PATTERN_EXAMPLES))}] AS w),
+  picks AS (SELECT o_orderkey, o_orderstatus, w[o_orderkey % {len(PATTERN_EXAMPLES)} + 1] AS a, w[(o_orderkey + 61) % {len(PATTERN_EXAMPLES)} + 1] AS b,
+                   w[(o_orderkey + 17) % {len(PATTERN_EXAMPLES)} + 1] AS c, w[(o_orderkey + 140) % {len(PATTERN_EXAMPLES)} + 1] AS d FROM orders, words),
+  messages AS (SELECT o_orderkey, lower(CASE o_orderstatus WHEN 'F' THEN 'Добрый день, ' || a || ', спасибо' WHEN 'O' THEN a || ' и ' || b
+                                        ELSE 'Команда пишет: ' || a || '! Ещё: ' || c || '; ' || d END) AS text FROM picks)"""
+
+
+@query(
+    "scorer_pattern_lists",
+    f"""WITH {_PATTERN_MESSAGES}
+        SELECT o_orderkey, {_sql_any_pattern(_LISTS.spam)} AS is_spam,
+               {_sql_any_pattern(_LISTS.offer)} AND NOT {_sql_any_pattern(_LISTS.offer_overrides)} AS is_offer,
+               CASE WHEN {_sql_any_pattern(_LISTS.demand)} THEN 2 ELSE 0 END AS demand,
+               CASE WHEN {_sql_any_pattern(_LISTS.context)} THEN 3 ELSE 0 END AS context,
+               CASE WHEN {_sql_any_pattern(_LISTS.order_formats)} THEN 2 ELSE 0 END AS order_format,
+               -3 * ({" + ".join(f"{_sql_any_pattern([p])}::INT" for p in _LISTS.exclusions)}) AS penalty,
+               {_sql_any_pattern(_LISTS.locations)} AS excluded_location, {_sql_any_pattern(_LISTS.remote)} AS remote,
+               {" + ".join(f"{_sql_any_pattern([p])}::INT" for p in _LISTS.platforms)} AS platforms,
+               {_sql_any_pattern(_LISTS.team)} AS team FROM messages""",
+)
+def scorer_pattern_lists(t):
+    """The scorer's pattern lists on messages that hold an example of each of their patterns."""
+    low = F.col("text")
+    return pattern_messages(t).select(
+        "o_orderkey",
+        scorer.is_spam(low, _LISTS).alias("is_spam"),
+        scorer.is_offer(low, _LISTS).alias("is_offer"),
+        scorer.demand(low, _LISTS).alias("demand"),
+        scorer.context(low, _LISTS).alias("context"),
+        scorer.order_format(low, _LISTS).alias("order_format"),
+        scorer.exclusion_penalty(low, _LISTS).alias("penalty"),
+        scorer.first_match(low, _LISTS.locations).isNotNull().alias("excluded_location"),
+        scorer.any_pattern(low, _LISTS.remote).alias("remote"),
+        F.size(scorer.excluded_platforms(low, _LISTS)).alias("platforms"),
+        scorer.any_pattern(low, _LISTS.team).alias("team"),
+    )
