@@ -25,7 +25,9 @@ from siftline.llm.blocks import id_and_text, map_blocks
 
 END = "</w>"
 #: Distinct words whose encodings a Python worker keeps; beyond it the memory is emptied, which costs time only.
-KEPT = 300_000
+KEPT = 120_000
+#: Answers about neighbouring tokens that it keeps.
+APART = 150_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 FULL_SCHEMA = SCHEMA + ", ids array<int>, decoded string"
 
@@ -202,7 +204,7 @@ class Encoder:
         new = [w for w in need if w not in self.known]
         if len(self.known) + len(new) > KEPT:  # keep what this block uses
             self.known = {w: self.known[w] for w in need if w in self.known}
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) > APART:
             self.apart = {}
         self.known |= self.whole
         self._learn([w for w in new if w not in self.whole])
