@@ -16,10 +16,9 @@ def hashed_vector(size: int):
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
         def one(s):
-            v = np.zeros(size, dtype=np.float64)
-            for word in (s or "").lower().split():
-                h = zlib.crc32(word.encode("utf-8"))
-                v[h % size] += 1.0 if h & 0x80000000 else -1.0
+            hashes = np.fromiter((zlib.crc32(w.encode("utf-8")) for w in (s or "").lower().split()), np.int64)
+            signs = np.where(hashes & 0x80000000, 1.0, -1.0)
+            v = np.bincount(hashes % size, weights=signs, minlength=size)
             norm = np.linalg.norm(v)
             return (v / norm if norm else v).astype(np.float32)
 
