@@ -83,17 +83,28 @@ def ordered_fold(
     return rows.select(*columns).repartition(*piece).sortWithinPartitions(*piece, "_at", ident).mapInPandas(fold, schema)
 
 
+#: Rows of all keys in a time chunk.
+CHUNK_ROWS = 1_000_000
+
+
 def chunked_fold(
-    df: DataFrame, key: str, ts: str, ident: str, extra: list[str], start: dict, step: Callable, outputs: str, slice_seconds: int
+    df: DataFrame, key: str, ts: str, ident: str, extra: list[str], start: dict, step: Callable, outputs: str, slice_seconds: float | None = None
 ) -> DataFrame:
     """``ordered_fold`` for keys that one task cannot fold: time chunks of a key are folded in parallel.
 
+    Without ``slice_seconds`` chunks are as long as CHUNK_ROWS rows of all keys take; fewer rows than that need no chunks.
+
     A chunk's first state is the last one of the chunk before it, which is not known yet; it is guessed to be the start.  Chunks
     whose guess was wrong are folded again from the state found, until no guess changes.  A fold that forgets (a breaker after a
     call that works, a bucket that is full) ends in the same state from either, so few chunks are folded twice; in the
     worst case there are as many rounds as chunks.  Only one summary row of each chunk meets those of its key.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    if slice_seconds is None:
+        n, first, last = df.agg(F.count(F.lit(1)), F.min(micros), F.max(micros)).first()
+        if n <= CHUNK_ROWS:
+            return ordered_fold(df, key, ts, ident, extra, start, step, outputs, 0)
+        slice_seconds = max(1e-6, (last - first) / 1e6 / (n / CHUNK_ROWS))
     rows = df.select(F.col(key).alias("_key"), ident, (micros / 1e6).alias("_at"), F.floor(micros / (slice_seconds * 1_000_000)).alias("_chunk"), *extra)
     names = [part.strip().split(" ")[0] for part in outputs.split(",")]
     kinds = dict(rows.dtypes)

@@ -100,7 +100,7 @@ def circuit_state(t):
     """Breaker state of each user's calls; an ``error`` event is a failed call."""
     start, step, outputs = sessions.circuit(failures=2, cool_down=6 * HOURS)
     calls = t.events.withColumn("failed", (F.col("event_type") == "error").cast("int"))
-    return sessions.chunked_fold(calls, "user_id", "ts", "event_id", ["failed"], start, step, outputs, 10 * 86400)
+    return sessions.chunked_fold(calls, "user_id", "ts", "event_id", ["failed"], start, step, outputs)
 
 
 @query(

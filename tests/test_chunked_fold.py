@@ -60,6 +60,16 @@ def test_work_is_spread_and_few_chunks_are_folded_again(spark):
     assert steps.value < 3 * len(rows)
 
 
+@pytest.mark.parametrize("rows_of_a_chunk", [10**6, 70])
+def test_chunks_by_rows(spark, monkeypatch, rows_of_a_chunk):
+    monkeypatch.setattr(sessions, "CHUNK_ROWS", rows_of_a_chunk)
+    rng = random.Random(4)
+    rows = [(i, START + rng.randrange(0, 9000) / 4, rng.choice(["hot", "a", None]), int(rng.random() < 0.4)) for i in range(600)]
+    start, step, outputs = sessions.circuit(failures=2, cool_down=90)
+    got = sessions.chunked_fold(calls(spark, rows), "key", "ts", "id", ["failed"], start, step, outputs).collect()
+    assert {r["id"]: (r["state"], r["called"]) for r in got} == plain(rows, start, step, True)
+
+
 def test_empty(spark):
     start, step, outputs = sessions.circuit()
     assert sessions.chunked_fold(calls(spark, []), "key", "ts", "id", ["failed"], start, step, outputs, 60).collect() == []
