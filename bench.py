@@ -16,6 +16,8 @@ HEADLINE = [
     "rule_cascade",
     "rule_hard_block",
     "rule_direction",
+    "rule_direction_ru",
+    "join_rules_table",
     "scorer_message",
     "fn_text_hash",
     "fn_word_count",
@@ -26,6 +28,8 @@ HEADLINE = [
     "dedup_fuzzy_jaccard",
     "dedup_near_clusters",
     "dedup_semantic_window",
+    "dedup_semantic_recent",
+    "dedup_message_sets",
     "join_embedding_cosine",
     "join_hash_then_prefix",
     "join_asof_cooldown",
@@ -40,6 +44,8 @@ HEADLINE = [
     "session_debounce",
     "token_bucket",
     "circuit_state",
+    "circuit_state_of_all",
+    "topk_indexed_snippets",
     "sink_upsert",
     "tbl_revalidate",
     "tbl_recover_contacts",
