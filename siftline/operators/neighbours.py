@@ -17,6 +17,7 @@ the prefix).  Only small groups are compared pair by pair.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -44,6 +45,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return done.select(*[F.col(c).alias(c, metadata={"cut": True}) for c in done.columns])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder.  Unlike a checkpoint it has the size of its files as its size; the planner's estimates for a
+    table that is joined with itself in every round would otherwise grow without bound."""
+    path = f"{session.ensure_checkpoint_dir(df.sparkSession)}/links-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Index:
     """``same`` (id, rep_id): the first row of equal texts.  ``rows``: of these, ``id, keys, first`` (how many keys place the
@@ -72,10 +81,16 @@ class Index:
         else:
             rate, n = (1 - t) / 2, self.n_bits
             most = int(n * rate + 5 * math.sqrt(n * rate * (1 - rate)))  # refused at the threshold with a chance below 1e-6
-            differ = reduce(lambda p, q: p + q, [F.bit_count(F.get(x("bits"), F.lit(i)).bitwiseXOR(F.get(y("bits"), F.lit(i)))) for i in range(-(-n // 64))])
-            made.append(differ <= most)
+            made.append(self.differences(a, b) <= most)
         return reduce(lambda p, q: p & q, made)
 
+    def differences(self, a: str, b: str) -> Column:
+        """How unlike two aliased rows look: differing signature bits, or the difference of their sizes."""
+        x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+        if self.exact:
+            return F.abs(x("size") - y("size"))
+        return reduce(lambda p, q: p + q, [F.bit_count(F.get(x("bits"), F.lit(i)).bitwiseXOR(F.get(y("bits"), F.lit(i)))) for i in range(-(-self.n_bits // 64))])
+
     def split(self, groups: DataFrame, depth: int) -> DataFrame | None:
         """The rows of large groups under longer keys, or None if the index has none."""
         if depth >= (1 if self.exact else DEPTH):
@@ -146,7 +161,7 @@ def build(
 
 def steps(threshold: float, bands: int, rows: int) -> tuple[int, ...]:
     """By how many places bands are combined to split groups: in so many ways that a pair at the threshold stays together in one."""
-    ways = math.ceil(1 / threshold**rows)
+    ways = max(2, round(1 / threshold**rows))
     return tuple(1 + i * bands // ways for i in range(ways))
 
 
@@ -237,7 +252,7 @@ def _labels(near: DataFrame) -> DataFrame:
     need not be those of whole components."""
     both = near.select("id", "other").union(near.select(F.col("other").alias("id"), F.col("id").alias("other")))
     labels = cut_lineage(both.groupBy("id").agg(F.least(F.first("id"), F.min("other")).alias("label")))
-    for _ in range(2):
+    for _ in range(3):
         ahead = labels.select(F.col("id").alias("label"), F.col("label").alias("_next"))
         labels = labels.join(ahead, "label", "left").select("id", F.coalesce("_next", "label").alias("label"))
     return cut_lineage(labels)
@@ -247,17 +262,21 @@ def linked(index: Index) -> DataFrame:
     """Edges ``(id, other)`` that connect the rows of ``index`` as all similar pairs would."""
     lead = F.min(F.struct("id", "size", "bits", "time", "at")).alias("lead")
     offered = index.groups.join(index.groups.groupBy("key").agg(lead), "key").alias("g")
-    stars = offered.where((F.col("id") > F.col("lead.id")) & index.fits("g", "g.lead")).select("id", F.col("lead.id").alias("other"))
-    near = cut_lineage(verified(index, stars).select("id", "other"))
-    groups, depth = index.groups.join(_labels(near), "id", "left").withColumn("label", F.coalesce("label", "id")), 0
+    stars = offered.where((F.col("id") > F.col("lead.id")) & index.fits("g", "g.lead"))
+    # of the leads of a row, the one that looks most alike and the least one join groups of near copies as well as all do
+    far = index.differences("g", "g.lead")
+    chosen = stars.groupBy("id").agg(F.array_distinct(F.array(F.min_by("lead.id", F.struct(far, "lead.id")), F.min("lead.id"))).alias("leads"))
+    near = written(verified(index, chosen.select("id", F.explode("leads").alias("other"))).select("id", "other"))
+    groups, depth = index.groups, 0
     while True:
+        groups = groups.join(_labels(near), "id", "left").withColumn("label", F.coalesce("label", "id"))
         # in a group, rows of its commonest label need not be compared with each other
         sizes = groups.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_held"))
         tops = sizes.groupBy("key").agg(F.sum("_held").alias("n"), F.max(F.struct("_held", "label")).alias("top"))
-        tops = tops.where(F.col("top._held") < F.col("n")).select("key", "n", F.col("top.label").alias("top"), (F.col("n") - F.col("top._held")).alias("others"))
-        groups = cut_lineage(groups.drop("n", "top", "others").join(tops, "key"))
+        tops = tops.where(F.col("top._held") < F.col("n")).select("key", F.col("top.label").alias("top"), (F.col("n") - F.col("top._held")).alias("others"))
+        groups = cut_lineage(groups.join(tops, "key"))
         many = groups.where(F.col("others") > CROWD)
-        finer = None if many.isEmpty() else index.split(many, depth)
+        finer = None if many.isEmpty() else index.split(many.drop("label", "top", "others"), depth)
         few = groups if finer is None else groups.where(F.col("others") <= CROWD)
         a, b = few.where("label <> top").alias("a"), few.alias("b")
         once = (F.col("b.label") == F.col("b.top")) | (F.col("a.id") > F.col("b.id"))
@@ -265,7 +284,7 @@ def linked(index: Index) -> DataFrame:
         late = verified(index, met.select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("other"))).select("id", "other")
         if finer is None and depth == 0:
             return near.union(late)
-        near = cut_lineage(near.union(late))
+        near = written(near.union(late))
         if finer is None:
             return near
         groups, depth = cut_lineage(finer), depth + 1
