@@ -46,20 +46,21 @@ def judge(rows, window=None, accepted=False, threshold=0.7):
     return leader
 
 
-@pytest.mark.parametrize("exact", [False, True])
-@pytest.mark.parametrize("crowd, rounds", [(8, 64), (2, 2)])
-def test_window_and_status(spark, monkeypatch, exact, crowd, rounds):
+CASES = [(False, 8, 64, 3 * DAY, True), (False, 2, 2, None, True), (True, 2, 2, 3 * DAY, True), (True, 8, 64, 3 * DAY, False)]
+
+
+@pytest.mark.parametrize("exact, crowd, rounds, window, accepted", CASES)
+def test_window_and_status(spark, monkeypatch, exact, crowd, rounds, window, accepted):
     monkeypatch.setattr(neighbours, "CROWD", crowd)
     monkeypatch.setattr(neighbours, "ROUND", rounds)
     rows = stored(crowd)
     df = spark.createDataFrame(rows, "id LONG, text STRING, at LONG, ok BOOLEAN").withColumn("ts", F.timestamp_seconds("at"))
-    for window, accepted in ((3 * DAY, True), (3 * DAY, False)) if exact else ((3 * DAY, True), (None, True)):
-        found = dedup.near_duplicates(
-            df, "id", "text", bands=64, rows=3, exact=exact, ts="ts" if window else None, window_seconds=window, accepted=F.col("ok") if accepted else None, copy=T.text_hash(F.col("text"))
-        )
-        got = {r["id"]: r["leader_id"] for r in found.collect()}
-        want = judge(rows, window, accepted)
-        assert got == want and 20 < sum(v is not None for v in want.values()) < 110
+    found = dedup.near_duplicates(
+        df, "id", "text", bands=64, rows=3, exact=exact, ts="ts" if window else None, window_seconds=window, accepted=F.col("ok") if accepted else None, copy=T.text_hash(F.col("text"))
+    )
+    got = {r["id"]: r["leader_id"] for r in found.collect()}
+    want = judge(rows, window, accepted)
+    assert got == want and 20 < sum(v is not None for v in want.values()) < 110
 
 
 def test_exact_index_misses_no_pair(spark):
