@@ -153,3 +153,18 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "id LONG, text STRING")
     assert dedup.near_duplicates(df, "id", "text").collect() == [] and dedup.near_duplicates(df, "id", "text", exact=True).collect() == []
     assert dedup.near_clusters(df, "id", "text").collect() == []
+
+
+def test_exact_index_is_sent_by_value(spark):
+    """Executors without the package get the functions themselves; a used Arrow function in their module must not travel with them."""
+    import siftline
+    from pyspark import cloudpickle
+
+    spark.range(1).select(similarity.sequence_ratio(F.lit("a"), F.lit("b"))).collect()
+    rows = spark.createDataFrame([(1, "the quick brown fox"), (2, "The quick brown fox!"), (3, "another line of words")], "id long, text string")
+    cloudpickle.register_pickle_by_value(siftline)
+    try:
+        found = {r["id"]: r["leader_id"] for r in dedup.near_duplicates(rows, "id", "text", exact=True).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(siftline)
+    assert found == {1: None, 2: 1, 3: None}
