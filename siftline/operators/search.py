@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from siftline.functions.text import let
 from siftline.operators.filters import query_tokens
+from siftline.session import bound_batches
 
 WORD = re.compile(r"\w+")
 
@@ -57,6 +58,7 @@ def build_index(df: DataFrame, ident: str, text: str, folder: str) -> tuple[Data
     and id, so a frequent term is spread over files and a query reads the row groups of its terms only.
     """
     spark = df.sparkSession
+    bound_batches()
     rows = df.select(ident, F.explode(_places(F.lower(F.col(text)))).alias("p")).select("p.term", ident, "p.at")
     rows.repartitionByRange("term", ident).sortWithinPartitions("term", ident).write.mode("overwrite").parquet(f"{folder}/postings")
     postings = spark.read.schema(rows.schema).parquet(f"{folder}/postings")

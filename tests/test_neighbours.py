@@ -168,3 +168,22 @@ def test_exact_index_is_sent_by_value(spark):
     finally:
         cloudpickle.unregister_pickle_by_value(siftline)
     assert found == {1: None, 2: 1, 3: None}
+
+
+def test_arrow_batches_are_bounded(spark):
+    """Codes are many times as large as their texts: a worker holds those of a bounded batch, whatever the rows of a task."""
+    rows_key, bytes_key = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(rows_key), spark.conf.get(bytes_key)
+    try:
+        for rows, size, want in (("10000", "64m", ("1000", str(8 << 20))), ("0", "-1", ("1000", str(8 << 20))), ("200", "1m", ("200", "1m"))):
+            spark.conf.set(rows_key, rows)
+            if size != "-1":
+                spark.conf.set(bytes_key, size)
+            similarity.sketch(9, 32, 4)
+            similarity.shingle_codes(9)
+            assert spark.conf.get(rows_key) == want[0]
+            if size != "-1":
+                assert int(spark.conf.get(bytes_key).rstrip("b")) == 8 << 20 if size == "64m" else spark.conf.get(bytes_key) in ("1m", f"{1 << 20}b")
+    finally:
+        spark.conf.set(rows_key, before[0])
+        spark.conf.set(bytes_key, before[1])
