@@ -77,13 +77,16 @@ def text_features(df: DataFrame, text: str):
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
-    """Weight each class by the inverse of its share."""
+    """Weight each class by the inverse of its share.
+
+    The weights, a row for each class, travel to the rows: joined by a shuffle, all rows of a class would meet in one task.
+    """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("t"), F.count(F.lit(1)).alias("k"))
     per_row = sizes.select(
         label, (total.select("t").scalar() / (total.select("k").scalar() * F.col("_n"))).alias("weight")
     )
-    return df.join(per_row, label)
+    return df.join(F.broadcast(per_row), label)
 
 
 def stratified_split(df: DataFrame, ident: str, label: str, share: float = 0.8, seed: int = 42):
@@ -101,7 +104,7 @@ def stratified_split(df: DataFrame, ident: str, label: str, share: float = 0.8,
     marked = histogram.select(
         label, "_bin", (F.sum("_n").over(upto) <= share * F.sum("_n").over(whole)).alias("_train")
     )
-    split = hashed.join(marked, [label, "_bin"])
+    split = hashed.join(F.broadcast(marked), [label, "_bin"])  # as many rows as there are bins and classes
     return split.filter("_train").drop("_bin", "_train"), split.filter("NOT _train").drop("_bin", "_train")
 
 
@@ -110,7 +113,7 @@ def train(df: DataFrame, ident: str, text: str, label: str, kind: str = "logisti
 
     ``kind``: ``logistic`` (balanced logistic regression) or ``bayes`` (the second committee member).
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression, NaiveBayes
 
     rows = df.count()
@@ -122,13 +125,18 @@ def train(df: DataFrame, ident: str, text: str, label: str, kind: str = "logisti
         final = LogisticRegression(labelCol=label, weightCol="weight", maxIter=1000, regParam=0.01)
     else:
         final = NaiveBayes(labelCol=label, weightCol="weight")
-    model = Pipeline(stages=[text_features(df, text), final]).fit(weighted)
+    *counting, idf = text_features(df, text).getStages()
+    counter = Pipeline(stages=counting).fit(weighted)
+    counted = counter.transform(weighted).select(label, "weight", "_counts").cache()  # words are cut once for all later steps
+    weigher = Pipeline(stages=[idf, final]).fit(counted)
+    model = PipelineModel([*counter.stages, *weigher.stages])
     scores = {}
-    for name, part in (("train_accuracy", weighted), ("test_accuracy", test_rows)):
-        judged = model.transform(part).agg(
+    for name, judge, part in (("train_accuracy", weigher, counted), ("test_accuracy", model, test_rows)):
+        judged = judge.transform(part).agg(
             F.avg((F.col("prediction") == F.col(label).cast("double")).cast("double")).alias("a")
         )
         scores[name] = judged.first()["a"]
+    counted.unpersist()
     weighted.unpersist()
     return model, {"rows": rows, **scores}
 

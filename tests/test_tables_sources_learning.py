@@ -127,3 +127,21 @@ def test_classifier_learns_saves_and_loads(spark, tmp_path):
     assert learning.train(df.limit(10), "id", "text", "label")[0] is None
     untrained = learning.predict(None, df.select("id")).first()
     assert (untrained["is_lead"], untrained["probability"]) == (False, 0.0)
+
+
+def test_rows_of_a_class_stay_spread(spark):
+    """Weights and the split join a few rows to many: no task may get all rows of a class, whatever the planner estimates."""
+    rows = spark.range(4000, numPartitions=8).select(F.col("id"), (F.col("id") % 2).cast("double").alias("label"))
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {key: spark.conf.get(key, None) for key in keys}
+    try:
+        for key in keys:
+            spark.conf.set(key, "-1")
+        train, test = learning.stratified_split(rows, "id", "label")
+        weighted = learning.balanced(train, "label").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    sizes = [sum(r["task"] == task for r in weighted) for task in {r["task"] for r in weighted}]
+    assert len(weighted) + test.count() == 4000 and max(sizes) <= 500
+    assert sum(r["weight"] for r in weighted) == pytest.approx(len(weighted))
