@@ -7,12 +7,14 @@ kept.  The automaton is built once in a worker and kept for later batches.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections.abc import Sequence
 
 import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 #: Bytes of patterns that travel with the tasks at a time; more take further passes.
 PART_BYTES = 8_000_000
@@ -50,26 +52,52 @@ def first_places(made: ahocorasick.Automaton, words: list[str], text: str) -> di
     return found
 
 
-def labelled_hits(entries: list[tuple[int, str]]):
-    """Arrow function text -> array of ``(label, word, at)``: the words that a text holds, under each label that lists them (as
-    often as it does), in the order of ``entries`` (label, word); null for a null text."""
-    words = list(dict.fromkeys(w for _, w in entries))
+def labelled_hits(entries: list[tuple[int, str]], cues: Sequence[str] = (), reach: int = 80):
+    """Arrow function text -> array of ``(label, word, at, near)``: the words that a text holds, under each label that lists them
+    (as often as it does), in the order of ``entries`` (label, word); null for a null text.  ``near``: a cue lies within
+    ``reach`` characters before or after the first place of the word."""
+    words = list(dict.fromkeys([*(w for _, w in entries), *cues]))
     number = {w: i for i, w in enumerate(words)}
     listed: list[list[int]] = [[] for _ in words]
     for place, (_, w) in enumerate(entries):
         listed[number[w]].append(place)
+    lengths = {number[c]: len(c) for c in cues}
+    always = "" in cues
     key = _key(words)
-    result = ArrayType(StructType([StructField("label", IntegerType()), StructField("word", StringType()), StructField("at", IntegerType())]))
+    result = ArrayType(StructType([
+        StructField("label", IntegerType()), StructField("word", StringType()), StructField("at", IntegerType()), StructField("near", BooleanType()),
+    ]))
+
+    def places(made, text):
+        """First places of the words, and all places (from, up to) of the cues."""
+        first = {number[""]: 1} if "" in number else {}
+        spans = []
+        if len(made):
+            for end, n in made.iter(text):
+                if n in lengths:
+                    spans.append((end - lengths[n] + 2, end + 2))
+                if n not in first:
+                    first[n] = end - len(words[n]) + 2
+        return first, sorted(spans)
 
     @F.pandas_udf(result)
     def hits(texts: pd.Series) -> pd.Series:
         made = _automaton(key, words)
 
+        def near(spans, at, size):
+            i, last = bisect_left(spans, (at - reach,)), at + size + reach
+            while i < len(spans) and spans[i][0] < last:
+                if spans[i][1] <= last:
+                    return True
+                i += 1
+            return always
+
         def one(text):
             if text is None:
                 return None
-            found = sorted((place, at) for n, at in first_places(made, words, text).items() for place in listed[n])
-            return [(*entries[place], at) for place, at in found]
+            first, spans = places(made, text)
+            found = sorted((place, at) for n, at in first.items() for place in listed[n])
+            return [(*entries[place], at, near(spans, at, len(entries[place][1]))) for place, at in found]
 
         return texts.map(one)
 
