@@ -211,3 +211,35 @@ def test_agency(spark):
     ).first()
     assert row["a"]["is_agency"] and row["b"]["is_agency"]
     assert row["c"]["needs_clarification"] and not row["c"]["is_agency"]
+
+
+def test_long_lists_in_one_pass_give_the_same_reasons(spark, monkeypatch):
+    """Every entry of the Russian lists, in plain, folded and re-normalised spellings: bits of an automaton against plain search."""
+    entries = [*RUSSIAN.domains, *RUSSIAN.bots, *RUSSIAN.scam_words, *RUSSIAN.irrelevant, *RUSSIAN.repeated_spam]
+    frames = ["Сегодня у нас {} и ещё что-то для всех", "сегодня ЁЛКА {} и {} для всех нас", "{}"]
+    made = [frame.format(e, entries[i - 1]) for i, e in enumerate(entries) for frame in frames]
+    made += [e.replace("о", "o").replace("е", "Ё") + " для всех нас тут" for e in entries]
+    df = spark.createDataFrame([(t,) for t in [*made, "", None, "просто текст о погоде и природе"]], "text STRING")
+    rows = {}
+    for few in (0, 10**6):
+        monkeypatch.setattr(cascade, "FEW", few)
+        rows[few] = [tuple(r) for r in T.features(df, "text").select("text", cascade.block_reason(RUSSIAN).alias("r")).collect()]
+    assert sorted(rows[0], key=str) == sorted(rows[10**6], key=str)
+    assert len({r for _, r in rows[0]}) > 50
+
+
+def test_a_text_is_normalised_once_for_all_features(spark):
+    df = spark.createDataFrame([("текст",)], "text STRING")
+    plan = T.features(df, "text").select(cascade.block_reason(RUSSIAN).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+
+
+def test_customers_are_dealt_out(spark):
+    from siftline.plans import text_functions
+
+    class Source:
+        customer = spark.range(100, numPartitions=1).selectExpr("id AS c_custkey", "'x' AS c_name", "'MACHINERY' AS c_mktsegment")
+
+    made = text_functions.message_contacts(Source)
+    assert made.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {r["contact"]["priority_level"] for r in made.collect()} == {"1C"}
