@@ -9,6 +9,7 @@ from tests.llm.conftest import ODD
 
 from siftline.llm import simhash
 from siftline.llm.components import components
+from siftline.operators import neighbours
 
 
 def fingerprint(text):
@@ -112,3 +113,30 @@ def test_keep_one_by_similarity_of_odd_rows(odd, empty):
     kept = simhash.keep_one(odd, least=0.8)
     assert kept.columns == odd.columns and kept.count() == simhash.keep_one(odd).count()
     assert simhash.keep_one(empty, least=0.8).collect() == []
+
+
+def test_crowds_of_unlike_copies_make_few_pairs(spark, monkeypatch):
+    """Copies of one text that each differ from it in much, so that most are below 0.8 to each other: few are compared."""
+    rng = random.Random(5)
+    frame = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for i in range(300):
+        words = frame[:]
+        for at in range(rng.randrange(28), 150, 28):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    pairs = [(i, j) for i in range(300) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    prints = [fingerprint(" ".join(t)) for t in texts]
+    bits = [(i, j) for i in range(300) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    want = {i for i, r in roots(range(300), pairs + bits).items() if i == r}
+    compared, check = [], neighbours.verified
+
+    def counted(index, met):
+        compared.append(met.count())
+        return check(index, met)
+
+    monkeypatch.setattr(neighbours, "verified", counted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df, least=0.8).collect()} == want
+    assert sum(compared) < 3000, compared
