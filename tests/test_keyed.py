@@ -67,6 +67,17 @@ def test_trailing_window(rows):
     same(got.select("id", "n"), brute.select("id", "n"))
 
 
+def test_trailing_window_of_copies_ties_and_nulls(spark):
+    """Each row counts all others of its window: those of its own instant, its copies, and those of null keys."""
+    rng = random.Random(11)
+    data = [(rng.randrange(150), rng.choice(["a", "b", None]), f"2024-01-{rng.randrange(1, 6):02d} {rng.randrange(24):02d}:00:00") for _ in range(300)]
+    data += [(i, None, None) for i in range(5)]
+    odd = spark.createDataFrame(data, "id LONG, key STRING, at STRING").select("id", "key", F.col("at").cast("timestamp_ntz").alias("ts"))
+    got = keyed.rows_in_trailing_window(odd, ["key"], "id", "ts", 86400, 3600, "n")
+    w = Window.partitionBy("key").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-86400, 0)
+    same(got.select("key", "id", "n"), odd.select("key", "id", (F.count(F.lit(1)).over(w) - 1).alias("n")))
+
+
 def test_sessionize(rows):
     got = keyed.sessionize(rows, ["key"], "ts", "id", F.lit(3600), day()).select("id", "session_start")
     w = Window.partitionBy("key").orderBy("ts", "id")
