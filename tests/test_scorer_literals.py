@@ -1,12 +1,14 @@
 """Patterns are tried only where a literal that they need was found: with the same results as trying all."""
 
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import literals
 from siftline.operators import scorer
+from siftline.plans import rules
 from siftline.plans.rules import PATTERN_EXAMPLES
 
 
@@ -52,3 +54,11 @@ def test_patterns_are_not_all_tried():
         for text in PATTERN_EXAMPLES:
             if re.search(re.sub(r"^\(\?U\)", "", p), text.lower()):
                 assert any(w in text.lower() for w in scorer._needed(p))
+
+
+def test_exclusions_tell_excluded_specialisations(spark):
+    """Before, the query left the excluded specialisations out."""
+    rows = [(i, status, f"{rank}-X", 1000.0) for i, (status, rank) in enumerate((s, r) for s in "FOP" for r in "1234")]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string, o_totalprice double")
+    found = {r["o_orderkey"] for r in rules.scorer_exclusions(SimpleNamespace(orders=orders)).where("excluded_specialisation").collect()}
+    assert found == {7}  # the message that asks for an smm manager
