@@ -103,6 +103,46 @@ def test_prefix_is_rarest_first(spark):
         assert sizes == sorted(sizes)
 
 
+def test_rare_codes_are_told_from_common_ones(spark):
+    """Before, counters were so few that rare codes looked common: keys were shared by rows that are not alike, and split."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("aeioulnrst", k=rng.randrange(2, 6))) for _ in range(400)]
+    frame = spark.createDataFrame([(" ".join(rng.choices(words, k=120)),) for _ in range(1500)], "t STRING").repartition(4).cache()
+    counts = neighbours._frequencies(frame, 9)
+    codes = [similarity._encode(r["t"], 9) for r in frame.collect()]
+    found, held = np.unique(np.concatenate(codes), return_counts=True)
+    told = counts[found & (neighbours.COUNTERS - 1)]
+    assert (told >= np.minimum(held, 255)).all() and (told == held).mean() > 0.95
+
+
+def test_pairs_that_share_too_few_keys_are_not_compared(spark, monkeypatch):
+    """Texts that have a rare passage in common, besides near copies of some: only the copies are compared, and none is missed."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    rows = []
+    for i in range(40):
+        passage = word()
+        for side in range(2):
+            rows.append((4 * i + side, " ".join([*(word() for _ in range(20)), passage])))
+        copy = rows[-1][1].split(" ")
+        copy[rng.randrange(20)] = word()
+        rows.append((4 * i + 2, " ".join(copy)))
+    compared = []
+    real = neighbours.verified
+
+    def counting(index, pairs):
+        compared.append(pairs.select("id", "other").distinct().count())
+        return real(index, pairs)
+
+    monkeypatch.setattr(neighbours, "verified", counting)
+    found = {r["id"]: r["leader_id"] for r in dedup.near_duplicates(spark.createDataFrame(rows, "id LONG, text STRING"), "id", "text", shingle=5, exact=True).collect()}
+    texts = dict(rows)
+    similar = lambda a, b: len(x & y) / len(x | y) >= 0.7 if (x := {a[k : k + 5] for k in range(len(a) - 4)}) and (y := {b[k : k + 5] for k in range(len(b) - 4)}) else False
+    want = {i: next((j for j in (i - 1, i - 2) if i % 4 == 2 and similar(texts[i], texts[j])), None) for i in texts}
+    assert found == want and sum(v is not None for v in want.values()) > 20
+    assert compared[-1] <= 45  # of the leaders, compared last: a row and its copy
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_rows_compared_grow_with_the_rows(spark, monkeypatch, exact):
     """A crowd of near copies, and texts with a common frame that are not similar."""
