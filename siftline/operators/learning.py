@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from siftline.functions.text import let
+from siftline.session import bound_batches
 
 
 def _mean(values: Column) -> Column:
@@ -76,6 +77,106 @@ def text_features(df: DataFrame, text: str):
     )
 
 
+#: Distinct words, or grams of them, that a task counts before it hands them on.
+HELD = 200_000
+
+
+def _gram_counts(words: DataFrame, column: str, size: int, known: list, parts: set | None):
+    """``gram, n, rows``: how often grams of ``size`` words occur, and in how many rows, counted in Arrow batches.
+
+    ``known``: the words that grams are made of (all, if ``size`` is 1).  ``parts``: places in ``known`` of the grams that are
+    shorter by one word and that a gram must begin and end with."""
+    import pyarrow as pa
+
+    place = {w: i for i, w in enumerate(known)}
+    most = len(known) + 1
+    inner = None if parts is None else np.array(sorted(a * most + b for a, b in parts), dtype=np.int64)
+
+    def grams(batch):
+        """Codes of the grams of a batch, the rows that hold them, and the names of codes."""
+        texts = batch.column(0)
+        flat, lengths = texts.flatten(), np.diff(texts.offsets.to_numpy())
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        coded = flat.dictionary_encode()
+        code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        if size == 1:
+            return code, row, lambda c: names[c]
+        code = np.array([place.get(w, -1) for w in names] or [-1], dtype=np.int64)[code] if len(code) else code
+        pair = code[:-1] * most + code[1:]
+        fits = (row[:-1] == row[1:]) & (code[:-1] >= 0) & (code[1:] >= 0)
+        if size == 2:
+            return pair[fits], row[:-1][fits], lambda c: f"{known[c // most]} {known[c % most]}"
+        fits &= np.isin(pair, inner)
+        fits = fits[:-1] & fits[1:]
+        triple = pair[:-1] * most + code[2:]
+        return triple[fits], row[:-2][fits], lambda c: f"{known[c // most // most]} {known[c // most % most]} {known[c % most]}"
+
+    def run(batches):
+        total = {}
+
+        def handed():
+            keys = list(total)
+            counts = np.array([total[k] for k in keys], dtype=np.int64).reshape(-1, 2)
+            for at in range(0, len(keys), 10_000):
+                part = slice(at, at + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.string()), pa.array(counts[part, 0]), pa.array(counts[part, 1])], ["gram", "n", "rows"])
+            total.clear()
+
+        for batch in batches:
+            code, row, name = grams(batch)
+            if not len(code):
+                continue
+            if int(code.max()) < (1 << 62) // batch.num_rows:  # one number sorts faster than two
+                code, row = np.divmod(np.sort(code * batch.num_rows + row), batch.num_rows)
+            else:
+                order = np.lexsort((row, code))
+                code, row = code[order], row[order]
+            new = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            in_rows = np.add.reduceat(np.r_[True, (code[1:] != code[:-1]) | (row[1:] != row[:-1])].astype(np.int64), new)
+            for c, n, rows in zip(code[new].tolist(), np.diff(np.r_[new, len(code)]).tolist(), in_rows.tolist()):
+                held = total.setdefault(name(c), [0, 0])
+                held[0] += n
+                held[1] += rows
+            if len(total) > HELD:
+                yield from handed()
+        yield from handed()
+
+    counted = words.select(column).where(F.size(column) >= size).mapInArrow(run, "gram string, n long, rows long")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+
+
+def common_grams(words: DataFrame, column: str, most: int, least_rows: int = 2) -> list[str]:
+    """The ``most`` most frequent grams of one to three words that at least ``least_rows`` rows hold, of equals the first by name.
+
+    A gram is at most as frequent as its words and the shorter grams in it, so pairs are counted of words only that are
+    themselves frequent enough, and triples of such pairs: what travels is bounded by ``most``, not by the text."""
+    bound_batches()
+    found, least, known, parts = [], 1, [], None
+    for size in (1, 2, 3):
+        enough = _gram_counts(words, column, size, known, parts).where((F.col("rows") >= least_rows) & (F.col("n") >= least)).cache()
+        # only grams that can be among the most frequent ones travel to the driver
+        sizes, held = enough.groupBy("n").agg(F.count(F.lit(1)).alias("grams")).orderBy(F.desc("n")).limit(most).collect(), 0
+        for row in sizes:
+            held += row["grams"]
+            if held >= most:
+                least = max(least, row["n"])
+                break
+        fresh = [(-r["n"], r["gram"]) for r in enough.where(F.col("n") >= least).select("gram", "n").collect()]
+        enough.unpersist()
+        found = sorted(found + fresh)
+        if len(found) >= most:
+            least = -found[most - 1][0]
+            found = [g for g in found if -g[0] >= least]
+        if size == 1:
+            known = sorted(g for _, g in fresh)
+        else:
+            place = {w: i for i, w in enumerate(known)}
+            parts = {tuple(place[w] for w in g.split(" ")) for n, g in fresh if -n >= least}
+        if not fresh:
+            break
+    return [g for _, g in found[:most]]
+
+
 def balanced(df: DataFrame, label: str) -> DataFrame:
     """Weight each class by the inverse of its share.
 
@@ -115,6 +216,7 @@ def train(df: DataFrame, ident: str, text: str, label: str, kind: str = "logisti
     """
     from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import LogisticRegression, NaiveBayes
+    from pyspark.ml.feature import CountVectorizerModel
 
     rows = df.count()
     if rows < minimum:
@@ -125,8 +227,13 @@ def train(df: DataFrame, ident: str, text: str, label: str, kind: str = "logisti
         final = LogisticRegression(labelCol=label, weightCol="weight", maxIter=1000, regParam=0.01)
     else:
         final = NaiveBayes(labelCol=label, weightCol="weight")
-    *counting, idf = text_features(df, text).getStages()
-    counter = Pipeline(stages=counting).fit(weighted)
+    *cutting, vectorizer, idf = text_features(df, text).getStages()
+    words = cutting[0].transform(weighted)
+    vocabulary = common_grams(words, cutting[0].getOutputCol(), vectorizer.getVocabSize(), int(vectorizer.getMinDF()))
+    if not vocabulary:
+        raise ValueError("no word is in two rows")
+    named = CountVectorizerModel.from_vocabulary(vocabulary, vectorizer.getInputCol(), vectorizer.getOutputCol())
+    counter = PipelineModel([*cutting, named])
     counted = counter.transform(weighted).select(label, "weight", "_counts").cache()  # words are cut once for all later steps
     weigher = Pipeline(stages=[idf, final]).fit(counted)
     model = PipelineModel([*counter.stages, *weigher.stages])

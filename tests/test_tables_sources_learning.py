@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,33 @@ def test_classifier_learns_saves_and_loads(spark, tmp_path):
     assert (untrained["is_lead"], untrained["probability"]) == (False, 0.0)
 
 
+def test_common_grams_are_counted_without_those_of_rare_words(spark, monkeypatch):
+    """The same grams as the vectorizer's, of which only those that can be frequent enough are counted."""
+    rng = random.Random(4)
+    words = [f"w{i:03d}" for i in range(300)]
+    rows = [(" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(300)], k=rng.randrange(0, 60))),) for _ in range(200)]
+    rows = [(i, *row) for i, row in enumerate([*rows, ("once once once once",), ("",)])]
+    df = spark.createDataFrame(rows, "id LONG, text STRING").repartition(3)
+    *cutting, vectorizer, _ = learning.text_features(df, "text").getStages()
+    tokens = cutting[0].transform(df)
+    grams = tokens
+    for stage in cutting[1:]:
+        grams = stage.transform(grams)
+    held = grams.select("id", F.explode("_grams").alias("g")).groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("rows")
+    ).where("rows > 1").collect()
+    want = [r["g"] for r in sorted(held, key=lambda r: (-r["n"], r["g"]))]
+    assert any(g.count(" ") == 2 for g in want[:400])
+    counted = []
+    real = learning._gram_counts
+    monkeypatch.setattr(learning, "_gram_counts", lambda *a: counted.append(real(*a)) or counted[-1])
+    for most in (40, 400, 100_000):
+        assert learning.common_grams(tokens, "_words", most) == want[:most]
+    assert set(vectorizer.fit(grams).vocabulary) == set(want[:1000]) or len(want) > 1000
+    pairs = {r["g"] for r in grams.select(F.explode("_grams").alias("g")).collect() if r["g"].count(" ") == 1}
+    assert 0 < 2 * counted[1].count() < len(pairs)  # for the 40 most frequent: pairs of frequent words only
+
+
 def test_rows_of_a_class_stay_spread(spark):
     """Weights and the split join a few rows to many: no task may get all rows of a class, whatever the planner estimates."""
     rows = spark.range(4000, numPartitions=8).select(F.col("id"), (F.col("id") % 2).cast("double").alias("label"))
